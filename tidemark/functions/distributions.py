@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# ship these small helpers with the job, so executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -53,7 +59,7 @@ def _missing(value) -> bool:
     return value is None or math.isnan(value)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(
         [None if _missing(a) or _missing(b) else student_two_sided(a, b) for a, b in zip(t, df)],
@@ -61,6 +67,6 @@ def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def z_p_value(z: pd.Series) -> pd.Series:
     return pd.Series([None if _missing(a) else normal_two_sided(a) for a in z], dtype="float64")

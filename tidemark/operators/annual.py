@@ -74,12 +74,20 @@ def development_counts(developments: DataFrame, keys: Sequence[str]) -> DataFram
     return developments.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
 
 
-def culture_counts(reports: DataFrame) -> DataFrame:
+def culture_counts(
+    reports: DataFrame,
+    missing: Sequence[Mapping] = MISSING_CULTURE_ROWS,
+    corrections: DataFrame | None = None,
+    dropped_year: int = DROPPED_FILING_YEAR,
+) -> DataFrame:
     """Stacked filing counts, cleaned: the stray year out, missing rows in, corrections applied."""
     named = reports.withColumnRenamed("count", "culture_emphasis")
-    complete = append_rows(named.filter(F.col("year") != DROPPED_FILING_YEAR), MISSING_CULTURE_ROWS)
-    fixes = reports.sparkSession.createDataFrame(list(CULTURE_CORRECTIONS), "ticker string, year int, culture_emphasis double")
-    return override(complete, ["ticker", "year"], "culture_emphasis", fixes)
+    complete = append_rows(named.filter(F.col("year") != dropped_year), missing)
+    if corrections is None:
+        corrections = reports.sparkSession.createDataFrame(
+            list(CULTURE_CORRECTIONS), "ticker string, year int, culture_emphasis double"
+        )
+    return override(complete, ["ticker", "year"], "culture_emphasis", corrections)
 
 
 def factor_table(
