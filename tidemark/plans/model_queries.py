@@ -1 +1,295 @@
-"""placeholder"""
+"""I: fitting, scoring and judging return models.
+
+Fits on the full feature set have no SQL form and are checked by their row counts and by tests.
+Saturated fits (one binary feature) have a closed form, which the SQL states.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from tidemark.config import DAILY
+from tidemark.operators import models, order, windows
+from tidemark.plans.registry import query
+from tidemark.plans.window_queries import predictions, PREDICTIONS_SQL
+from tidemark.session import materialise
+
+C = F.col
+KEYS = ["TICKER", "date"]
+NUMBERS = ["VOL", "RET", "sprtrn", "Ask_minus_Bid", "yesterday_return", "yesterday_volume"]
+CATEGORIES = ["comp_size", "proper", "dummy_negative", "dummy_positive", "dummy_total"]
+TARGET = DAILY.target
+
+
+def model_frame(t):
+    """Standardised features with the size bin, complete rows only."""
+    binned = order.quantile_bins(t.features(), "market_cap", 10, "comp_size")
+    scaled = windows.standardise(binned, NUMBERS)
+    # written once: indexers, scalers and every fitting round read it again
+    return materialise(scaled.select(*KEYS, *NUMBERS, *CATEGORIES, TARGET).dropna())
+
+
+def prepared(t, fraction: float = 0.8):
+    """Feature vectors and train flags."""
+    frame = models.with_train_flag(model_frame(t), KEYS, fraction)
+    pipe = models.fit_features(frame.filter("is_train"), NUMBERS, CATEGORIES)
+    return models.apply_features(pipe, frame, CATEGORIES).select(*KEYS, TARGET, "features", "is_train")
+
+
+@query("i01_feature_assembly", "features:i rows:i")
+def _(t):
+    vectors = prepared(t)
+    sizes = models.vector_to_array("features")
+    return vectors.groupBy(F.size(sizes).alias("features")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+HASH_SQL = "CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+@query(
+    "i02_seeded_split",
+    "TICKER:s date:d is_train:b",
+    f"""SELECT TICKER, date, {HASH_SQL.format(text="'42|' || TICKER || '|' || CAST(date AS VARCHAR)")} < 0.8 AS is_train
+        FROM panel""",
+    ["panel"],
+)
+def _(t):
+    return models.with_train_flag(t.panel, KEYS, 0.8)
+
+
+@query(
+    "i03_stratified_split",
+    "doc_id:i quality:i is_train:b",
+    f"""SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY h, doc_id)
+              <= ceil(count(*) OVER (PARTITION BY quality) * 0.7) AS is_train
+        FROM (SELECT *, {HASH_SQL.format(text="'17|' || doc_id")} AS h FROM labels)""",
+)
+def _(t):
+    return models.with_stratified_flag(t["labels"], "quality", ["doc_id"], 0.7)
+
+
+@query(
+    "i03_stratified_by_target",
+    "stratum:i train:i test:i",
+    """SELECT stratum, ceil(count(*) * 0.7) AS train, count(*) - ceil(count(*) * 0.7) AS test FROM (
+         SELECT CAST(x > e1 AND e1 > e0 AS INT) + CAST(x > e2 AND e2 > e1 AS INT) + CAST(x > e3 AND e3 > e2 AS INT)
+                + CAST(x > e4 AND e4 > e3 AS INT) AS stratum
+         FROM (SELECT tomorrow_return AS x FROM features WHERE tomorrow_return IS NOT NULL) CROSS JOIN (
+           SELECT min(tomorrow_return) AS e0, quantile_cont(tomorrow_return, 0.2) AS e1, quantile_cont(tomorrow_return, 0.4) AS e2,
+                  quantile_cont(tomorrow_return, 0.6) AS e3, quantile_cont(tomorrow_return, 0.8) AS e4 FROM features))
+       GROUP BY 1""",
+    ["features"],
+)
+def _(t):
+    rows = windows.with_lags(t.panel, DAILY).select(*KEYS, TARGET).dropna()
+    split = models.with_stratified_flag(models.target_strata(rows, TARGET), "stratum", KEYS, 0.7)
+    return split.groupBy("stratum").agg(
+        F.count(F.when(C("is_train"), 1)).alias("train"), F.count(F.when(~C("is_train"), 1)).alias("test")
+    )
+
+
+@query(
+    "i04_time_split",
+    "part:s n:i",
+    """SELECT 'train' AS part, count(*) FILTER (YEAR < 2000) AS n FROM pay
+       UNION ALL SELECT 'test', count(*) FILTER (YEAR = 2000) FROM pay
+       UNION ALL SELECT 'predict', count(*) FILTER (YEAR >= 2000) FROM pay""",
+    ["pay"],
+)
+def _(t):
+    from tidemark.operators.annual import split_by_year
+
+    parts = [
+        p.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name))
+        for name, p in zip(("train", "test", "predict"), split_by_year(t.pay, 2000))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _fitted(t, learner, prediction: str, fraction: float = 0.8):
+    data = prepared(t, fraction)
+    with models.kept(data.filter("is_train")) as train:
+        fit = learner.fit(train)
+    return fit, fit.transform(data.filter("NOT is_train")), prediction
+
+
+METRICS = "n:i mse:f9 rmse:f9 r2:f"
+
+
+@query("i05_lasso", METRICS)
+def _(t):
+    _, scored, name = _fitted(t, models.lasso(TARGET, 0.0005), "lasso_pred")
+    return models.metrics(scored, TARGET, name)
+
+
+@query("i05_lasso_cv", METRICS)
+def _(t):
+    data = prepared(t)
+    search = models.lasso_cv(data.filter("is_train"), TARGET, KEYS, [0.0001, 0.0005, 0.002, 0.01])
+    return models.metrics(search.transform(data.filter("NOT is_train")), TARGET, "lasso_pred")
+
+
+def _one_feature(t):
+    """The next return against a single yes/no feature."""
+    rows = t.features().filter(C(TARGET).isNotNull()).select(*KEYS, TARGET, "dummy_total")
+    vectors = VectorAssembler(inputCols=["dummy_total"], outputCol="features").transform(rows)
+    return vectors.withColumn("up", (C(TARGET) >= 0).cast("double"))
+
+
+@query(
+    "i05_lasso_one_feature",
+    "feature:s coefficient:f",
+    """SELECT f.u.feature, f.u.v AS coefficient FROM (
+         SELECT unnest([{'feature': 'sprtrn', 'v': slope}, {'feature': '(intercept)', 'v': my - slope * mx}]) AS u FROM (
+           SELECT sign(r) * greatest(abs(r) - 0.001 / sy, 0) * sy / sx AS slope, mx, my FROM (
+             SELECT corr(RET, sprtrn) AS r, stddev_pop(sprtrn) AS sx, stddev_pop(RET) AS sy, avg(sprtrn) AS mx, avg(RET) AS my
+             FROM panel))) f""",
+    ["panel"],
+)
+def _(t):
+    """With one feature the penalty shrinks the correlation by penalty / deviation of the target."""
+    data = VectorAssembler(inputCols=["sprtrn"], outputCol="features").transform(t.panel.select("RET", "sprtrn"))
+    return models.coefficient_table(t.spark, models.lasso("RET", 0.001).fit(data), ["sprtrn"])
+
+
+@query("i06_forest", METRICS)
+def _(t):
+    _, scored, name = _fitted(t, models.forest(TARGET, numTrees=10, maxDepth=5), "pred_forest")
+    return models.metrics(scored, TARGET, name)
+
+
+@query("i06_forest_grid", METRICS)
+def _(t):
+    data = prepared(t)
+    grid = {"numTrees": [5, 10], "maxDepth": [4], "minInstancesPerNode": [1, 2]}
+    search = models.forest_cv(data.filter("is_train"), TARGET, KEYS, grid)
+    return models.metrics(search.transform(data.filter("NOT is_train")), TARGET, "pred_forest")
+
+
+@query("i07_boosted_trees", METRICS)
+def _(t):
+    _, scored, name = _fitted(t, models.boosted(TARGET, maxIter=10, maxDepth=3), "pred_boosted")
+    return models.metrics(scored, TARGET, name)
+
+
+GROUP_MEANS = """SELECT DISTINCT dummy_total, avg(tomorrow_return) OVER (PARTITION BY dummy_total) AS prediction
+       FROM features WHERE tomorrow_return IS NOT NULL"""
+
+
+@query("i07_boosted_one_feature", "dummy_total:i prediction:f9", GROUP_MEANS, ["features"])
+def _(t):
+    data = _one_feature(t)
+    fit = models.boosted(TARGET, maxIter=1, maxDepth=1).fit(data)
+    return fit.transform(data).groupBy("dummy_total").agg(F.avg("pred_boosted").alias("prediction"))
+
+
+@query("i08_regression_tree", METRICS)
+def _(t):
+    _, scored, name = _fitted(t, models.tree(TARGET, depth=12, gain=0.0), "pred_forest", 0.7)
+    return models.metrics(scored, TARGET, name)
+
+
+@query("i08_tree_one_feature", "dummy_total:i prediction:f9", GROUP_MEANS, ["features"])
+def _(t):
+    data = _one_feature(t)
+    fit = models.tree(TARGET, depth=1).fit(data)
+    return fit.transform(data).groupBy("dummy_total").agg(F.avg("pred_forest").alias("prediction"))
+
+
+@query("i09_logistic_cv", "log_pred:s n:i mean_probability:f")
+def _(t):
+    data = prepared(t, 0.7).withColumn("up", (C(TARGET) >= 0).cast("double"))
+    search = models.logistic_cv(data.filter("is_train"), "up", KEYS)
+    scored = models.with_probability(models.as_class(search.transform(data.filter("NOT is_train"))))
+    return scored.groupBy("log_pred").agg(F.count(F.lit(1)).alias("n"), F.avg("p_positive").alias("mean_probability"))
+
+
+@query(
+    "i09_logistic_one_feature",
+    "dummy_total:i p_positive:f4",
+    """SELECT dummy_total, avg(CASE WHEN tomorrow_return >= 0 THEN 1.0 ELSE 0.0 END) AS p_positive
+       FROM features WHERE tomorrow_return IS NOT NULL GROUP BY 1""",
+    ["features"],
+)
+def _(t):
+    data = _one_feature(t)
+    scored = models.with_probability(models.logistic("up").setTol(1e-10).fit(data).transform(data))
+    return scored.groupBy("dummy_total").agg(F.max("p_positive").alias("p_positive"))
+
+
+@query(
+    "i10_metrics",
+    "n:i mse:f9 rmse:f9 r2:f",
+    """SELECT count(*) AS n, avg(pow(y - p, 2)) AS mse, sqrt(avg(pow(y - p, 2))) AS rmse, 1 - avg(pow(y - p, 2)) / var_pop(y) AS r2
+       FROM (SELECT tomorrow_return AS y, lasso_pred AS p FROM scored WHERE tomorrow_return IS NOT NULL AND lasso_pred IS NOT NULL)""",
+    ["scored"],
+)
+def _(t):
+    return models.metrics(t.scored, TARGET, "lasso_pred")
+
+
+@query(
+    "i10_metrics_by_model",
+    "MODEL:s n:i mse:f2 rmse:f4 r2:f",
+    f"""SELECT MODEL, count(*) AS n, avg(pow(y - EXP, 2)) AS mse, sqrt(avg(pow(y - EXP, 2))) AS rmse,
+               1 - avg(pow(y - EXP, 2)) / var_pop(y) AS r2
+        FROM (SELECT p.*, lead(EXP) OVER (PARTITION BY TICKER, MODEL ORDER BY YEAR) AS y FROM ({PREDICTIONS_SQL}) p)
+        WHERE y IS NOT NULL GROUP BY 1""",
+    ["pay"],
+)
+def _(t):
+    """Each model's value as a forecast of the same value next year."""
+    from pyspark.sql import Window
+
+    yearly = Window.partitionBy("TICKER", "MODEL").orderBy("YEAR")
+    return models.metrics(predictions(t).withColumn("y", F.lead("EXP").over(yearly)), "y", "EXP", ["MODEL"])
+
+
+@query("i11_score_panel", "TICKER:s date:d lasso_pred:f pred_forest:f log_pred:s")
+def _(t):
+    """All three fitted models on every row of the panel, train and test."""
+    data = prepared(t, 0.7).withColumn("up", (C(TARGET) >= 0).cast("double"))
+    with models.kept(data.filter("is_train")) as train:
+        learners = [models.lasso(TARGET, 0.0005), models.tree(TARGET, depth=5), models.logistic("up")]
+        fits = Pipeline(stages=learners).fit(train)
+    return models.as_class(fits.transform(data))
+
+
+@query("i12_nonzero_coefficients", "feature:s coefficient:f9")
+def _(t):
+    data = prepared(t)
+    with models.kept(data.filter("is_train")) as train:
+        fit = models.lasso(TARGET, 0.0005).fit(train)
+    return models.coefficient_table(t.spark, fit, models.feature_names(data))
+
+
+@query(
+    "i13_logit_table",
+    "feature:s coefficient:f std_error:f z:f4",
+    """SELECT f.u.feature, f.u.b AS coefficient, f.u.e AS std_error, f.u.b / f.u.e AS z FROM (
+         SELECT unnest([{'feature': '(intercept)', 'b': ln(c / d), 'e': sqrt(1 / c + 1 / d)},
+                        {'feature': 'dummy_total', 'b': ln(a / b) - ln(c / d), 'e': sqrt(1 / a + 1 / b + 1 / c + 1 / d)}]) AS u
+         FROM (SELECT CAST(count(*) FILTER (dummy_total = 1 AND tomorrow_return >= 0) AS DOUBLE) AS a,
+                      CAST(count(*) FILTER (dummy_total = 1 AND tomorrow_return < 0) AS DOUBLE) AS b,
+                      CAST(count(*) FILTER (dummy_total = 0 AND tomorrow_return >= 0) AS DOUBLE) AS c,
+                      CAST(count(*) FILTER (dummy_total = 0 AND tomorrow_return < 0) AS DOUBLE) AS d FROM features)) f""",
+    ["features"],
+)
+def _(t):
+    return models.logit_table(_one_feature(t), "up", ["dummy_total"])
+
+
+@query("i13_logit_table_all_features", "feature:s coefficient:f std_error:f z:f4 p_value:f")
+def _(t):
+    rows = model_frame(t).withColumn("up", (C(TARGET) >= 0).cast("double"))
+    vectors = VectorAssembler(inputCols=[*NUMBERS, "dummy_total"], outputCol="features").transform(rows)
+    return models.logit_table(vectors, "up", [*NUMBERS, "dummy_total"])
+
+
+@query("i14_tuning_table", "setting:s score:f9 best:b")
+def _(t):
+    data = prepared(t)
+    search = models.lasso_cv(data.filter("is_train"), TARGET, KEYS, [0.0001, 0.0005, 0.002, 0.01])
+    return models.tuning_table(t.spark, search)
