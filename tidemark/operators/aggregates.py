@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import ratio
 from tidemark.operators.order import exact_quantiles
+from tidemark.session import one_row
 
 NEWS = ("positive", "negative", "total")
 
@@ -52,12 +53,8 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
 def shares(df: DataFrame, column: str) -> DataFrame:
     """Count and share of every category."""
     counts = frequency(df, column)
-    whole = counts.agg(F.sum("frequency").alias("_all"))
-    return (
-        counts.crossJoin(F.broadcast(whole))
-        .withColumn("share", ratio(F.col("frequency"), F.col("_all")))
-        .drop("_all")
-    )
+    whole = one_row(counts.agg(F.sum("frequency").alias("n")))["n"]
+    return counts.withColumn("share", ratio(F.col("frequency"), whole))
 
 
 def industry_summary(df: DataFrame, industry: Column, min_firms: int | None = None) -> DataFrame:
@@ -129,7 +126,7 @@ def describe(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame
     quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], groups)
     if groups:
         return moments.join(quartiles, list(groups), "left")
-    return moments.crossJoin(F.broadcast(quartiles))  # one row each
+    return moments.withColumns(one_row(quartiles))
 
 
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
@@ -211,14 +208,15 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
         *[F.max(c).cast("double").alias(f"_hi_{c}") for c in columns],
     )
 
+    edge = one_row(limits)
+
     def cell(c: str) -> Column:
-        place = ratio(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * bins
+        place = ratio(F.col(c) - edge[f"_lo_{c}"], edge[f"_hi_{c}"] - edge[f"_lo_{c}"]) * bins
         place = F.when(F.col(c).isNotNull(), F.coalesce(place, F.lit(0.0)))
         return F.struct(F.lit(c).alias("column"), F.least(F.floor(place), F.lit(bins - 1)).alias("bin"))
 
     counted = (
-        df.crossJoin(F.broadcast(limits))
-        .select(F.explode(F.array(*[cell(c) for c in columns])).alias("cell"))
+        df.select(F.explode(F.array(*[cell(c) for c in columns])).alias("cell"))
         .select("cell.column", "cell.bin")
         .filter(F.col("bin").isNotNull())
         .groupBy("column", "bin")

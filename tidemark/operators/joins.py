@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.frames import keep_first
 from tidemark.operators.order import row_index
+from tidemark.session import one_row
 
 
 def articles_with_prices(news: DataFrame, prices: DataFrame) -> DataFrame:
@@ -63,12 +64,8 @@ def lookup_join(
     task gives every row the same salt.
     """
     counts = facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    size = facts.agg(F.count(F.lit(1)).alias("_all"))
-    hot = F.broadcast(
-        counts.crossJoin(F.broadcast(size))
-        .filter(F.col("_n") >= F.col("_all") * hot_share)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    size = one_row(facts.agg(F.count(F.lit(1)).alias("n")))["n"]
+    hot = F.broadcast(counts.filter(F.col("_n") >= size * hot_share).select(key, F.lit(True).alias("_hot")))
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(copies)).cast("int")
     salted = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
     spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise, shuffle_width
+from tidemark.session import materialise, one_row, shuffle_width
 
 
 def running_total(
@@ -80,10 +80,7 @@ def exact_quantiles(
     """Quantiles with linear interpolation between neighbours, one row per group."""
     counts = value_counts_in_order(df, value, groups)
     sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_n"))
-    if groups:
-        sized = counts.join(sizes, list(groups))
-    else:
-        sized = counts.crossJoin(F.broadcast(sizes))  # one row
+    sized = counts.join(sizes, list(groups)) if groups else counts.withColumn("_n", one_row(sizes)["_n"])
 
     def at(position: Column) -> Column:
         here = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
@@ -107,7 +104,7 @@ def quantile_bins(
 ) -> DataFrame:
     """Bin by quantile edges: right closed, lowest value included, zero-based, null stays null.
 
-    Equal edges are an error unless `duplicates="drop"`. The edges are one row.
+    Equal edges are an error unless `duplicates="drop"`. The edges enter the scan as scalars.
     """
     names = [f"_edge{i}" for i in range(bins + 1)]
     edges = exact_quantiles(df, value, [i / bins for i in range(bins + 1)], names)
@@ -119,44 +116,34 @@ def quantile_bins(
             names[0],
             F.when(same, F.raise_error(f"quantile edges of {value} are not unique")).otherwise(F.col(names[0])),
         )
-    edged = df.crossJoin(F.broadcast(edges))
+    scalars = one_row(edges)
+    edge = [scalars[n] for n in names]
     rank = F.lit(0)
     for i in range(1, bins):
         # an edge equal to the one before it bounds an empty bin and is skipped
-        real = F.col(names[i]) > F.col(names[i - 1])
-        rank = rank + (real & (F.col(value) > F.col(names[i]))).cast("int")
-    checked = F.when(F.col(value).isNotNull() & F.col(names[0]).isNotNull(), rank)
-    result = edged.withColumn(out, checked)
+        rank = rank + ((edge[i] > edge[i - 1]) & (F.col(value) > edge[i])).cast("int")
+    result = df.withColumn(out, F.when(F.col(value).isNotNull() & edge[0].isNotNull(), rank))
     if keep_edges:
-        low, high = F.col(names[0]), F.col(names[1])
-        for i in range(1, bins):
-            inside = F.col(out) >= i
-            low = F.when(inside, F.col(names[i])).otherwise(low)
-            high = F.when(inside, F.col(names[i + 1])).otherwise(high)
-        result = result.withColumn(f"{out}_low", low).withColumn(f"{out}_high", high)
-    return result.drop(*names)
+        place = (F.col(out) + 1).cast("int")
+        result = result.withColumn(f"{out}_low", F.element_at(F.array(*edge[:-1]), place))
+        result = result.withColumn(f"{out}_high", F.element_at(F.array(*edge[1:]), place))
+    return result
 
 
 def rank_groups(df: DataFrame, value: str, groups: int, out: str) -> DataFrame:
     """Group floor(rank * groups / (n + 1)) with mean ranks on ties; nulls stay unranked.
 
     Groups rise with the value, so each is fixed by its smallest value: the table is compared
-    with at most `groups` thresholds in one broadcast row and is never shuffled by value.
+    with fewer than `groups` thresholds and is never shuffled by value.
     """
     counts = value_counts_in_order(df, value)
-    sizes = counts.agg(F.sum("n").alias("_n"))
+    size = one_row(counts.agg(F.sum("n").alias("n")))["n"]
     mean_rank = F.col("before") + (F.col("n") + 1) / 2
-    ranked = counts.crossJoin(F.broadcast(sizes)).withColumn(
-        "_group", F.floor(mean_rank * groups / (F.col("_n") + 1))
-    )
-    starts = ranked.agg(
-        *[F.min(F.when(F.col("_group") >= g, F.col(value))).alias(f"_start{g}") for g in range(1, groups)]
+    ranked = counts.withColumn("_group", F.floor(mean_rank * groups / (size + 1)))
+    starts = one_row(
+        ranked.agg(*[F.min(F.when(F.col("_group") >= g, F.col(value))).alias(f"_{g}") for g in range(1, groups)])
     )
     rank = F.lit(0)
-    for g in range(1, groups):
-        rank = rank + F.coalesce((F.col(value) >= F.col(f"_start{g}")).cast("int"), F.lit(0))
-    return (
-        df.crossJoin(F.broadcast(starts))
-        .withColumn(out, F.when(F.col(value).isNotNull(), rank))
-        .drop(*[f"_start{g}" for g in range(1, groups)])
-    )
+    for start in starts.values():
+        rank = rank + F.coalesce((F.col(value) >= start).cast("int"), F.lit(0))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import period_end, period_start
 from tidemark.operators.aggregates import compounded_return
 
 
+def steady(value: Column, places: int) -> Column:
+    """Round off the last bits, which depend on the order rows were added in.
+
+    Period values are compared and ranked later, so they must be the same in every evaluation.
+    """
+    return F.rint(value * 10.0**places) / 10.0**places
+
+
 def resample(panel: DataFrame, freq: str) -> DataFrame:
     """Calendar periods per ticker named by their last day, empty periods kept.
 
@@ -19,17 +27,17 @@ def resample(panel: DataFrame, freq: str) -> DataFrame:
     periods = panel.groupBy("TICKER", period_end(F.col("date"), freq).alias("date")).agg(
         F.min_by("SICCD", "date").alias("SICCD"),
         F.min_by("COMNAM", "date").alias("COMNAM"),
-        F.avg("market_cap").alias("market_cap"),
+        steady(F.avg("market_cap"), 8).alias("market_cap"),
         F.avg("SHROUT").alias("SHROUT"),
         F.avg("VOL").alias("VOL"),
-        F.avg("PRC").alias("PRC"),
+        steady(F.avg("PRC"), 8).alias("PRC"),
         F.max("ASKHI").alias("ASKHI"),
         F.min("BIDLO").alias("BIDLO"),
         F.sum("total").alias("total"),
         F.sum("negative").alias("negative"),
         F.sum("positive").alias("positive"),
-        compounded_return("sprtrn").alias("sprtrn"),
-        compounded_return("RET").alias("RET"),
+        steady(compounded_return("sprtrn"), 12).alias("sprtrn"),
+        steady(compounded_return("RET"), 12).alias("RET"),
     )
     following = F.lead("date").over(Window.partitionBy("TICKER").orderBy("date"))
     if freq == "weekly":
@@ -61,17 +69,17 @@ def rollup(panel: DataFrame, freq: str) -> DataFrame:
     return panel.groupBy("TICKER", period_start(F.col("date"), freq).alias("start")).agg(
         F.min_by("SICCD", "date").alias("SICCD"),
         F.min_by("COMNAM", "date").alias("COMNAM"),
-        F.avg("market_cap").alias("mean_market_cap"),
+        steady(F.avg("market_cap"), 8).alias("mean_market_cap"),
         F.avg("SHROUT").alias("mean_SHROUT"),
         F.avg("VOL").alias("mean_VOL"),
-        F.avg("PRC").alias("mean_PRC"),
+        steady(F.avg("PRC"), 8).alias("mean_PRC"),
         F.max("ASKHI").alias("max_ASKHI"),
         F.min("BIDLO").alias("min_BIDLO"),
         F.sum("total").alias("sum_total"),
         F.sum("negative").alias("sum_negative"),
         F.sum("positive").alias("sum_positive"),
-        F.sum("sprtrn").alias("sum_sprtrn"),
-        F.sum("RET").alias("sum_RET"),
+        steady(F.sum("sprtrn"), 10).alias("sum_sprtrn"),
+        steady(F.sum("RET"), 10).alias("sum_RET"),
     )
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from tidemark.config import Frequency
 from tidemark.functions.values import at_least_one, ratio
 from tidemark.operators.frames import keep_first
+from tidemark.operators.order import exact_quantiles
+from tidemark.session import one_row
 
 
 def by_ticker(date: str = "date", ticker: str = "TICKER"):
@@ -81,10 +83,9 @@ def with_features(df: DataFrame, freq: Frequency, date: str = "date") -> DataFra
 
 
 def drop_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
-    """Rows within `limit` standard deviations of the mean; mean and deviation are one row."""
-    stats = df.agg(F.avg(column).alias("_mean"), F.stddev_samp(column).alias("_std"))
-    z = ratio(F.col(column) - F.col("_mean"), F.col("_std"))
-    return df.crossJoin(F.broadcast(stats)).filter(F.abs(z) < limit).drop("_mean", "_std")
+    """Rows within `limit` standard deviations of the mean of the table."""
+    whole = one_row(df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")))
+    return df.filter(F.abs(ratio(F.col(column) - whole["mean"], whole["std"])) < limit)
 
 
 def standardise(df: DataFrame, columns: Sequence[str], ticker: str = "TICKER") -> DataFrame:
@@ -109,11 +110,5 @@ def trim_to_quantiles(
     df: DataFrame, train: DataFrame, column: str, low: float = 0.025, high: float = 0.975
 ) -> DataFrame:
     """Rows inside the quantiles of the train set, both ends included."""
-    from tidemark.operators.order import exact_quantiles
-
-    limits = exact_quantiles(train, column, [low, high], ["_low", "_high"])
-    return (
-        df.crossJoin(F.broadcast(limits))
-        .filter(F.col(column).between(F.col("_low"), F.col("_high")))
-        .drop("_low", "_high")
-    )
+    limits = one_row(exact_quantiles(train, column, [low, high], ["low", "high"]))
+    return df.filter(F.col(column).between(limits["low"], limits["high"]))

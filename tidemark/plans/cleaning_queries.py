@@ -225,7 +225,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return t.panel.select(
+    return t.prices.select(
         "TICKER", "date", *[values.at_least_one(C(c)).alias(f"dummy_{c}") for c in ("positive", "negative", "total")]
     )
 
@@ -248,7 +248,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return t.panel.select(
+    return t.prices.select(
         "TICKER", "date", (C("ASKHI") - C("BIDLO")).alias("spread"), (C("PRC") * C("SHROUT")).alias("market_cap"),
         values.share(C("positive"), C("total")).alias("positive_share"),
     )

@@ -220,7 +220,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    kept = aggregates.largest_companies(t.panel, 25)
+    kept = aggregates.largest_companies(t.prices, 25)
     return kept.groupBy("TICKER").agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("news"))
 
 
@@ -231,7 +231,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return t.panel.select("TICKER", "date", "RET").orderBy(C("date").asc(), C("RET").desc())
+    return t.prices.select("TICKER", "date", "RET").orderBy(C("date").asc(), C("RET").desc())
 
 
 @query(
@@ -241,7 +241,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return aggregates.top_groups(t.panel, "TICKER", F.avg("market_cap"), 10)
+    return aggregates.top_groups(t.prices, "TICKER", F.avg("market_cap"), 10)
 
 
 @query(
@@ -251,6 +251,6 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return t.panel.groupBy("TICKER").agg(F.max_by("PRC", "date").alias("last_price"), F.max("date").alias("last_date"))
+    return t.prices.groupBy("TICKER").agg(F.max_by("PRC", "date").alias("last_price"), F.max("date").alias("last_date"))
 
 

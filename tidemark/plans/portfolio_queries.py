@@ -8,6 +8,7 @@ from tidemark import config
 from tidemark.operators import portfolio, windows
 from tidemark.plans.registry import query
 from tidemark.plans.window_queries import WEIGHTS_SQL, predictions
+from tidemark.session import one_row
 from tidemark.streaming import news_counts
 
 C = F.col
@@ -172,8 +173,8 @@ def _(t):
 )
 def _(t):
     series = returns(t)
-    first = series.agg(F.min("TICKER").alias("TICKER"))
-    return portfolio.cumulative(series.join(F.broadcast(first), "TICKER", "left_semi"), "TICKER")
+    first = one_row(series.agg(F.min("TICKER").alias("TICKER")))["TICKER"]
+    return portfolio.cumulative(series.filter(C("TICKER") == first), "TICKER")
 
 
 @query(

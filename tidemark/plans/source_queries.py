@@ -62,7 +62,7 @@ def _(t):
 )
 def _(t):
     path = scratch_path(t.spark, "features")
-    table = t.panel.select(
+    table = t.prices.select(
         F.lit("dowjones").alias("universe"), F.lit("daily").alias("freq"), "TICKER", "date", "RET", "total"
     )
     files.write_table(table, path, "parquet", ["universe", "freq"])
@@ -127,7 +127,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return preview(t.panel, [F.col("date"), F.col("TICKER")], 20)
+    return preview(t.prices, [F.col("date"), F.col("TICKER")], 20)
 
 
 @query("a09_positional_slice", "s_name:s s_nationkey:i", "SELECT s_name, s_nationkey FROM supplier")

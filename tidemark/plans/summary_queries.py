@@ -37,8 +37,8 @@ NEWS_KINDS = "total_positive:i total_negative:i total:i"
 SHARE_KINDS = "positive_perc:f9 negative_perc:f9"
 
 
-def lagged(t):
-    return windows.with_lagged_return(t.panel)
+def lagged(t, source: str = "panel"):
+    return windows.with_lagged_return(getattr(t, source))
 
 
 def lagged_periods(t, freq):
@@ -98,7 +98,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return aggregates.size_summary(order.quantile_bins(t.panel, "market_cap", 10, "comp_size"), "comp_size")
+    return aggregates.size_summary(order.quantile_bins(t.prices, "market_cap", 10, "comp_size"), "comp_size")
 
 
 @query(
@@ -110,7 +110,7 @@ def _(t):
 )
 def _(t):
     groups = config.SIZE_GROUPS["dowjones", "daily"]
-    ranked = order.rank_groups(lagged(t), "market_cap", groups, "comp_size")
+    ranked = order.rank_groups(lagged(t, "prices"), "market_cap", groups, "comp_size")
     named = ranked.withColumn("size_group", values.band_label((C("comp_size") > 20).cast("int"), ("11-30", "Top 10")))
     return aggregates.size_summary(aggregates.with_news(named), "size_group")
 
@@ -155,7 +155,7 @@ def _(t):
 
 
 def _stock_deciles(t):
-    ranked = order.rank_groups(lagged(t), "RET", 10, "rank")
+    ranked = order.rank_groups(lagged(t, "prices"), "RET", 10, "rank")
     return ranked.withColumn("percentile_range", values.band_label(C("rank"), config.DECILE_LABELS))
 
 
@@ -216,7 +216,7 @@ DESCRIBE_SQL = """count(RET) AS count, avg(RET) AS mean, stddev_samp(RET) AS std
 
 @query("d13_describe", DESCRIBE, f"SELECT {DESCRIBE_SQL} FROM panel", ["panel"])
 def _(t):
-    return aggregates.describe(t.panel, "RET")
+    return aggregates.describe(t.prices, "RET")
 
 
 @query(
@@ -228,7 +228,7 @@ def _(t):
 )
 def _(t):
     category = labels.last_true([(C("positive"), "positive"), (C("negative"), "negative")])
-    return aggregates.describe(t.panel.withColumn("category", category), "RET", ["category"])
+    return aggregates.describe(t.prices.withColumn("category", category), "RET", ["category"])
 
 
 @query(
@@ -238,7 +238,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return t.panel.groupBy("TICKER", F.year("date").alias("year")).agg(aggregates.compounded_return("RET").alias("cum_ret"))
+    return t.prices.groupBy("TICKER", F.year("date").alias("year")).agg(aggregates.compounded_return("RET").alias("cum_ret"))
 
 
 PERIOD_KINDS = (
@@ -306,7 +306,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return aggregates.mode_per_group(t.panel, ["date"], "RET")
+    return aggregates.mode_per_group(t.prices, ["date"], "RET")
 
 
 DUMMIES = ("dummy_negative", "dummy_positive", "dummy_total")

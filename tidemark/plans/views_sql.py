@@ -25,6 +25,10 @@ def _features(source: str, freq: str) -> str:
             FROM {source} WINDOW w AS (PARTITION BY TICKER ORDER BY date))"""
 
 
+def _steady(value: str, places: int) -> str:
+    return f"round_even({value} * 1e{places}, 0) / 1e{places}"
+
+
 def _resampled(period: str, calendar: str) -> str:
     return f"""
       SELECT c.TICKER, c.date, p.SICCD, p.COMNAM, p.market_cap, p.SHROUT, p.VOL, p.PRC, p.ASKHI, p.BIDLO,
@@ -33,9 +37,9 @@ def _resampled(period: str, calendar: str) -> str:
       FROM (SELECT DISTINCT TICKER, {calendar} AS date
             FROM (SELECT TICKER, min({period}) AS lo, max({period}) AS hi FROM panel GROUP BY TICKER)) c
       LEFT JOIN (SELECT TICKER, {period} AS date, arg_min(SICCD, date) AS SICCD, arg_min(COMNAM, date) AS COMNAM,
-                   avg(market_cap) AS market_cap, avg(SHROUT) AS SHROUT, avg(VOL) AS VOL, avg(PRC) AS PRC,
-                   max(ASKHI) AS ASKHI, min(BIDLO) AS BIDLO, sum(total) AS total, sum(negative) AS negative,
-                   sum(positive) AS positive, product(1 + sprtrn) - 1 AS sprtrn, product(1 + RET) - 1 AS RET
+                   {_steady('avg(market_cap)', 8)} AS market_cap, avg(SHROUT) AS SHROUT, avg(VOL) AS VOL,
+                   {_steady('avg(PRC)', 8)} AS PRC, max(ASKHI) AS ASKHI, min(BIDLO) AS BIDLO, sum(total) AS total, sum(negative) AS negative,
+                   sum(positive) AS positive, {_steady('(product(1 + sprtrn) - 1)', 12)} AS sprtrn, {_steady('(product(1 + RET) - 1)', 12)} AS RET
                  FROM panel GROUP BY TICKER, {period}) p
         ON c.TICKER = p.TICKER AND c.date = p.date"""
 
@@ -43,9 +47,9 @@ def _resampled(period: str, calendar: str) -> str:
 def _rollup(start: str) -> str:
     return f"""
       SELECT TICKER, {start} AS start, arg_min(SICCD, date) AS SICCD, arg_min(COMNAM, date) AS COMNAM,
-             avg(market_cap) AS mean_market_cap, avg(SHROUT) AS mean_SHROUT, avg(VOL) AS mean_VOL, avg(PRC) AS mean_PRC,
+             {_steady('avg(market_cap)', 8)} AS mean_market_cap, avg(SHROUT) AS mean_SHROUT, avg(VOL) AS mean_VOL, {_steady('avg(PRC)', 8)} AS mean_PRC,
              max(ASKHI) AS max_ASKHI, min(BIDLO) AS min_BIDLO, sum(total) AS sum_total, sum(negative) AS sum_negative,
-             sum(positive) AS sum_positive, sum(sprtrn) AS sum_sprtrn, sum(RET) AS sum_RET
+             sum(positive) AS sum_positive, {_steady('sum(sprtrn)', 10)} AS sum_sprtrn, {_steady('sum(RET)', 10)} AS sum_RET
       FROM panel GROUP BY TICKER, {start}"""
 
 

@@ -21,7 +21,7 @@ WEEKLY_KINDS = "TICKER:s date:d next_week_return:f9 last_week_return:f9 last_wee
     ["features"],
 )
 def _(t):
-    return windows.with_lags(t.panel, DAILY)
+    return windows.with_lags(t.prices, DAILY)
 
 
 @query(
@@ -41,22 +41,22 @@ def _(t):
     ["lagged"],
 )
 def _(t):
-    return lagged(t)
+    return lagged(t, "prices")
 
 
 @query(
     "e03_rolling_means",
-    "TICKER:s date:d 10_day_ma:f 20_day_ma:f 30_day_ma:f",
+    "TICKER:s date:d 10_day_ma:f4 20_day_ma:f4 30_day_ma:f4",
     'SELECT TICKER, date, "10_day_ma", "20_day_ma", "30_day_ma" FROM features',
     ["features"],
 )
 def _(t):
-    return windows.with_averages(t.panel, DAILY)
+    return windows.with_averages(t.prices, DAILY)
 
 
 @query(
     "e03_rolling_means_monthly",
-    "TICKER:s date:d 1_month_ma:f 2_month_ma:f 3_month_ma:f",
+    "TICKER:s date:d 1_month_ma:f4 2_month_ma:f4 3_month_ma:f4",
     'SELECT TICKER, date, "1_month_ma", "2_month_ma", "3_month_ma" FROM features_monthly',
     ["features_monthly"],
 )
@@ -66,7 +66,7 @@ def _(t):
 
 @query("e04_average_order", "TICKER:s date:d proper:b", "SELECT TICKER, date, proper FROM features", ["features"])
 def _(t):
-    return windows.with_averages(t.panel, DAILY)
+    return windows.with_averages(t.prices, DAILY)
 
 
 @query(
@@ -77,7 +77,7 @@ def _(t):
     ["features"],
 )
 def _(t):
-    return windows.with_averages(t.panel, DAILY).withColumns(
+    return windows.with_averages(t.prices, DAILY).withColumns(
         {f"move_avg_{n}": windows.average_above_price(C(f"{n}_day_ma"), C("PRC")) for n in (10, 20, 30)}
     )
 
@@ -89,7 +89,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return order.quantile_bins(t.panel, "market_cap", DAILY.size_bins, "comp_size")
+    return order.quantile_bins(t.prices, "market_cap", DAILY.size_bins, "comp_size")
 
 
 @query(
@@ -110,7 +110,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return order.rank_groups(t.panel, "RET", 10, "rank")
+    return order.rank_groups(t.prices, "RET", 10, "rank")
 
 
 @query(
@@ -124,7 +124,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    kept = windows.drop_outliers(windows.drop_outliers(t.panel, "PRC"), "VOL")
+    kept = windows.drop_outliers(windows.drop_outliers(t.prices, "PRC"), "VOL")
     return kept.groupBy("TICKER").agg(F.count(F.lit(1)).alias("n"), F.sum(C("ASKHI") - C("BIDLO")).alias("spread_sum"))
 
 
@@ -156,7 +156,7 @@ def _(t):
 )
 def _(t):
     """Running return within each ticker and year."""
-    yearly = t.panel.select(F.concat_ws("|", "TICKER", F.year("date").cast("string")).alias("SERIES"), "TICKER", "date", "RET")
+    yearly = t.prices.select(F.concat_ws("|", "TICKER", F.year("date").cast("string")).alias("SERIES"), "TICKER", "date", "RET")
     return yearly.withColumn("CUM_RET", windows.compounded("RET", "date", "SERIES"))
 
 
@@ -222,5 +222,5 @@ def _(t):
     ["features"],
 )
 def _(t):
-    train = windows.with_lags(t.panel, DAILY).filter(F.year("date") < 2000)
+    train = windows.with_lags(t.prices, DAILY).filter(F.year("date") < 2000)
     return windows.trim_to_quantiles(train, train, "tomorrow_return")

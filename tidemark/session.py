@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "tidemark") -> SparkSession:
@@ -37,15 +38,37 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for an intermediate table."""
-    return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables this application wrote."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder so every later reader sees the same rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` once to the shared folder and go on from there.
+
+    Every later reader sees the same rows, a lost executor costs no recomputation, and unlike a
+    checkpoint the last stage runs only once and readers can pick columns.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_row(stats: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row table as scalars to use in expressions on other tables."""
+    row = stats.select(F.struct(*stats.columns).alias("row")).scalar()
+    return {c: row.getField(c) for c in stats.columns}
 
 
 def shuffle_width(spark: SparkSession) -> int:

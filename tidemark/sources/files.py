@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.order import row_index
+from tidemark.session import one_row
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -64,11 +65,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
 
 def with_shard(df: DataFrame, order: Sequence[str], shards: int, out: str = "shard") -> DataFrame:
     """Equal contiguous shards numbered from 1 in the stated order; the last takes the remainder."""
-    sizes = df.agg(F.floor(F.count(F.lit(1)) / shards).alias("_length"))
-    place = F.floor(F.try_divide(F.col("_i"), F.col("_length")))
-    return (
-        row_index(df, order, "_i")
-        .crossJoin(F.broadcast(sizes))
-        .withColumn(out, F.least(F.coalesce(place, F.lit(shards - 1)), F.lit(shards - 1)) + 1)
-        .drop("_i", "_length")
-    )
+    length = one_row(df.agg(F.floor(F.count(F.lit(1)) / shards).alias("n")))["n"]
+    place = F.floor(F.try_divide(F.col("_i"), length))
+    last = F.lit(shards - 1)
+    return row_index(df, order, "_i").withColumn(out, F.least(F.coalesce(place, last), last) + 1).drop("_i")

@@ -30,16 +30,15 @@ class Tables:
 
     @cached_property
     def prices(self) -> DataFrame:
-        """One row per supplier and ship day, with the day's mean return as market return."""
-        cents = F.col("l_extendedprice") * 100
+        """One row per supplier and ship day: the price table without market and company data."""
         unit = F.col("l_extendedprice") / F.col("l_quantity")
         flag = F.col("l_returnflag")
         spread = F.round(F.col("l_discount") * 100).cast("bigint") - F.round(F.col("l_tax") * 100).cast("bigint")
-        day = (
+        return (
             self["lineitem"]
             .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
             .agg(
-                F.sum(F.round(cents).cast("bigint")).alias("_cents"),
+                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("_cents"),
                 F.sum("l_quantity").alias("VOL"),
                 F.max(unit).alias("ASKHI"),
                 F.min(unit).alias("BIDLO"),
@@ -53,28 +52,27 @@ class Tables:
             .withColumn("PRC", F.col("_cents") / (F.col("VOL") * 100.0))
             .withColumn("RET", F.col("_micro") / 1e6)
             .withColumn("market_cap", F.col("PRC") * F.col("SHROUT"))
+            .withColumn("TICKER", F.col("l_suppkey").cast("string"))
         )
-        market = day.groupBy("date").agg(
-            (F.sum("_micro") / (F.count(F.lit(1)) * 1e6)).alias("sprtrn")
-        )
+
+    @cached_property
+    def panel(self) -> DataFrame:
+        """Prices with the market return of the day and the company's name and industry."""
+        market = self.prices.groupBy("date").agg((F.sum("_micro") / (F.count(F.lit(1)) * 1e6)).alias("sprtrn"))
         firms = self["supplier"].select(
             F.col("s_suppkey").alias("l_suppkey"),
             (F.col("s_nationkey") * 10 + F.col("s_suppkey") % 10).cast("bigint").alias("SICCD"),
             F.col("s_name").alias("COMNAM"),
         )
         return (
-            day.join(market, "date")
+            self.prices.join(F.broadcast(market), "date")  # one row per calendar day, however much data there is
             .join(firms, "l_suppkey")
             .select(
-                F.col("l_suppkey").cast("string").alias("TICKER"), "date", "COMNAM", "SICCD", "PRC", "ASKHI", "BIDLO",
-                "VOL", "SHROUT", "RET", "positive", "negative", "total", "market_cap", "sprtrn",
+                "TICKER", "date", "COMNAM", "SICCD", "PRC", "ASKHI", "BIDLO", "VOL", "SHROUT", "RET", "positive",
+                "negative", "total", "market_cap", "sprtrn",
             )
         )
 
-    @property
-    def panel(self) -> DataFrame:
-        return self.prices
-
     def periods(self, freq: str) -> DataFrame:
         return self.panel if freq == "daily" else resample(self.panel, freq)
 
