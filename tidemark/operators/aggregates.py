@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import ratio
-from tidemark.operators.order import exact_quantiles
-from tidemark.session import one_row
+from tidemark.operators.order import grouped_quantiles, quantile_values
+from tidemark.session import one_row, packed_row
 
 NEWS = ("positive", "negative", "total")
 
@@ -123,15 +126,16 @@ def describe(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame
         F.min(value).alias("min"),
         F.max(value).alias("max"),
     )
-    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], groups)
     if groups:
+        quartiles = grouped_quantiles(df, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], groups)
         return moments.join(quartiles, list(groups), "left")
-    return moments.withColumns(one_row(quartiles))
+    values = quantile_values(df, value, [0.25, 0.5, 0.75])
+    return moments.withColumns({n: F.lit(v).cast("double") for n, v in zip(("q25", "q50", "q75"), values)})
 
 
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Quartiles, spread between them and whisker limits by group."""
-    quartiles = exact_quantiles(df, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], groups)
+    quartiles = grouped_quantiles(df, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], groups)
     return (
         quartiles.withColumn("iqr", F.col("q75") - F.col("q25"))
         .withColumn("lower_limit", F.col("q25") - 1.5 * F.col("iqr"))
@@ -208,15 +212,16 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
         *[F.max(c).cast("double").alias(f"_hi_{c}") for c in columns],
     )
 
-    edge = one_row(limits)
+    low, high = (lambda c: F.col("_limits")[f"_lo_{c}"]), (lambda c: F.col("_limits")[f"_hi_{c}"])
 
     def cell(c: str) -> Column:
-        place = ratio(F.col(c) - edge[f"_lo_{c}"], edge[f"_hi_{c}"] - edge[f"_lo_{c}"]) * bins
+        place = ratio(F.col(c) - low(c), high(c) - low(c)) * bins
         place = F.when(F.col(c).isNotNull(), F.coalesce(place, F.lit(0.0)))
         return F.struct(F.lit(c).alias("column"), F.least(F.floor(place), F.lit(bins - 1)).alias("bin"))
 
     counted = (
-        df.select(F.explode(F.array(*[cell(c) for c in columns])).alias("cell"))
+        df.withColumn("_limits", packed_row(limits))
+        .select(F.explode(F.array(*[cell(c) for c in columns])).alias("cell"))
         .select("cell.column", "cell.bin")
         .filter(F.col("bin").isNotNull())
         .groupBy("column", "bin")
@@ -236,14 +241,20 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairwise correlation on rows where every column is present, upper triangle."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    complete = df.select(*columns).dropna()
+    """Pairwise correlation on rows where every column is present, upper triangle.
+
+    Rows are centred and multiplied as vectors; only the columns-by-columns matrix reaches the driver.
+    """
+    complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(complete).select("features")
+    matrix = Correlation.corr(vectors, "features").first()[0].toArray()
     rows = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("correlation"))
-        for i, (a, b) in enumerate(pairs)
+        (a, b, None if math.isnan(matrix[i][j]) else float(matrix[i][j]))
+        for i, a in enumerate(columns)
+        for j, b in enumerate(columns)
+        if i < j
     ]
-    return _stack(complete.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]), rows)
+    return df.sparkSession.createDataFrame(rows, "a string, b string, correlation double")
 
 
 def sign_confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -4,16 +4,23 @@ A window without ``partitionBy`` moves every row into one task, and so does an e
 percentile aggregate for its distinct values. Here rows are pre-aggregated to one row per
 distinct value, spread by value range, counted inside each range, and the ranges are then
 shifted by the totals of the ranges before them (one small row per range and group).
+
+The quantile and rank-group operators read their input up to three times and keep their answers
+as literals. Give them a stored table (see `materialise`) when the input is costly to derive.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise, one_row, shuffle_width
+from tidemark.session import materialise, shuffle_width
+
+# Quantile sketches are off by at most 1 / SKETCH_ACCURACY of the rows; brackets are twice as wide.
+SKETCH_ACCURACY = 1000
 
 
 def running_total(
@@ -74,13 +81,80 @@ def value_counts_in_order(
     return running_total(counts, [value], "n", "before", groups)
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], groups: Sequence[str] = ()
+def counts_near(df: DataFrame, value: str, probs: Sequence[float]) -> tuple[int, DataFrame]:
+    """Exact counts of the values around some quantiles; everything between is one lump each.
+
+    A coarse sketch brackets every quantile. A second pass counts the values inside the brackets
+    and adds up the rows between them, so a few percent of the distinct values are shuffled, not
+    all of them. Returns the number of non-null rows and a table (`value`, `n`, `before`, `lump`);
+    a lump stands under its smallest value.
+    """
+    marks = sorted({min(max(p + s * 2.0 / SKETCH_ACCURACY, 0.0), 1.0) for p in probs for s in (-1, 1)})
+    sketch = df.agg(
+        F.count(value).alias("n"),
+        F.percentile_approx(F.col(value), [float(m) for m in marks], SKETCH_ACCURACY).alias("at"),
+    ).first()
+    if not sketch["n"]:
+        empty = df.select(value, *[F.lit(0).cast("bigint").alias(c) for c in ("n", "before")], F.lit(False).alias("lump"))
+        return 0, empty.limit(0)
+    at = dict(zip(marks, sketch["at"]))
+    spans: list[list] = []
+    for p in sorted(probs):
+        low, high = (at[min(max(p + s * 2.0 / SKETCH_ACCURACY, 0.0), 1.0)] for s in (-1, 1))
+        if spans and low <= spans[-1][1]:
+            spans[-1][1] = max(high, spans[-1][1])
+        else:
+            spans.append([low, high])
+    v = F.col(value)
+    place = F.lit(0)
+    for low, high in spans:  # odd places are brackets, even ones lie between
+        place = place + (v >= F.lit(low)).cast("int") + (v > F.lit(high)).cast("int")
+    cells = (
+        df.filter(v.isNotNull())
+        .select(v, place.alias("_place"))
+        .withColumn("_near", F.when(F.col("_place") % 2 == 1, v))
+        .groupBy("_place", "_near")
+        .agg(F.min(value).alias(value), F.count(F.lit(1)).alias("n"))
+        .select(value, "n", F.col("_near").isNull().alias("lump"))
+    )
+    return sketch["n"], running_total(cells, [value], "n", "before").select(value, "n", "before", "lump")
+
+
+def _lumped(positions: Sequence[int]) -> Column:
+    """Whether any of the (one-based) positions falls into a lump."""
+    missed = F.lit(False)
+    for position in positions:
+        missed = missed | ((F.col("before") < position) & (position <= F.col("before") + F.col("n")))
+    return F.coalesce(F.max(F.col("lump") & missed), F.lit(False))
+
+
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a whole column, linear between neighbours. Only the answers reach the driver."""
+    n, counts = counts_near(df, value, probs)
+    if n == 0:
+        return [None] * len(probs)
+    steps = [(n - 1) * float(p) for p in probs]
+    positions = sorted({int(f(h)) + 1 for h in steps for f in (math.floor, math.ceil)})
+    picks = [
+        F.max(F.when((F.col("before") < k) & (k <= F.col("before") + F.col("n")), F.col(value))).alias(f"_{k}")
+        for k in positions
+    ]
+    found = counts.agg(_lumped(positions).alias("missed"), *picks).first()
+    if found["missed"]:  # the sketch was off; count every distinct value instead
+        found = value_counts_in_order(df, value).agg(*picks).first()
+    result = []
+    for h in steps:
+        low, high = (float(found[f"_{int(f(h)) + 1}"]) for f in (math.floor, math.ceil))
+        result.append(low + (high - low) * (h - math.floor(h)))
+    return result
+
+
+def grouped_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], groups: Sequence[str]
 ) -> DataFrame:
-    """Quantiles with linear interpolation between neighbours, one row per group."""
+    """Exact quantiles by group, linear between neighbours, for any number of groups."""
     counts = value_counts_in_order(df, value, groups)
-    sizes = counts.groupBy(*groups).agg(F.sum("n").alias("_n"))
-    sized = counts.join(sizes, list(groups)) if groups else counts.withColumn("_n", one_row(sizes)["_n"])
+    sized = counts.join(counts.groupBy(*groups).agg(F.sum("n").alias("_n")), list(groups))
 
     def at(position: Column) -> Column:
         here = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
@@ -104,29 +178,23 @@ def quantile_bins(
 ) -> DataFrame:
     """Bin by quantile edges: right closed, lowest value included, zero-based, null stays null.
 
-    Equal edges are an error unless `duplicates="drop"`. The edges enter the scan as scalars.
+    Equal edges are an error unless `duplicates="drop"`. The few edges enter the plan as literals.
     """
-    names = [f"_edge{i}" for i in range(bins + 1)]
-    edges = exact_quantiles(df, value, [i / bins for i in range(bins + 1)], names)
-    if duplicates == "raise":
-        same = F.lit(False)
-        for low, high in zip(names, names[1:]):
-            same = same | (F.col(low) >= F.col(high))
-        edges = edges.withColumn(
-            names[0],
-            F.when(same, F.raise_error(f"quantile edges of {value} are not unique")).otherwise(F.col(names[0])),
-        )
-    scalars = one_row(edges)
-    edge = [scalars[n] for n in names]
+    edges = quantile_values(df, value, [i / bins for i in range(bins + 1)])
+    if edges[0] is None:
+        return df.withColumn(out, F.lit(None).cast("int"))
+    # an edge equal to the one before it bounds an empty bin
+    unique = edges[:1] + [high for low, high in zip(edges, edges[1:]) if high > low]
+    if len(unique) < len(edges) and duplicates == "raise":
+        raise ValueError(f"quantile edges of {value} are not unique: {edges}")
     rank = F.lit(0)
-    for i in range(1, bins):
-        # an edge equal to the one before it bounds an empty bin and is skipped
-        rank = rank + ((edge[i] > edge[i - 1]) & (F.col(value) > edge[i])).cast("int")
-    result = df.withColumn(out, F.when(F.col(value).isNotNull() & edge[0].isNotNull(), rank))
+    for edge in unique[1:-1]:
+        rank = rank + (F.col(value) > edge).cast("int")
+    result = df.withColumn(out, F.when(F.col(value).isNotNull(), rank))
     if keep_edges:
-        place = (F.col(out) + 1).cast("int")
-        result = result.withColumn(f"{out}_low", F.element_at(F.array(*edge[:-1]), place))
-        result = result.withColumn(f"{out}_high", F.element_at(F.array(*edge[1:]), place))
+        bounds = F.array(*[F.lit(e) for e in unique])
+        result = result.withColumn(f"{out}_low", F.element_at(bounds, (F.col(out) + 1).cast("int")))
+        result = result.withColumn(f"{out}_high", F.element_at(bounds, (F.col(out) + 2).cast("int")))
     return result
 
 
@@ -134,16 +202,24 @@ def rank_groups(df: DataFrame, value: str, groups: int, out: str) -> DataFrame:
     """Group floor(rank * groups / (n + 1)) with mean ranks on ties; nulls stay unranked.
 
     Groups rise with the value, so each is fixed by its smallest value: the table is compared
-    with fewer than `groups` thresholds and is never shuffled by value.
+    with fewer than `groups` literal thresholds and is never shuffled by value.
     """
-    counts = value_counts_in_order(df, value)
-    size = one_row(counts.agg(F.sum("n").alias("n")))["n"]
-    mean_rank = F.col("before") + (F.col("n") + 1) / 2
-    ranked = counts.withColumn("_group", F.floor(mean_rank * groups / (size + 1)))
-    starts = one_row(
-        ranked.agg(*[F.min(F.when(F.col("_group") >= g, F.col(value))).alias(f"_{g}") for g in range(1, groups)])
-    )
+    n, counts = counts_near(df, value, [g / groups for g in range(1, groups)])
+    positions = [-(-g * (n + 1) // groups) for g in range(1, groups)]
+
+    def first_values() -> list[Column]:
+        # a lump starts at its smallest value's first position, which bounds that value's rank
+        rank = F.when(F.col("lump"), F.col("before") + 1).otherwise(F.col("before") + (F.col("n") + 1) / 2)
+        group = F.floor(rank * groups / (n + 1))
+        return [F.min(F.when(group >= g, F.col(value))).alias(f"_{g}") for g in range(1, groups)]
+
+    found = counts.agg(_lumped([k for k in positions if k <= n]).alias("missed"), *first_values()).first()
+    if found["missed"]:  # the sketch was off; count every distinct value instead
+        every = value_counts_in_order(df, value).withColumn("lump", F.lit(False))
+        found = every.agg(F.lit(False).alias("missed"), *first_values()).first()
+    starts = found[1:]
     rank = F.lit(0)
-    for start in starts.values():
-        rank = rank + F.coalesce((F.col(value) >= start).cast("int"), F.lit(0))
+    for start in starts:
+        if start is not None:
+            rank = rank + (F.col(value) >= start).cast("int")
     return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))

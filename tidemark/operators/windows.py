@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Frequency
 from tidemark.functions.values import at_least_one, ratio
 from tidemark.operators.frames import keep_first
-from tidemark.operators.order import exact_quantiles
+from tidemark.operators.order import quantile_values
 from tidemark.session import one_row
 
 
@@ -110,5 +110,5 @@ def trim_to_quantiles(
     df: DataFrame, train: DataFrame, column: str, low: float = 0.025, high: float = 0.975
 ) -> DataFrame:
     """Rows inside the quantiles of the train set, both ends included."""
-    limits = one_row(exact_quantiles(train, column, [low, high], ["low", "high"]))
-    return df.filter(F.col(column).between(limits["low"], limits["high"]))
+    bottom, top = quantile_values(train, column, [low, high])
+    return df.filter(F.col(column).between(F.lit(bottom), F.lit(top)))

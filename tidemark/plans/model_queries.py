@@ -25,7 +25,8 @@ TARGET = DAILY.target
 
 def model_frame(t):
     """Standardised features with the size bin, complete rows only."""
-    binned = order.quantile_bins(t.features(), "market_cap", 10, "comp_size")
+    columns = [*KEYS, *NUMBERS, *CATEGORIES[1:], "market_cap", TARGET]
+    binned = order.quantile_bins(materialise(t.features().select(*columns)), "market_cap", 10, "comp_size")
     scaled = windows.standardise(binned, NUMBERS)
     # written once: indexers, scalers and every fitting round read it again
     return materialise(scaled.select(*KEYS, *NUMBERS, *CATEGORIES, TARGET).dropna())
@@ -56,7 +57,7 @@ HASH_SQL = "CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296.0"
     ["panel"],
 )
 def _(t):
-    return models.with_train_flag(t.panel, KEYS, 0.8)
+    return models.with_train_flag(t.prices, KEYS, 0.8)
 
 
 @query(
@@ -83,7 +84,7 @@ def _(t):
     ["features"],
 )
 def _(t):
-    rows = windows.with_lags(t.panel, DAILY).select(*KEYS, TARGET).dropna()
+    rows = materialise(windows.with_lags(t.prices, DAILY).select(*KEYS, TARGET).dropna())
     split = models.with_stratified_flag(models.target_strata(rows, TARGET), "stratum", KEYS, 0.7)
     return split.groupBy("stratum").agg(
         F.count(F.when(C("is_train"), 1)).alias("train"), F.count(F.when(~C("is_train"), 1)).alias("test")
@@ -133,7 +134,7 @@ def _(t):
 
 def _one_feature(t):
     """The next return against a single yes/no feature."""
-    rows = t.features().filter(C(TARGET).isNotNull()).select(*KEYS, TARGET, "dummy_total")
+    rows = t.features("daily", "prices").filter(C(TARGET).isNotNull()).select(*KEYS, TARGET, "dummy_total")
     vectors = VectorAssembler(inputCols=["dummy_total"], outputCol="features").transform(rows)
     return vectors.withColumn("up", (C(TARGET) >= 0).cast("double"))
 

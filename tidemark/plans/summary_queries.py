@@ -8,6 +8,7 @@ from tidemark import config
 from tidemark.functions import labels, values
 from tidemark.operators import aggregates, order, resample, windows
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.sources.testdata import NUMERIC
 
 C = F.col
@@ -37,6 +38,11 @@ NEWS_KINDS = "total_positive:i total_negative:i total:i"
 SHARE_KINDS = "positive_perc:f9 negative_perc:f9"
 
 
+def stored(df, *extra):
+    """Write the columns a ranked summary needs once, as the ranking reads its input several times."""
+    return materialise(df.select("TICKER", "date", "RET", *aggregates.NEWS, *extra))
+
+
 def lagged(t, source: str = "panel"):
     return windows.with_lagged_return(getattr(t, source))
 
@@ -98,7 +104,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return aggregates.size_summary(order.quantile_bins(t.prices, "market_cap", 10, "comp_size"), "comp_size")
+    return aggregates.size_summary(order.quantile_bins(stored(t.prices, "market_cap"), "market_cap", 10, "comp_size"), "comp_size")
 
 
 @query(
@@ -110,7 +116,7 @@ def _(t):
 )
 def _(t):
     groups = config.SIZE_GROUPS["dowjones", "daily"]
-    ranked = order.rank_groups(lagged(t, "prices"), "market_cap", groups, "comp_size")
+    ranked = order.rank_groups(stored(lagged(t, "prices"), "market_cap"), "market_cap", groups, "comp_size")
     named = ranked.withColumn("size_group", values.band_label((C("comp_size") > 20).cast("int"), ("11-30", "Top 10")))
     return aggregates.size_summary(aggregates.with_news(named), "size_group")
 
@@ -128,7 +134,7 @@ DECILE_CASE = "CASE grp " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerat
 )
 def _(t):
     daily = aggregates.market_summary(aggregates.with_news(lagged(t)))
-    ranked = order.rank_groups(daily, "sprtrn", 10, "rank").withColumn(
+    ranked = order.rank_groups(materialise(daily), "sprtrn", 10, "rank").withColumn(
         "percentile_range", values.band_label(C("rank"), config.DECILE_LABELS)
     )
     return aggregates.market_band_summary(ranked, "percentile_range")
@@ -147,7 +153,7 @@ def _(t):
 )
 def _(t):
     daily = aggregates.market_summary(t.panel)
-    binned = order.quantile_bins(daily, "sprtrn", 10, "bin", keep_edges=True)
+    binned = order.quantile_bins(materialise(daily), "sprtrn", 10, "bin", keep_edges=True)
     low, high = (F.round(C(c) + 1.23e-9, 6) for c in ("bin_low", "bin_high"))
     return aggregates.market_band_summary(
         binned.withColumn("percentile_range", F.format_string("(%.6f, %.6f]", low, high)), "percentile_range"
@@ -155,7 +161,7 @@ def _(t):
 
 
 def _stock_deciles(t):
-    ranked = order.rank_groups(lagged(t, "prices"), "RET", 10, "rank")
+    ranked = order.rank_groups(stored(lagged(t, "prices"), "lagged_return"), "RET", 10, "rank")
     return ranked.withColumn("percentile_range", values.band_label(C("rank"), config.DECILE_LABELS))
 
 
@@ -293,7 +299,7 @@ def _(t):
     ["lagged_weekly"],
 )
 def _(t):
-    ranked = order.rank_groups(resample.market_rollup(lagged_periods(t, "weekly")), "sum_sprtrn", 10, "rank")
+    ranked = order.rank_groups(materialise(resample.market_rollup(lagged_periods(t, "weekly"))), "sum_sprtrn", 10, "rank")
     banded = ranked.withColumn("percentile_range", values.band_label(C("rank"), config.DECILE_LABELS))
     return aggregates.market_band_summary(banded, "percentile_range", "sum_sprtrn")
 
@@ -370,7 +376,7 @@ def _histogram_sql(columns, bins: int) -> str:
 
 @query("d24_histogram_return", "column:s bin:i edge:f n:i", _histogram_sql(["RET"], 50), ["features"])
 def _(t):
-    return aggregates.histogram(t.features(), ["RET"], 50)
+    return aggregates.histogram(t.features("daily", "prices"), ["RET"], 50)
 
 
 @query("d24_histogram_all", "column:s bin:i edge:f n:i", _histogram_sql(NUMERIC, 30), ["features"])
@@ -387,7 +393,7 @@ CORRELATION_SQL = "SELECT u.a, u.b, u.correlation FROM (SELECT unnest([" + ", ".
 
 @query("d25_correlations", "a:s b:s correlation:f", CORRELATION_SQL, ["features"])
 def _(t):
-    return aggregates.correlations(t.features(), CORRELATED)
+    return aggregates.correlations(materialise(t.features().select(*CORRELATED)), CORRELATED)
 
 
 @query(

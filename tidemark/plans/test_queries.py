@@ -58,7 +58,7 @@ POOLED_SQL = " UNION ALL ".join(
     ["features"],
 )
 def _(t):
-    return hypothesis.pooled_t_test(t.features(), VALUE, DUMMIES)
+    return hypothesis.pooled_t_test(t.features("daily", "prices"), VALUE, DUMMIES)
 
 
 def _rank_sql(value: str) -> str:
@@ -77,7 +77,7 @@ def _rank_sql(value: str) -> str:
 
 @query("h02_mann_whitney", "feature:s u:f1 z:f p_value:f", z_p_sql(_rank_sql("RET")), ["features"])
 def _(t):
-    return hypothesis.mann_whitney(t.features(), "RET", DUMMIES)
+    return hypothesis.mann_whitney(t.features("daily", "prices"), "RET", DUMMIES)
 
 
 WELCH_SQL = " UNION ALL ".join(
@@ -113,4 +113,4 @@ def _(t):
     ["features"],
 )
 def _(t):
-    return hypothesis.dummy_test_table(t.features(), VALUE, DUMMIES)
+    return hypothesis.dummy_test_table(t.features("daily", "prices"), VALUE, DUMMIES)

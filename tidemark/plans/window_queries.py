@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DAILY
 from tidemark.operators import annual, order, portfolio, windows
 from tidemark.plans.registry import query
-from tidemark.plans.summary_queries import edges_sql, lagged, sas_rank
+from tidemark.plans.summary_queries import edges_sql, lagged, sas_rank, stored
 from tidemark.sources.testdata import NUMERIC
 
 C = F.col
@@ -89,7 +89,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return order.quantile_bins(t.prices, "market_cap", DAILY.size_bins, "comp_size")
+    return order.quantile_bins(stored(t.prices, "market_cap"), "market_cap", DAILY.size_bins, "comp_size")
 
 
 @query(
@@ -100,7 +100,7 @@ def _(t):
     ["monthly"],
 )
 def _(t):
-    return order.quantile_bins(t.periods("monthly"), "market_cap", 3, "comp_size")
+    return order.quantile_bins(stored(t.periods("monthly"), "market_cap"), "market_cap", 3, "comp_size")
 
 
 @query(
@@ -110,7 +110,7 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    return order.rank_groups(t.prices, "RET", 10, "rank")
+    return order.rank_groups(stored(t.prices), "RET", 10, "rank")
 
 
 @query(
@@ -222,5 +222,5 @@ def _(t):
     ["features"],
 )
 def _(t):
-    train = windows.with_lags(t.prices, DAILY).filter(F.year("date") < 2000)
+    train = stored(windows.with_lags(t.prices, DAILY), DAILY.target).filter(F.year("date") < 2000)
     return windows.trim_to_quantiles(train, train, "tomorrow_return")

@@ -65,9 +65,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed_row(stats: DataFrame) -> Column:
+    """A one-row table as one struct scalar, to be added once to another table."""
+    return stats.select(F.struct(*stats.columns).alias("row")).scalar()
+
+
 def one_row(stats: DataFrame) -> dict[str, Column]:
-    """The columns of a one-row table as scalars to use in expressions on other tables."""
-    row = stats.select(F.struct(*stats.columns).alias("row")).scalar()
+    """The columns of a one-row table as scalars for an expression that uses each once or twice."""
+    row = packed_row(stats)
     return {c: row.getField(c) for c in stats.columns}
 
 

@@ -33,12 +33,12 @@ class Tables:
         """One row per supplier and ship day: the price table without market and company data."""
         unit = F.col("l_extendedprice") / F.col("l_quantity")
         flag = F.col("l_returnflag")
-        spread = F.round(F.col("l_discount") * 100).cast("bigint") - F.round(F.col("l_tax") * 100).cast("bigint")
+        spread = (F.rint(F.col("l_discount") * 100) - F.rint(F.col("l_tax") * 100)).cast("bigint")
         return (
             self["lineitem"]
             .groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
             .agg(
-                F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("_cents"),
+                F.sum(F.rint(F.col("l_extendedprice") * 100).cast("bigint")).alias("_cents"),
                 F.sum("l_quantity").alias("VOL"),
                 F.max(unit).alias("ASKHI"),
                 F.min(unit).alias("BIDLO"),
@@ -76,8 +76,10 @@ class Tables:
     def periods(self, freq: str) -> DataFrame:
         return self.panel if freq == "daily" else resample(self.panel, freq)
 
-    def features(self, freq: str = "daily") -> DataFrame:
-        return with_features(self.periods(freq), BY_NAME[freq])
+    def features(self, freq: str = "daily", source: str = "panel") -> DataFrame:
+        """Lags, averages and dummies; `source="prices"` leaves out market and company columns."""
+        rows = getattr(self, source) if freq == "daily" else self.periods(freq)
+        return with_features(rows, BY_NAME[freq])
 
     @property
     def scored(self) -> DataFrame:
@@ -109,7 +111,7 @@ class Tables:
     @property
     def event_prices(self) -> DataFrame:
         """A price row per user and day of the events table."""
-        cents = F.sum(F.round(F.col("value") * 100).cast("bigint"))
+        cents = F.sum(F.rint(F.col("value") * 100).cast("bigint"))
         return self["events"].groupBy(F.col("user_id").cast("string").alias("TICKER"), F.to_date("ts").alias("date")).agg(
             (cents / (F.count(F.lit(1)) * 100.0)).alias("PRC"),
             (F.floor(cents * 100.0 / F.count(F.lit(1)) + 0.5) / 1e6).alias("RET"),
