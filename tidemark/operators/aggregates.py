@@ -216,8 +216,8 @@ def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
 
     def cell(c: str) -> Column:
         place = ratio(F.col(c) - low(c), high(c) - low(c)) * bins
-        place = F.when(F.col(c).isNotNull(), F.coalesce(place, F.lit(0.0)))
-        return F.struct(F.lit(c).alias("column"), F.least(F.floor(place), F.lit(bins - 1)).alias("bin"))
+        place = F.least(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(bins - 1))
+        return F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), place).alias("bin"))
 
     counted = (
         df.withColumn("_limits", packed_row(limits))

@@ -92,7 +92,7 @@ def mann_whitney(df: DataFrame, value: str, dummies: Sequence[str]) -> DataFrame
     spread = F.sqrt(n1 * n0 / 12 * (size + 1 - ratio(F.col("ties"), size * (size - 1))))
     z = ratio(F.greatest(u, n1 * n0 - u) - n1 * n0 / 2 - F.lit(0.5), spread)
     return sides.select("feature", u.alias("u"), z.alias("z")).select(
-        "feature", "u", "z", F.least(z_p_value("z"), F.lit(1.0)).alias("p_value")
+        "feature", "u", "z", F.when(F.col("z") < 0, 1.0).otherwise(z_p_value("z")).alias("p_value")
     )
 
 

@@ -90,8 +90,8 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = ()) -> l
                 stringOrderType="alphabetAsc",
             ),
             OneHotEncoder(
-                inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical],
-                handleInvalid="keep",
+                # the index after the last known category stands for unseen ones; dropping it makes them all zero
+                inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical], dropLast=True,
             ),
         ]
     stages += [
