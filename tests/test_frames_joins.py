@@ -43,7 +43,7 @@ def test_lookup_join_equals_plain_join_with_a_hot_key(spark):
     facts = spark.range(3000).select(C("id"), F.when(C("id") % 3 == 0, 7).otherwise(C("id") % 400).alias("k"))
     facts = facts.union(spark.createDataFrame([(9999, None)], "id bigint, k bigint"))
     lookup = spark.range(300).select(C("id").alias("k"), (C("id") * 2).alias("v"))
-    got = joins.lookup_join(facts, lookup, "k", hot_share=0.05, copies=8).select("id", "k", "v")
+    got = joins.lookup_join(facts, lookup, ["k"], hot_share=0.05, copies=8).select("id", "k", "v")
     plain = facts.join(lookup, "k", "left").select("id", "k", "v")
     assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
 
@@ -51,7 +51,7 @@ def test_lookup_join_equals_plain_join_with_a_hot_key(spark):
 def test_hot_key_is_spread(spark):
     facts = spark.range(2000).select(C("id"), F.lit(1).alias("k"))
     lookup = spark.createDataFrame([(1, "x")], "k int, v string")
-    plan = joins.lookup_join(facts, lookup, "k")._jdf.queryExecution().optimizedPlan().toString()
+    plan = joins.lookup_join(facts, lookup, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan
 
 

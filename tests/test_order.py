@@ -58,9 +58,8 @@ def test_lumps_are_used_and_quantiles_are_exact(spark):
     xs = np.concatenate([rng.lognormal(size=20_000), np.full(10_000, 0.75)])
     frame = spark.createDataFrame([(float(x),) for x in xs], "x double")
     probs = [0.025, 0.1, 0.25, 0.5, 0.9, 0.975]
-    n, counts = order.counts_near(frame, "x", probs)
-    rows = counts.collect()
-    assert n == 30_000 and sum(r["n"] for r in rows) == n
+    rows = order.counts_near(frame, "x", probs).collect()
+    assert sum(r["n"] for r in rows) == 30_000 == rows[0]["total"]
     assert any(r["lump"] and r["n"] > 100 for r in rows) and len(rows) < 4_000
     assert order.quantile_values(frame, "x", probs) == pytest.approx(list(np.quantile(xs, probs)), abs=1e-12)
 
@@ -69,14 +68,17 @@ def test_missed_bracket_falls_back(spark, monkeypatch):
     """A sketch that is off must not change the answer."""
     real = order.counts_near
 
-    def off(df, value, probs):
-        return real(df, value, [0.5 for _ in probs])
+    def off(df, value, probs, groups=()):
+        return real(df, value, [0.5 for _ in probs], groups)
 
     monkeypatch.setattr(order, "counts_near", off)
     xs = [float(i * i % 977) for i in range(900)]
     frame = table(spark, xs)
     assert order.quantile_values(frame, "x", [0.1, 0.9]) == pytest.approx(list(np.quantile(xs, [0.1, 0.9])))
     assert groups_of(spark, xs, 5) == brute_groups(xs, 5)
+    halves = frame.withColumn("g", C("id") % 2)
+    for row in order.grouped_quantiles(halves, "x", [0.1, 0.9], ["a", "b"], ["g"]).collect():
+        assert list(row)[1:] == pytest.approx(list(np.quantile(xs[row["g"]::2], [0.1, 0.9])))
 
 
 def test_quantile_bins(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import lookup, ratio
 from tidemark.operators.frames import append_rows, override
+from tidemark.operators.joins import lookup_join
 
 # Pay measures summarised by (TICKER, YEAR).
 PAY_MEASURES = ("SALARY", "BONUS", "TDC1", "SAL_PCT", "TDC1_PCT", "PAGE", "ISR", "TENURE")
@@ -50,7 +51,7 @@ def with_tenure(pay: DataFrame, ticker: str = "TICKER", person: str = "EXEC_FULL
     )
     in_run = Window.partitionBy(ticker, person, "_run").orderBy(year)
     tenure = runs.withColumn("TENURE", F.row_number().over(in_run)).drop("_run")
-    return pay.join(tenure, [ticker, person, year], "left")
+    return lookup_join(pay, tenure, [ticker, person, year])
 
 
 def pay_summary(pay: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("TICKER", "YEAR")) -> DataFrame:

@@ -55,7 +55,8 @@ def join_by_position(
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot_share: float = 0.002, copies: int = 64
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", hot_share: float = 0.002,
+    copies: int = 64,
 ) -> DataFrame:
     """Join a table to a lookup with one row per key, safe when few keys hold most rows.
 
@@ -63,20 +64,21 @@ def lookup_join(
     `copies` salted copies of their lookup row. The salt is a hash of the whole row, so a rerun
     task gives every row the same salt.
     """
-    counts = facts.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    keys = list(keys)
+    counts = facts.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     size = one_row(facts.agg(F.count(F.lit(1)).alias("n")))["n"]
-    hot = F.broadcast(counts.filter(F.col("_n") >= size * hot_share).select(key, F.lit(True).alias("_hot")))
+    hot = F.broadcast(counts.filter(F.col("_n") >= size * hot_share).select(*keys, F.lit(True).alias("_hot")))
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(copies)).cast("int")
-    salted = facts.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+    salted = facts.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
     spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
-    copied = lookup.join(hot, key, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
-    return salted.drop("_hot").join(copied, [key, "_salt"], how).drop("_salt")
+    copied = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    return salted.drop("_hot").join(copied, [*keys, "_salt"], how).drop("_salt")
 
 
 def attach_tickers(headlines: DataFrame, codes: DataFrame, key: str = "gvkey", ticker: str = "TICKER") -> DataFrame:
     """Give headlines the first ticker of their company code; unmatched headlines go."""
     single = keep_first(codes.select(key, ticker).dropna(), [key], [ticker])
-    return lookup_join(headlines, single, key).dropna(subset=[ticker])
+    return lookup_join(headlines, single, [key]).dropna(subset=[ticker])
 
 
 def complement(df: DataFrame, sample: DataFrame, keys: Sequence[str]) -> DataFrame:

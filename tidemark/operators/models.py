@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
+from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
@@ -22,7 +24,7 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,9 +70,8 @@ def with_fold(df: DataFrame, keys: Sequence[str], folds: int, seed: int = 42) ->
 def with_stratified_flag(df: DataFrame, stratum: str, keys: Sequence[str], fraction: float, seed: int = 17) -> DataFrame:
     """In every stratum the first ceil(fraction * n) rows in hash order are the train set."""
     hashed = df.withColumn("_hash", hash_fraction(keys, seed))
-    sizes = df.groupBy(stratum).agg(F.ceil(F.count(F.lit(1)) * fraction).alias("_take"))
-    placed = row_index(hashed, ["_hash", *keys], "_i", [stratum])
-    return placed.join(sizes, stratum).withColumn("is_train", F.col("_i") < F.col("_take")).drop("_hash", "_i", "_take")
+    placed = row_index(hashed, ["_hash", *keys], "_i", [stratum], total="_n")
+    return placed.withColumn("is_train", F.col("_i") < F.ceil(F.col("_n") * fraction)).drop("_hash", "_i", "_n")
 
 
 def target_strata(df: DataFrame, target: str, out: str = "stratum", groups: int = 5) -> DataFrame:
@@ -150,17 +151,47 @@ def logistic(label: str) -> LogisticRegression:
     return LogisticRegression(labelCol=label, predictionCol="log_class", probabilityCol="log_probability")
 
 
-def cross_validate(learner, grid: dict, train: DataFrame, evaluator, folds: int, keys: Sequence[str], parallelism: int = 4):
-    """Grid search on hash folds."""
+@dataclass
+class Search:
+    """A grid search: the settings, their mean scores, and the best one fitted on all rows."""
+
+    settings: list[dict]
+    scores: list[float]
+    larger_is_better: bool
+    model: Model
+
+    @property
+    def best(self) -> int:
+        pick = max if self.larger_is_better else min
+        return self.scores.index(pick(self.scores))
+
+
+def cross_validate(
+    learner, grid: dict, train: DataFrame, judge, folds: int, keys: Sequence[str], parallelism: int = 4
+) -> Search:
+    """Grid search on hash folds.
+
+    The library's own cross-validator checks a fold column with a Python function on every row,
+    so the folds are filtered here; a few fits run at a time.
+    """
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(learner.getParam(name), list(values))
-    search = CrossValidator(
-        estimator=learner, estimatorParamMaps=builder.build(), evaluator=evaluator, numFolds=folds, foldCol="fold",
-        parallelism=parallelism,
-    )
+    settings = builder.build()
     with kept(with_fold(train, keys, folds)) as folded:
-        return search.fit(folded)
+
+        def score(task: tuple[int, int]) -> float:
+            fold, setting = task
+            fit = learner.fit(folded.filter(F.col("fold") != fold), settings[setting])
+            return judge.evaluate(fit.transform(folded.filter(F.col("fold") == fold)))
+
+        tasks = [(fold, setting) for setting in range(len(settings)) for fold in range(folds)]
+        with ThreadPool(parallelism) as pool:
+            found = pool.map(inheritable_thread_target(train.sparkSession)(score), tasks)
+        scores = [sum(found[i * folds : (i + 1) * folds]) / folds for i in range(len(settings))]
+        search = Search(settings, scores, judge.isLargerBetter(), None)
+        search.model = learner.fit(folded, settings[search.best])
+    return search
 
 
 def lasso_cv(train: DataFrame, label: str, keys: Sequence[str], penalties: Sequence[float], folds: int = 5):
@@ -223,12 +254,10 @@ def logit_table(train: DataFrame, label: str, names: Sequence[str]) -> DataFrame
     )
 
 
-def tuning_table(spark, model: CrossValidatorModel) -> DataFrame:
+def tuning_table(spark, search: Search) -> DataFrame:
     """Mean score of every grid setting, and which one won."""
-    larger = model.getEvaluator().isLargerBetter()
-    best = max(model.avgMetrics) if larger else min(model.avgMetrics)
     rows = []
-    for setting, score in zip(model.getEstimatorParamMaps(), model.avgMetrics):
+    for i, (setting, score) in enumerate(zip(search.settings, search.scores)):
         named = ", ".join(f"{p.name}={v}" for p, v in sorted(setting.items(), key=lambda kv: kv[0].name))
-        rows.append((named, float(score), bool(score == best)))
+        rows.append((named, float(score), i == search.best))
     return spark.createDataFrame(rows, "setting string, score double, best boolean")

@@ -11,7 +11,6 @@ as literals. Give them a stored table (see `materialise`) when the input is cost
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,12 +23,13 @@ SKETCH_ACCURACY = 1000
 
 
 def running_total(
-    df: DataFrame, order: Sequence[str], amount: str, out: str, groups: Sequence[str] = ()
+    df: DataFrame, order: Sequence[str], amount: str, out: str, groups: Sequence[str] = (), total: str | None = None
 ) -> DataFrame:
     """Add `out`: the sum of `amount` over all rows that come before, within the group.
 
     `groups` + `order` must be unique and non-null, `amount` non-negative. The ranged rows are
-    written once, because both the totals and the result must see the same ranges.
+    written once, because both the totals and the result must see the same ranges. `total` also
+    adds the sum of the whole group.
     """
     keys = [*groups, *order]
     ranged = df.repartitionByRange(shuffle_width(df.sparkSession), *keys).withColumn(
@@ -39,38 +39,38 @@ def running_total(
     counted = materialise(
         ranged.withColumn("_upto", F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    # at most one row per range and group, however large the input is
-    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range, plus one per group border: small however large the input is
+    ranges = Window.partitionBy(*groups).orderBy("_range")
     offsets = (
         counted.groupBy(*groups, "_range")
         .agg(F.max("_upto").alias("_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
+        .withColumn("_offset", F.coalesce(F.sum("_sum").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_whole", F.sum("_sum").over(Window.partitionBy(*groups)))
         .drop("_sum")
     )
-    return (
-        counted.join(offsets, [*groups, "_range"])
-        .withColumn(out, F.col("_offset") + F.col("_upto") - F.col(amount))
-        .select(*df.columns, out)
-    )
+    # without groups there is one row per range; with groups Spark decides from the size of the written table
+    offsets = materialise(offsets) if groups else F.broadcast(offsets)
+    result = counted.join(offsets, [*groups, "_range"]).withColumn(out, F.col("_offset") + F.col("_upto") - F.col(amount))
+    if total is not None:
+        result = result.withColumn(total, F.col("_whole"))
+    return result.select(*df.columns, out, *([total] if total else []))
 
 
 def row_index(
-    df: DataFrame, order: Sequence[str], out: str, groups: Sequence[str] = (), descending: Sequence[str] = ()
+    df: DataFrame, order: Sequence[str], out: str, groups: Sequence[str] = (), descending: Sequence[str] = (),
+    total: str | None = None,
 ) -> DataFrame:
     """Add a zero-based position in the stated order (numeric columns may run downwards)."""
-    signed = df.withColumn("_one", F.lit(1).cast("bigint"))
-    names = []
-    for name in order:
-        if name in descending:
-            signed = signed.withColumn(f"_down_{name}", -F.col(name))
-            names.append(f"_down_{name}")
-        else:
-            names.append(name)
-    return running_total(signed, names, "_one", out, groups).select(*df.columns, out)
+    signed = df.withColumns(
+        {"_one": F.lit(1).cast("bigint"), **{f"_down_{name}": -F.col(name) for name in order if name in descending}}
+    )
+    names = [f"_down_{name}" if name in descending else name for name in order]
+    placed = running_total(signed, names, "_one", out, groups, total)
+    return placed.select(*df.columns, out, *([total] if total else []))
 
 
 def value_counts_in_order(
-    df: DataFrame, value: str, groups: Sequence[str] = (), extra: Sequence[Column] = ()
+    df: DataFrame, value: str, groups: Sequence[str] = (), extra: Sequence[Column] = (), total: str | None = None
 ) -> DataFrame:
     """One row per distinct value: `n` rows, `before` rows with a smaller value, plus `extra` sums."""
     counts = (
@@ -78,49 +78,48 @@ def value_counts_in_order(
         .groupBy(*groups, value)
         .agg(F.count(F.lit(1)).alias("n"), *extra)
     )
-    return running_total(counts, [value], "n", "before", groups)
+    return running_total(counts, [value], "n", "before", groups, total)
 
 
-def counts_near(df: DataFrame, value: str, probs: Sequence[float]) -> tuple[int, DataFrame]:
+def counts_near(
+    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), total: str = "total"
+) -> DataFrame:
     """Exact counts of the values around some quantiles; everything between is one lump each.
 
     A coarse sketch brackets every quantile. A second pass counts the values inside the brackets
     and adds up the rows between them, so a few percent of the distinct values are shuffled, not
-    all of them. Returns the number of non-null rows and a table (`value`, `n`, `before`, `lump`);
-    a lump stands under its smallest value.
+    all of them. The result holds the groups, `value`, `n`, `before`, `lump` and the group's row
+    count; a lump stands under its smallest value.
     """
-    marks = sorted({min(max(p + s * 2.0 / SKETCH_ACCURACY, 0.0), 1.0) for p in probs for s in (-1, 1)})
-    sketch = df.agg(
-        F.count(value).alias("n"),
-        F.percentile_approx(F.col(value), [float(m) for m in marks], SKETCH_ACCURACY).alias("at"),
-    ).first()
-    if not sketch["n"]:
-        empty = df.select(value, *[F.lit(0).cast("bigint").alias(c) for c in ("n", "before")], F.lit(False).alias("lump"))
-        return 0, empty.limit(0)
-    at = dict(zip(marks, sketch["at"]))
-    spans: list[list] = []
-    for p in sorted(probs):
-        low, high = (at[min(max(p + s * 2.0 / SKETCH_ACCURACY, 0.0), 1.0)] for s in (-1, 1))
-        if spans and low <= spans[-1][1]:
-            spans[-1][1] = max(high, spans[-1][1])
-        else:
-            spans.append([low, high])
+    probs = sorted(probs)
+    marks = [min(max(p + s * 2.0 / SKETCH_ACCURACY, 0.0), 1.0) for s in (-1, 1) for p in probs]
+    known = df.filter(F.col(value).isNotNull())
+    sketch = known.groupBy(*groups).agg(F.percentile_approx(F.col(value), marks, SKETCH_ACCURACY).alias("_marks"))
+    if groups:
+        # written, so that Spark knows its size and broadcasts it when small
+        marked = known.select(*groups, value).join(materialise(sketch), list(groups))
+        at = [F.col("_marks")[i] for i in range(len(marks))]
+    else:
+        marked = known.select(value)
+        at = [F.lit(m) for m in sketch.first()["_marks"] or [None] * len(marks)]
     v = F.col(value)
-    place = F.lit(0)
-    for low, high in spans:  # odd places are brackets, even ones lie between
-        place = place + (v >= F.lit(low)).cast("int") + (v > F.lit(high)).cast("int")
+    near, passed = F.lit(False), F.lit(0)
+    for low, high in zip(at[: len(probs)], at[len(probs) :]):
+        near = near | ((v >= low) & (v <= high))
+        passed = passed + (v > high).cast("int")
     cells = (
-        df.filter(v.isNotNull())
-        .select(v, place.alias("_place"))
-        .withColumn("_near", F.when(F.col("_place") % 2 == 1, v))
-        .groupBy("_place", "_near")
+        marked.withColumn("_near", F.when(near, v))
+        .withColumn("_gap", F.when(F.col("_near").isNull(), passed))
+        .groupBy(*groups, "_gap", "_near")
         .agg(F.min(value).alias(value), F.count(F.lit(1)).alias("n"))
-        .select(value, "n", F.col("_near").isNull().alias("lump"))
+        .select(*groups, value, "n", F.col("_near").isNull().alias("lump"))
+    )
+    return running_total(cells, [value], "n", "before", groups, total).select(
+        *groups, value, "n", "before", "lump", total
     )
-    return sketch["n"], running_total(cells, [value], "n", "before").select(value, "n", "before", "lump")
 
 
-def _lumped(positions: Sequence[int]) -> Column:
+def _lumped(positions: Sequence[Column]) -> Column:
     """Whether any of the (one-based) positions falls into a lump."""
     missed = F.lit(False)
     for position in positions:
@@ -128,49 +127,38 @@ def _lumped(positions: Sequence[int]) -> Column:
     return F.coalesce(F.max(F.col("lump") & missed), F.lit(False))
 
 
-def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Exact quantiles of a whole column, linear between neighbours. Only the answers reach the driver."""
-    n, counts = counts_near(df, value, probs)
-    if n == 0:
-        return [None] * len(probs)
-    steps = [(n - 1) * float(p) for p in probs]
-    positions = sorted({int(f(h)) + 1 for h in steps for f in (math.floor, math.ceil)})
-    picks = [
-        F.max(F.when((F.col("before") < k) & (k <= F.col("before") + F.col("n")), F.col(value))).alias(f"_{k}")
-        for k in positions
-    ]
-    found = counts.agg(_lumped(positions).alias("missed"), *picks).first()
-    if found["missed"]:  # the sketch was off; count every distinct value instead
-        found = value_counts_in_order(df, value).agg(*picks).first()
-    result = []
-    for h in steps:
-        low, high = (float(found[f"_{int(f(h)) + 1}"]) for f in (math.floor, math.ceil))
-        result.append(low + (high - low) * (h - math.floor(h)))
-    return result
-
-
 def grouped_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], groups: Sequence[str]
 ) -> DataFrame:
-    """Exact quantiles by group, linear between neighbours, for any number of groups."""
-    counts = value_counts_in_order(df, value, groups)
-    sized = counts.join(counts.groupBy(*groups).agg(F.sum("n").alias("_n")), list(groups))
+    """Exact quantiles, linear between neighbours, one row per group (one in all without groups)."""
+    steps = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
 
     def at(position: Column) -> Column:
-        here = (F.col("before") <= position) & (position < F.col("before") + F.col("n"))
+        here = (F.col("before") < position) & (position <= F.col("before") + F.col("n"))
         return F.max(F.when(here, F.col(value)))
 
-    picks = [F.max("_n").alias("_n")]
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        picks += [at(F.floor(h)).alias(f"_lo{i}"), at(F.ceil(h)).alias(f"_hi{i}")]
-    picked = sized.groupBy(*groups).agg(*picks)
-    columns = [F.col(g) for g in groups]
-    for i, (p, name) in enumerate(zip(probs, names)):
-        h = (F.col("_n") - 1) * F.lit(float(p))
-        step = F.col(f"_hi{i}") - F.col(f"_lo{i}")
-        columns.append((F.col(f"_lo{i}") + step * (h - F.floor(h))).alias(name))
-    return picked.select(*columns)
+    def pick(counts: DataFrame) -> DataFrame:
+        ends = []
+        for i, h in enumerate(steps):
+            ends += [at(F.floor(h) + 1).alias(f"_low{i}"), at(F.ceil(h) + 1).alias(f"_high{i}")]
+        missed = _lumped([f(h) + 1 for h in steps for f in (F.floor, F.ceil)])
+        return counts.groupBy(*groups).agg(F.max("total").alias("total"), missed.alias("_missed"), *ends)
+
+    picked = materialise(pick(counts_near(df, value, probs, groups)))
+    if not picked.filter("_missed").isEmpty():  # the sketch was off; count every distinct value instead
+        full = value_counts_in_order(df, value, groups, total="total").withColumn("lump", F.lit(False))
+        picked = pick(full)
+    between = [
+        (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (h - F.floor(h))).alias(name)
+        for i, (h, name) in enumerate(zip(steps, names))
+    ]
+    return picked.select(*groups, *between)
+
+
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of a whole column. Only the answers reach the driver."""
+    found = grouped_quantiles(df, value, probs, [f"q{i}" for i in range(len(probs))], ()).first()
+    return [None if x is None else float(x) for x in found]
 
 
 def quantile_bins(
@@ -204,22 +192,19 @@ def rank_groups(df: DataFrame, value: str, groups: int, out: str) -> DataFrame:
     Groups rise with the value, so each is fixed by its smallest value: the table is compared
     with fewer than `groups` literal thresholds and is never shuffled by value.
     """
-    n, counts = counts_near(df, value, [g / groups for g in range(1, groups)])
-    positions = [-(-g * (n + 1) // groups) for g in range(1, groups)]
-
-    def first_values() -> list[Column]:
-        # a lump starts at its smallest value's first position, which bounds that value's rank
-        rank = F.when(F.col("lump"), F.col("before") + 1).otherwise(F.col("before") + (F.col("n") + 1) / 2)
-        group = F.floor(rank * groups / (n + 1))
-        return [F.min(F.when(group >= g, F.col(value))).alias(f"_{g}") for g in range(1, groups)]
-
-    found = counts.agg(_lumped([k for k in positions if k <= n]).alias("missed"), *first_values()).first()
-    if found["missed"]:  # the sketch was off; count every distinct value instead
-        every = value_counts_in_order(df, value).withColumn("lump", F.lit(False))
-        found = every.agg(F.lit(False).alias("missed"), *first_values()).first()
-    starts = found[1:]
+    size = F.col("total")
+    # a lump starts at its smallest value's first position, which bounds that value's rank
+    mean_rank = F.when(F.col("lump"), F.col("before") + 1).otherwise(F.col("before") + (F.col("n") + 1) / 2)
+    group = F.floor(mean_rank * groups / (size + 1))
+    starts = [F.min(F.when(group >= g, F.col(value))).alias(f"_{g}") for g in range(1, groups)]
+    positions = [F.ceil(g * (size + 1) / groups) for g in range(1, groups)]
+    near = counts_near(df, value, [g / groups for g in range(1, groups)])
+    missed, *starts_found = near.agg(_lumped(positions), *starts).first()
+    if missed:  # the sketch was off; count every distinct value instead
+        full = value_counts_in_order(df, value, total="total").withColumn("lump", F.lit(False))
+        starts_found = full.agg(*starts).first()
     rank = F.lit(0)
-    for start in starts:
+    for start in starts_found:
         if start is not None:
             rank = rank + (F.col(value) >= start).cast("int")
     return df.withColumn(out, F.when(F.col(value).isNotNull(), rank))

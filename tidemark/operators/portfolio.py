@@ -138,8 +138,9 @@ def long_short_weights(predictions: DataFrame, longs: int = 4, shorts: int = 4)
 
 
 def join_positions(returns: DataFrame, weights: DataFrame) -> DataFrame:
-    """Annual positions onto daily returns."""
-    return returns.join(weights.select("TICKER", "YEAR", "MODEL", "POS").dropDuplicates(), ["TICKER", "YEAR"], "left")
+    """Annual positions onto daily returns. There are only a handful of positions per year and model."""
+    positions = weights.select("TICKER", "YEAR", "MODEL", "POS").dropDuplicates()
+    return returns.join(F.broadcast(positions), ["TICKER", "YEAR"], "left")
 
 
 def portfolio_returns(positioned: DataFrame) -> DataFrame:

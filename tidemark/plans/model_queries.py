@@ -129,7 +129,7 @@ def _(t):
 def _(t):
     data = prepared(t)
     search = models.lasso_cv(data.filter("is_train"), TARGET, KEYS, [0.0001, 0.0005, 0.002, 0.01])
-    return models.metrics(search.transform(data.filter("NOT is_train")), TARGET, "lasso_pred")
+    return models.metrics(search.model.transform(data.filter("NOT is_train")), TARGET, "lasso_pred")
 
 
 def _one_feature(t):
@@ -166,7 +166,7 @@ def _(t):
     data = prepared(t)
     grid = {"numTrees": [5, 10], "maxDepth": [4], "minInstancesPerNode": [1, 2]}
     search = models.forest_cv(data.filter("is_train"), TARGET, KEYS, grid)
-    return models.metrics(search.transform(data.filter("NOT is_train")), TARGET, "pred_forest")
+    return models.metrics(search.model.transform(data.filter("NOT is_train")), TARGET, "pred_forest")
 
 
 @query("i07_boosted_trees", METRICS)
@@ -203,7 +203,7 @@ def _(t):
 def _(t):
     data = prepared(t, 0.7).withColumn("up", (C(TARGET) >= 0).cast("double"))
     search = models.logistic_cv(data.filter("is_train"), "up", KEYS)
-    scored = models.with_probability(models.as_class(search.transform(data.filter("NOT is_train"))))
+    scored = models.with_probability(models.as_class(search.model.transform(data.filter("NOT is_train"))))
     return scored.groupBy("log_pred").agg(F.count(F.lit(1)).alias("n"), F.avg("p_positive").alias("mean_probability"))
 
 
