@@ -6,13 +6,14 @@ Saturated fits (one binary feature) have a closed form, which the SQL states.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tidemark.config import DAILY
-from tidemark.operators import models, order, windows
+from tidemark.operators import models, windows
+from tidemark.plans import study
 from tidemark.plans.registry import query
+from tidemark.plans.summary_queries import edges_sql
 from tidemark.plans.window_queries import predictions, PREDICTIONS_SQL
 from tidemark.session import materialise
 
@@ -24,22 +25,29 @@ TARGET = DAILY.target
 
 
 def model_frame(t):
-    """Standardised features with the size bin, complete rows only."""
-    columns = [*KEYS, *NUMBERS, *CATEGORIES[1:], "market_cap", TARGET]
-    binned = order.quantile_bins(materialise(t.features().select(*columns)), "market_cap", 10, "comp_size")
-    scaled = windows.standardise(binned, NUMBERS)
-    # written once: indexers, scalers and every fitting round read it again
-    return materialise(scaled.select(*KEYS, *NUMBERS, *CATEGORIES, TARGET).dropna())
+    return study.model_frame(t.features(), "daily", NUMBERS, CATEGORIES)
 
 
 def prepared(t, fraction: float = 0.8):
-    """Feature vectors and train flags."""
-    frame = models.with_train_flag(model_frame(t), KEYS, fraction)
-    pipe = models.fit_features(frame.filter("is_train"), NUMBERS, CATEGORIES)
-    return models.apply_features(pipe, frame, CATEGORIES).select(*KEYS, TARGET, "features", "is_train")
+    return study.feature_vectors(model_frame(t), "daily", NUMBERS, CATEGORIES, fraction)
 
 
-@query("i01_feature_assembly", "features:i rows:i")
+def _complete_sql() -> str:
+    """Rows with every standardised number present, with the quantile bin of the size."""
+    spreads = ", ".join(f'stddev_samp("{c}") OVER w AS s{i}' for i, c in enumerate(NUMBERS))
+    kept = " AND ".join(f'"{c}" IS NOT NULL AND s{i} > 0' for i, c in enumerate(NUMBERS))
+    source = f"(SELECT *, {spreads} FROM features WINDOW w AS (PARTITION BY TICKER))"
+    return f"SELECT * FROM ({edges_sql('market_cap', 10, source)}) WHERE tomorrow_return IS NOT NULL AND {kept}"
+
+
+@query(
+    "i01_feature_assembly",
+    "features:i rows:i",
+    f"""SELECT {len(NUMBERS)} + count(DISTINCT bin) + count(DISTINCT proper) + count(DISTINCT dummy_negative)
+               + count(DISTINCT dummy_positive) + count(DISTINCT dummy_total) AS features, count(*) AS rows
+        FROM ({_complete_sql()})""",
+    ["features"],
+)
 def _(t):
     vectors = prepared(t)
     sizes = models.vector_to_array("features")
@@ -116,6 +124,10 @@ def _fitted(t, learner, prediction: str, fraction: float = 0.8):
     return fit, fit.transform(data.filter("NOT is_train")), prediction
 
 
+GROUP_MEANS = """SELECT DISTINCT dummy_total, avg(tomorrow_return) OVER (PARTITION BY dummy_total) AS prediction
+       FROM features WHERE tomorrow_return IS NOT NULL"""
+
+
 METRICS = "n:i mse:f9 rmse:f9 r2:f"
 
 
@@ -161,6 +173,14 @@ def _(t):
     return models.metrics(scored, TARGET, name)
 
 
+@query("i06_forest_one_feature", "dummy_total:i prediction:f9", f"{GROUP_MEANS}", ["features"])
+def _(t):
+    """A single tree on all rows, which is the mean of each side."""
+    data = _one_feature(t)
+    fit = models.forest(TARGET, numTrees=1, maxDepth=1, bootstrap=False).fit(data)
+    return fit.transform(data).groupBy("dummy_total").agg(F.avg("pred_forest").alias("prediction"))
+
+
 @query("i06_forest_grid", METRICS)
 def _(t):
     data = prepared(t)
@@ -175,10 +195,6 @@ def _(t):
     return models.metrics(scored, TARGET, name)
 
 
-GROUP_MEANS = """SELECT DISTINCT dummy_total, avg(tomorrow_return) OVER (PARTITION BY dummy_total) AS prediction
-       FROM features WHERE tomorrow_return IS NOT NULL"""
-
-
 @query("i07_boosted_one_feature", "dummy_total:i prediction:f9", GROUP_MEANS, ["features"])
 def _(t):
     data = _one_feature(t)
@@ -201,7 +217,7 @@ def _(t):
 
 @query("i09_logistic_cv", "log_pred:s n:i mean_probability:f")
 def _(t):
-    data = prepared(t, 0.7).withColumn("up", (C(TARGET) >= 0).cast("double"))
+    data = prepared(t, 0.7)
     search = models.logistic_cv(data.filter("is_train"), "up", KEYS)
     scored = models.with_probability(models.as_class(search.model.transform(data.filter("NOT is_train"))))
     return scored.groupBy("log_pred").agg(F.count(F.lit(1)).alias("n"), F.avg("p_positive").alias("mean_probability"))
@@ -251,11 +267,7 @@ def _(t):
 @query("i11_score_panel", "TICKER:s date:d lasso_pred:f pred_forest:f log_pred:s")
 def _(t):
     """All three fitted models on every row of the panel, train and test."""
-    data = prepared(t, 0.7).withColumn("up", (C(TARGET) >= 0).cast("double"))
-    with models.kept(data.filter("is_train")) as train:
-        learners = [models.lasso(TARGET, 0.0005), models.tree(TARGET, depth=5), models.logistic("up")]
-        fits = Pipeline(stages=learners).fit(train)
-    return models.as_class(fits.transform(data))
+    return study.score(prepared(t, 0.7), "daily", 0.0005, 5)
 
 
 @query("i12_nonzero_coefficients", "feature:s coefficient:f9")
@@ -294,3 +306,45 @@ def _(t):
     data = prepared(t)
     search = models.lasso_cv(data.filter("is_train"), TARGET, KEYS, [0.0001, 0.0005, 0.002, 0.01])
     return models.tuning_table(t.spark, search)
+
+
+PENALTIES = (0.0005, 0.002, 0.004)
+
+
+def _market_feature(t):
+    rows = t.panel.select(*KEYS, "RET", "sprtrn")
+    return VectorAssembler(inputCols=["sprtrn"], outputCol="features").transform(rows)
+
+
+@query(
+    "i14_tuning_table_one_feature",
+    "setting:s score:f9 best:b",
+    f"""WITH folded AS (
+          SELECT RET AS y, sprtrn AS x,
+                 floor({HASH_SQL.format(text="'43|' || TICKER || '|' || CAST(date AS VARCHAR)")} * 5) AS fold FROM panel),
+        stats AS (
+          SELECT f, corr(y, x) AS r, stddev_pop(x) AS sx, stddev_pop(y) AS sy, avg(x) AS mx, avg(y) AS my
+          FROM folded JOIN (SELECT unnest(range(5)) AS f) ON fold <> f GROUP BY f),
+        lines AS (
+          SELECT p, f, my, mx, sign(r) * greatest(abs(r) - p / sy, 0) * sy / sx AS slope
+          FROM stats CROSS JOIN (SELECT unnest([{', '.join(map(str, PENALTIES))}]) AS p)),
+        errors AS (
+          SELECT p, f, avg(pow(y - (my + slope * (x - mx)), 2)) AS mse FROM folded JOIN lines ON fold = f GROUP BY p, f),
+        means AS (SELECT p, avg(mse) AS score FROM errors GROUP BY p)
+        SELECT 'regParam=' || CASE {' '.join(f"WHEN p = {p} THEN '{p}'" for p in PENALTIES)} END AS setting, score,
+               score = (SELECT min(score) FROM means) AS best FROM means""",
+    ["panel"],
+)
+def _(t):
+    return models.tuning_table(t.spark, models.lasso_cv(_market_feature(t), "RET", KEYS, PENALTIES))
+
+
+@query(
+    "i12_all_coefficients_shrunk",
+    "feature:s coefficient:f9",
+    "SELECT '(intercept)' AS feature, avg(RET) AS coefficient FROM panel",
+    ["panel"],
+)
+def _(t):
+    """A penalty above every correlation leaves the mean alone."""
+    return models.coefficient_table(t.spark, models.lasso("RET", 1.0).fit(_market_feature(t)), ["sprtrn"])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import config
-from tidemark.operators import portfolio, windows
+from tidemark.operators import annual, portfolio, windows
+from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.window_queries import WEIGHTS_SQL, predictions
 from tidemark.session import one_row
@@ -117,6 +118,20 @@ def _(t):
     return portfolio.benchmark_curve(t.panel).withColumn("log_value", F.ln("value"))
 
 
+@query(
+    "j03_strategies_weekly_gated",
+    "strategy:s log_final:f8 last_date:d",
+    f"""SELECT strategy, ln(arg_max(value, date)) AS log_final, max(date) AS last_date
+        FROM ({curve_sql("""(SELECT *, -last_week_return AS lasso_pred, RET - sprtrn AS pred_forest, next_week_return AS tomorrow_return,
+                CASE WHEN last_week_return >= 0 THEN 'Positive' WHEN last_week_return < 0 THEN 'Negative' END AS log_pred
+                FROM features_weekly)""", config.NEWS_GATES['russell', 'weekly'])}) GROUP BY 1""",
+    ["features_weekly"],
+)
+def _(t):
+    final = portfolio.final_values(study.strategies(t.scored_at("weekly"), "russell", "weekly", after=None))
+    return final.withColumn("log_final", F.ln("final_value"))
+
+
 def returns(t):
     return t.price_path.withColumn("RET", windows.percent_change("CLOSE")).withColumn("YEAR", F.year("DATE"))
 
@@ -206,6 +221,30 @@ def _(t):
     return both.withColumn("LOG_BENCHMARK", F.ln(1 + C("BENCHMARK")))
 
 
+FACTORS = ["SALARY_SALARY_mean", "BONUS_BONUS_mean", "TENURE_TENURE_mean", "ART_COUNT"]
+
+
+def yearly_factors(t):
+    """Customers as companies: pay and tenure of a year against the return of the next."""
+    pay = annual.with_tenure(t.pay).withColumn("TICKER", C("EXEC_FULLNAME").cast("string"))
+    factors = annual.pay_summary(pay, ["SALARY", "BONUS", "TENURE"]).join(
+        annual.development_counts(pay, ["TICKER", "YEAR"]).withColumnRenamed("count", "ART_COUNT"), ["TICKER", "YEAR"]
+    )
+    outcome = returns(t).groupBy("TICKER", "YEAR").agg(F.avg("RET").alias("P"))
+    return factors.join(outcome, ["TICKER", "YEAR"])
+
+
+@query("i10_annual_model_errors", "MODEL:s n:i mse:f rmse:f r2:f")
+def _(t):
+    return study.annual_predictions(yearly_factors(t), FACTORS, "P", 1999, trees=20)[0]
+
+
+@query("j04_fitted_portfolio", "MODEL:s DATE:d RET:f")
+def _(t):
+    predicted = study.annual_predictions(yearly_factors(t), FACTORS, "P", 1999, trees=20)[1]
+    return study.ranked_portfolio(predicted, returns(t))
+
+
 @query(
     "l01_news_stream",
     "enterdate:d TICKER:s positive:i negative:i total:i",

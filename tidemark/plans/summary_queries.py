@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import config
 from tidemark.functions import labels, values
 from tidemark.operators import aggregates, order, resample, windows
+from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.session import materialise
 from tidemark.sources.testdata import NUMERIC
@@ -450,3 +451,85 @@ def _(t):
     return aggregates.category_counts_by_sign(t.scored, ("TICKER", "SICCD", "proper", "log_pred"), "tomorrow_return")
 
 
+
+
+# ---- the same summaries through the study functions, for periods --------------------------
+
+PERIOD_VIEW = """(SELECT TICKER, start AS date, SICCD, mean_market_cap AS market_cap, sum_RET AS RET, sum_sprtrn AS sprtrn,
+    sum_total AS total, sum_positive AS positive, sum_negative AS negative, lagged_return FROM lagged_{freq})"""
+
+
+def of_study(t, universe: str, freq: str, table: str):
+    return study.return_summaries(t.panel, universe, freq)[table]()
+
+
+@query(
+    "d08_industry_weekly_news_only",
+    f"industry:i num_firms:i cum_ret:f {NEWS_KINDS} {SHARE_KINDS} tot_per_comp:f pos_per_comp:f neg_per_comp:f",
+    f"""SELECT SICCD // 10 AS industry, count(DISTINCT TICKER) AS num_firms, sum(RET) AS cum_ret, {NEWS_SQL}, {SHARE_SQL},
+               sum(total) / count(DISTINCT TICKER) AS tot_per_comp, sum(positive) / count(DISTINCT TICKER) AS pos_per_comp,
+               sum(negative) / count(DISTINCT TICKER) AS neg_per_comp
+        FROM {PERIOD_VIEW.format(freq='weekly')} WHERE total > 0 GROUP BY 1""",
+    ["lagged_weekly"],
+)
+def _(t):
+    return of_study(t, "nasdaq", "weekly", "industries_news")
+
+
+@query(
+    "d09_size_summary_weekly",
+    f"size_group:s sum_ret:f {NEWS_KINDS} {SHARE_KINDS}",
+    f"""SELECT CASE grp WHEN 0 THEN '0-20%' WHEN 1 THEN '20-40%' WHEN 2 THEN '40-60%' WHEN 3 THEN '60-80%' ELSE '80-100%' END
+               AS size_group, sum(RET) AS sum_ret, {NEWS_SQL}, {SHARE_SQL}
+        FROM ({sas_rank('market_cap', 5, PERIOD_VIEW.format(freq='weekly'))}) GROUP BY 1""",
+    ["lagged_weekly"],
+)
+def _(t):
+    return of_study(t, "nasdaq", "weekly", "sizes")
+
+
+@query(
+    "d09_size_summary_daily_ten_groups",
+    f"size_group:s sum_ret:f {NEWS_KINDS} {SHARE_KINDS}",
+    f"""SELECT CASE grp WHEN 0 THEN 'Smallest' WHEN 9 THEN 'Largest' ELSE (10 * grp) || '-' || (10 * grp + 10) || '%' END
+               AS size_group, sum(RET) AS sum_ret, {NEWS_SQL}, {SHARE_SQL}
+        FROM ({sas_rank('market_cap', 10, 'lagged')}) GROUP BY 1""",
+    ["lagged"],
+)
+def _(t):
+    return of_study(t, "sp500", "daily", "sizes")
+
+
+for _freq in ("weekly", "monthly"):
+
+    @query(
+        f"d11_stock_deciles_{_freq}",
+        f"percentile_range:s avg_ret:f9 avg_lag_ret:f9 {NEWS_KINDS} {SHARE_KINDS}",
+        f"""SELECT {DECILE_CASE} AS percentile_range, avg(RET) AS avg_ret, avg(lagged_return) AS avg_lag_ret, {NEWS_SQL}, {SHARE_SQL}
+            FROM ({sas_rank('RET', 10, PERIOD_VIEW.format(freq=_freq))}) GROUP BY 1""",
+        [f"lagged_{_freq}"],
+    )
+    def _(t, freq=_freq):
+        return of_study(t, "dowjones", freq, "stock_deciles")
+
+
+@query(
+    "d12_by_monthly_positive_count",
+    COUNT_KINDS,
+    _count_sql("positive", PERIOD_VIEW.format(freq="monthly"), "RET", "sprtrn", "WHERE positive < 21"),
+    ["lagged_monthly"],
+)
+def _(t):
+    return of_study(t, "sp500", "monthly", "by_positive")
+
+
+@query(
+    "d18_monthly_market_deciles",
+    f"percentile_range:s avg_sprtn:f9 {NEWS_KINDS}",
+    f"""SELECT {DECILE_CASE} AS percentile_range, avg(sprtrn) AS avg_sprtn, {NEWS_SQL} FROM ({sas_rank('sprtrn', 10, f"""(
+          SELECT date, arg_min(sprtrn, TICKER) AS sprtrn, sum(positive) AS positive,
+              sum(negative) AS negative, sum(total) AS total FROM {PERIOD_VIEW.format(freq='monthly')} GROUP BY 1)""")}) GROUP BY 1""",
+    ["lagged_monthly"],
+)
+def _(t):
+    return of_study(t, "russell", "monthly", "market_deciles")

@@ -81,19 +81,21 @@ class Tables:
         rows = getattr(self, source) if freq == "daily" else self.periods(freq)
         return with_features(rows, BY_NAME[freq])
 
-    @property
-    def scored(self) -> DataFrame:
+    def scored_at(self, freq: str) -> DataFrame:
         """Features with simple fixed predictors in the place of fitted models."""
-        return self.features().withColumns(
+        before = F.col(BY_NAME[freq].previous_return)
+        return self.features(freq).withColumns(
             {
-                "lasso_pred": -F.col("yesterday_return"),
+                "lasso_pred": -before,
                 "pred_forest": F.col("RET") - F.col("sprtrn"),
-                "log_pred": F.when(F.col("yesterday_return") >= 0, "Positive").when(
-                    F.col("yesterday_return") < 0, "Negative"
-                ),
+                "log_pred": F.when(before >= 0, "Positive").when(before < 0, "Negative"),
             }
         )
 
+    @property
+    def scored(self) -> DataFrame:
+        return self.scored_at("daily")
+
     @property
     def news(self) -> DataFrame:
         """Events as headlines: one row each, the event type as free text."""
