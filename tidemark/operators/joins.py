@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.frames import keep_first
 from tidemark.operators.order import row_index
-from tidemark.session import one_row
+from tidemark.session import materialise, one_row
 
 
 def articles_with_prices(news: DataFrame, prices: DataFrame) -> DataFrame:
@@ -55,16 +55,20 @@ def join_by_position(
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", hot_share: float = 0.002,
-    copies: int = 64,
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", broadcast_rows: int = 500_000,
+    hot_share: float = 0.002, copies: int = 64,
 ) -> DataFrame:
     """Join a table to a lookup with one row per key, safe when few keys hold most rows.
 
-    Keys holding at least `hot_share` of the rows (so at most 1 / hot_share keys) are split over
-    `copies` salted copies of their lookup row. The salt is a hash of the whole row, so a rerun
-    task gives every row the same salt.
+    The lookup is written and counted. Up to `broadcast_rows` rows it is broadcast and the facts
+    are not shuffled. Beyond that, keys holding at least `hot_share` of the facts (so at most
+    1 / hot_share keys) are split over `copies` salted copies of their lookup row. The salt is a
+    hash of the whole row, so a rerun task gives every row the same salt.
     """
     keys = list(keys)
+    lookup = materialise(lookup)
+    if lookup.count() <= broadcast_rows:
+        return facts.join(F.broadcast(lookup), keys, how)
     counts = facts.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     size = one_row(facts.agg(F.count(F.lit(1)).alias("n")))["n"]
     hot = F.broadcast(counts.filter(F.col("_n") >= size * hot_share).select(*keys, F.lit(True).alias("_hot")))

@@ -119,7 +119,7 @@ def counts_near(
     )
 
 
-def _lumped(positions: Sequence[Column]) -> Column:
+def _lumped(positions: Sequence[Column | int]) -> Column:
     """Whether any of the (one-based) positions falls into a lump."""
     missed = F.lit(False)
     for position in positions:
@@ -161,6 +161,19 @@ def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     return [None if x is None else float(x) for x in found]
 
 
+def values_at(df: DataFrame, value: str, positions: Sequence[int], rows: int) -> list:
+    """The values at some one-based positions in ascending order; `rows` is the non-null row count."""
+    picks = [
+        F.max(F.when((F.col("before") < k) & (k <= F.col("before") + F.col("n")), F.col(value))).alias(f"_{k}")
+        for k in positions
+    ]
+    near = counts_near(df, value, [(k - 0.5) / rows for k in positions])
+    missed, *found = near.agg(_lumped(positions), *picks).first()
+    if missed:  # the sketch was off; count every distinct value instead
+        found = list(value_counts_in_order(df, value).agg(*picks).first())
+    return found
+
+
 def quantile_bins(
     df: DataFrame, value: str, bins: int, out: str, duplicates: str = "raise", keep_edges: bool = False
 ) -> DataFrame:

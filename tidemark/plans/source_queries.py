@@ -79,7 +79,7 @@ def _(t):
          FROM documents)""",
 )
 def _(t):
-    return files.with_shard(t["documents"].select("doc_id"), ["doc_id"], 50)
+    return files.with_shard(t["documents"].select("doc_id"), "doc_id", 50)
 
 
 @query(

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators.order import row_index
-from tidemark.session import one_row
+from tidemark.operators.order import values_at
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -63,9 +62,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Se
         writer.format(fmt).save(path)
 
 
-def with_shard(df: DataFrame, order: Sequence[str], shards: int, out: str = "shard") -> DataFrame:
-    """Equal contiguous shards numbered from 1 in the stated order; the last takes the remainder."""
-    length = one_row(df.agg(F.floor(F.count(F.lit(1)) / shards).alias("n")))["n"]
-    place = F.floor(F.try_divide(F.col("_i"), length))
-    last = F.lit(shards - 1)
-    return row_index(df, order, "_i").withColumn(out, F.least(F.coalesce(place, last), last) + 1).drop("_i")
+def with_shard(df: DataFrame, key: str, shards: int, out: str = "shard") -> DataFrame:
+    """Equal contiguous shards numbered from 1 by a unique numeric key; the last takes the remainder.
+
+    Only the keys at the shard borders are looked up. The rows themselves stay where they are.
+    """
+    rows = df.count()
+    length = rows // shards
+    if length == 0:
+        return df.withColumn(out, F.lit(shards))
+    borders = values_at(df.select(key), key, [i * length + 1 for i in range(1, shards)], rows)
+    shard = F.lit(1)
+    for border in borders:
+        shard = shard + (F.col(key) >= F.lit(border)).cast("int")
+    return df.withColumn(out, shard)
