@@ -39,34 +39,49 @@ def running_total(
     counted = materialise(
         ranged.withColumn("_upto", F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     )
-    # one row per range, plus one per group border: small however large the input is
-    ranges = Window.partitionBy(*groups).orderBy("_range")
-    offsets = (
-        counted.groupBy(*groups, "_range")
-        .agg(F.max("_upto").alias("_sum"))
-        .withColumn("_offset", F.coalesce(F.sum("_sum").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_whole", F.sum("_sum").over(Window.partitionBy(*groups)))
-        .drop("_sum")
-    )
-    # without groups there is one row per range; with groups Spark decides from the size of the written table
-    offsets = materialise(offsets) if groups else F.broadcast(offsets)
+    offsets = _offsets(counted.groupBy(*groups, "_range").agg(F.max("_upto").alias("_sum")), groups)
     result = counted.join(offsets, [*groups, "_range"]).withColumn(out, F.col("_offset") + F.col("_upto") - F.col(amount))
     if total is not None:
         result = result.withColumn(total, F.col("_whole"))
     return result.select(*df.columns, out, *([total] if total else []))
 
 
+def _offsets(sums: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """What lies before each range within its group, and the group's whole sum.
+
+    The input has one row per range, plus one per group border: small however many rows there are.
+    """
+    ranges = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(ranges), F.lit(0))).withColumn(
+        "_whole", F.sum("_sum").over(Window.partitionBy(*groups))
+    )
+    # without groups there is one row per range; with groups Spark decides from the size of the written table
+    return materialise(offsets) if groups else F.broadcast(offsets)
+
+
 def row_index(
     df: DataFrame, order: Sequence[str], out: str, groups: Sequence[str] = (), descending: Sequence[str] = (),
     total: str | None = None,
 ) -> DataFrame:
-    """Add a zero-based position in the stated order (numeric columns may run downwards)."""
-    signed = df.withColumns(
-        {"_one": F.lit(1).cast("bigint"), **{f"_down_{name}": -F.col(name) for name in order if name in descending}}
+    """Add a zero-based position in the stated unique order (numeric columns may run downwards).
+
+    Rows are shuffled once, by range. The position inside a sorted range is the low part of the
+    increasing id; the ranges before are added to it. `total` also adds the rows of the group.
+    """
+    keys = [*groups, *[-F.col(name) if name in descending else F.col(name) for name in order]]
+    width = shuffle_width(df.sparkSession)
+    ranged = df.repartitionByRange(width, *keys).sortWithinPartitions(*keys)
+    ids = ranged.withColumn("_id", F.monotonically_increasing_id())
+    placed = materialise(
+        ids.withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id")
+    )
+    offsets = _offsets(
+        placed.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_sum"), F.min("_at").alias("_first")), groups
     )
-    names = [f"_down_{name}" if name in descending else name for name in order]
-    placed = running_total(signed, names, "_one", out, groups, total)
-    return placed.select(*df.columns, out, *([total] if total else []))
+    result = placed.join(offsets, [*groups, "_range"]).withColumn(out, F.col("_offset") + F.col("_at") - F.col("_first"))
+    if total is not None:
+        result = result.withColumn(total, F.col("_whole"))
+    return result.select(*df.columns, out, *([total] if total else []))
 
 
 def value_counts_in_order(
