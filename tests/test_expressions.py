@@ -107,3 +107,9 @@ def test_normal_p(spark):
     frame = spark.createDataFrame([(2.0, 2.0), (None, 3.0)], "t double, df double")
     got = [r[0] for r in frame.select(distributions.t_p_value("t", "df")).collect()]
     assert got[0] == pytest.approx(1 - 2 / math.sqrt(6)) and got[1] is None
+
+
+def test_scorer_hook(spark):
+    frame = spark.createDataFrame([(1, "up up"), (2, "down")], "id int, headline string")
+    got = text.label_with(frame, "headline", lambda s: s.str.contains("up").map({True: "positive", False: "negative"}))
+    assert [(r["id"], r["Sentiment"]) for r in got.orderBy("id").collect()] == [(1, "positive"), (2, "negative")]

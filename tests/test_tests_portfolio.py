@@ -124,6 +124,16 @@ def test_ranks_and_weights(spark):
     assert all(ranks[r["TICKER"], r["YEAR"]] == r["RANK"] for r in weights.collect())
 
 
+def test_dates_without_held_companies_return_zero(spark):
+    predictions = spark.createDataFrame([(f"T{i}", 2020, "LR", float(-i)) for i in range(9)], "TICKER string, YEAR int, MODEL string, EXP double")
+    returns = spark.createDataFrame(
+        [("T0", 2020, "d1", 0.8), ("T7", 2020, "d1", 0.4), ("T8", 2020, "d2", 0.5), ("other", 2020, "d3", 0.5)],
+        "TICKER string, YEAR int, DATE string, RET double",
+    )
+    got = portfolio.portfolio_returns(portfolio.join_positions(returns, portfolio.all_positions(predictions)))
+    assert {r["DATE"]: r["RET"] for r in got.collect()} == pytest.approx({"d1": 0.05, "d2": 0.0})
+
+
 def test_weights_cut_groups_before_the_shuffle(spark):
     df = spark.createDataFrame([("A", 2020, "LR", 1.0)], "TICKER string, YEAR int, MODEL string, EXP double")
     assert "WindowGroupLimit" in portfolio.long_short_weights(df)._jdf.queryExecution().executedPlan().toString()

@@ -1,11 +1,18 @@
-"""Text expressions over whole documents; everything stays inside the JVM."""
+"""Text expressions over whole documents; everything but the scorer hook stays inside the JVM."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# ship the scoring hook with the job, so executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def long_lines(text: Column, at_least: int = 20) -> Column:
@@ -49,6 +56,19 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
+def label_with(
+    df: DataFrame, text: str, scorer: Callable[[pd.Series], pd.Series], out: str = "Sentiment"
+) -> DataFrame:
+    """Label every text with a scorer of the user's own, which sees Arrow batches of whole texts."""
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(**{out: scorer(batch[text])})
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
+    return df.mapInPandas(label, schema)
+
+
 def word_list_label(text: Column, good: Sequence[str], bad: Sequence[str]) -> Column:
     """positive, negative or neutral by which list has more different words in the text."""
     found = words(text)

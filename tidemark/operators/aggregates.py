@@ -133,6 +133,12 @@ def describe(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame
     return moments.withColumns({n: F.lit(v).cast("double") for n, v in zip(("q25", "q50", "q75"), values)})
 
 
+def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """`describe` for many columns in one go, one row per column."""
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    return describe(wide.unpivot([], list(columns), "column", "value"), "value", ["column"])
+
+
 def box_stats(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
     """Quartiles, spread between them and whisker limits by group."""
     quartiles = grouped_quantiles(df, value, [0.25, 0.5, 0.75], ["q25", "q50", "q75"], groups)

@@ -137,19 +137,26 @@ def long_short_weights(predictions: DataFrame, longs: int = 4, shorts: int = 4)
     return top.withColumn("POS", side / F.sum(F.abs(side)).over(Window.partitionBy("YEAR", "MODEL")))
 
 
-def join_positions(returns: DataFrame, weights: DataFrame) -> DataFrame:
-    """Annual positions onto daily returns. There are only a handful of positions per year and model."""
-    positions = weights.select("TICKER", "YEAR", "MODEL", "POS").dropDuplicates()
-    return returns.join(F.broadcast(positions), ["TICKER", "YEAR"], "left")
+def all_positions(predictions: DataFrame, longs: int = 4, shorts: int = 4) -> DataFrame:
+    """Every ranked company with its weight, null beyond the held ones.
+
+    The held ones are a handful per year and model, so they are broadcast.
+    """
+    held = long_short_weights(predictions, longs, shorts).select("TICKER", "YEAR", "MODEL", "POS")
+    ranked = predictions.filter(F.col("EXP").isNotNull()).select("TICKER", "YEAR", "MODEL")
+    return ranked.join(F.broadcast(held), ["TICKER", "YEAR", "MODEL"], "left")
+
+
+def join_positions(returns: DataFrame, positions: DataFrame) -> DataFrame:
+    """Annual positions onto daily returns."""
+    distinct = positions.select("TICKER", "YEAR", "MODEL", "POS").dropDuplicates()
+    return returns.join(distinct, ["TICKER", "YEAR"], "left")
 
 
 def portfolio_returns(positioned: DataFrame) -> DataFrame:
-    """Weighted return of each model and date."""
-    return (
-        positioned.filter(F.col("MODEL").isNotNull())
-        .groupBy("MODEL", "DATE")
-        .agg(F.sum(F.col("RET") * F.col("POS")).alias("RET"))
-    )
+    """Weighted return of each model and date; zero on dates when only companies not held trade."""
+    weighted = F.coalesce(F.sum(F.col("RET") * F.col("POS")), F.lit(0.0))
+    return positioned.filter(F.col("MODEL").isNotNull()).groupBy("MODEL", "DATE").agg(weighted.alias("RET"))
 
 
 def sharpe(df: DataFrame, groups: Sequence[str], ret: str = "RET") -> DataFrame:

@@ -8,7 +8,7 @@ from tidemark import config
 from tidemark.operators import annual, portfolio, windows
 from tidemark.plans import study
 from tidemark.plans.registry import query
-from tidemark.plans.window_queries import WEIGHTS_SQL, predictions
+from tidemark.plans.window_queries import PREDICTIONS_SQL, WEIGHTS_SQL, predictions
 from tidemark.session import one_row
 from tidemark.streaming import news_counts
 
@@ -142,12 +142,14 @@ def daily_portfolio(t):
 
 
 def joins_by_year(t):
-    return portfolio.join_positions(returns(t), portfolio.long_short_weights(predictions(t)))
+    return portfolio.join_positions(returns(t), portfolio.all_positions(predictions(t)))
 
 
 POSITIONED_SQL = f"""SELECT r.TICKER, r.DATE, r.YEAR, r.RET, w.MODEL, w.POS FROM path_returns r
-    LEFT JOIN (SELECT DISTINCT TICKER, YEAR, MODEL, POS FROM ({WEIGHTS_SQL})) w ON r.TICKER = w.TICKER AND r.YEAR = w.YEAR"""
-PORTFOLIO_SQL = f"SELECT MODEL, DATE, sum(RET * POS) AS RET FROM ({POSITIONED_SQL}) WHERE MODEL IS NOT NULL GROUP BY 1, 2"
+    LEFT JOIN (SELECT DISTINCT p.TICKER, p.YEAR, p.MODEL, h.POS FROM ({PREDICTIONS_SQL}) p
+               LEFT JOIN ({WEIGHTS_SQL}) h ON p.TICKER = h.TICKER AND p.YEAR = h.YEAR AND p.MODEL = h.MODEL) w
+      ON r.TICKER = w.TICKER AND r.YEAR = w.YEAR"""
+PORTFOLIO_SQL = f"SELECT MODEL, DATE, coalesce(sum(RET * POS), 0) AS RET FROM ({POSITIONED_SQL}) WHERE MODEL IS NOT NULL GROUP BY 1, 2"
 
 
 @query(

@@ -176,4 +176,4 @@ def annual_predictions(
 
 def ranked_portfolio(predictions: DataFrame, returns: DataFrame) -> DataFrame:
     """Daily returns of the long/short portfolio each model's ranking gives."""
-    return portfolio.portfolio_returns(portfolio.join_positions(returns, portfolio.long_short_weights(predictions)))
+    return portfolio.portfolio_returns(portfolio.join_positions(returns, portfolio.all_positions(predictions)))

@@ -238,6 +238,21 @@ def _(t):
     return aggregates.describe(t.prices.withColumn("category", category), "RET", ["category"])
 
 
+DESCRIBED = ("PRC", "RET", "VOL", "sprtrn", "tomorrow_return", "10_day_ma")
+
+
+@query(
+    "d13_describe_columns",
+    f"column:s {DESCRIBE.replace('f9', 'f4')}",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {DESCRIBE_SQL.replace('RET', f'CAST("{c}" AS DOUBLE)')} FROM features""" for c in DESCRIBED
+    ),
+    ["features"],
+)
+def _(t):
+    return aggregates.describe_columns(materialise(t.features().select(*DESCRIBED)), DESCRIBED)
+
+
 @query(
     "d14_compounded_return",
     "TICKER:s year:i cum_ret:f",
