@@ -265,7 +265,7 @@ def _(t):
             .otherwise("mixed")
         )
         return feed.select(
-            "event_id", C("ts").cast("timestamp").alias("ts"), C("user_id").cast("string").alias("TICKER"),
+            "event_id", news_counts.utc_instant("ts").alias("ts"), C("user_id").cast("string").alias("TICKER"),
             words.alias("Sentiment"),
         )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,8 +10,17 @@ from tidemark.functions.labels import label_counts, normalise_label
 from tidemark.session import scratch_path
 
 
+def utc_instant(clock: str) -> Column:
+    """Instant of a zone-free UTC clock time, whatever the session's time zone is."""
+    return F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {clock})"))
+
+
+def utc_day(moment: str) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(moment) / 86400).cast("int"))
+
+
 def stream_counts(feed: DataFrame, time: str, key: str, ident: str, label: str, late: str = "1 day") -> DataFrame:
-    """One-day tumbling counts; repeated ids are dropped, rows behind the watermark too."""
+    """Counts per UTC day; repeated ids are dropped, rows behind the watermark too."""
     flagged = feed.withColumns(label_counts(normalise_label(F.col(label))))
     return (
         flagged.withWatermark(time, late)
@@ -19,7 +28,7 @@ def stream_counts(feed: DataFrame, time: str, key: str, ident: str, label: str,
         .groupBy(F.window(time, "1 day").alias("window"), key)
         .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("positive", "negative", "total")])
         .select(
-            F.to_date("window.start").alias("enterdate"), F.col(key), "positive", "negative", "total"
+            utc_day("window.start").alias("enterdate"), F.col(key), "positive", "negative", "total"
         )
     )
 
