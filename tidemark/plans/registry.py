@@ -45,7 +45,7 @@ def query(name: str, columns: str, sql: str | None = None, views: Sequence[str]
 
 def _places(kind: str) -> tuple[int, str]:
     places = int(kind[1:] or 6)
-    return places, f"1.23e-{places + 2}"
+    return places, f"1.2345678e-{places + 2}"
 
 
 def _spark_column(name: str, kind: str) -> Column:

@@ -144,7 +144,7 @@ def _(t):
 @query(
     "d10_market_quantile_summary",
     f"percentile_range:s avg_sprtn:f9 {NEWS_KINDS}",
-    f"""SELECT '(' || printf('%.6f', round(lo + 1.23e-9, 6)) || ', ' || printf('%.6f', round(hi + 1.23e-9, 6)) || ']' AS percentile_range,
+    f"""SELECT '(' || printf('%.6f', round(lo + 1.2345678e-8, 6)) || ', ' || printf('%.6f', round(hi + 1.2345678e-8, 6)) || ']' AS percentile_range,
                avg(sprtrn) AS avg_sprtn, {NEWS_SQL}
         FROM (SELECT *, [e0, e1, e2, e3, e4, e5, e6, e7, e8, e9][bin + 1] AS lo,
                      [e1, e2, e3, e4, e5, e6, e7, e8, e9, e10][bin + 1] AS hi FROM ({edges_sql('sprtrn', 10, '''(
@@ -155,7 +155,7 @@ def _(t):
 def _(t):
     daily = aggregates.market_summary(t.panel)
     binned = order.quantile_bins(materialise(daily), "sprtrn", 10, "bin", keep_edges=True)
-    low, high = (F.round(C(c) + 1.23e-9, 6) for c in ("bin_low", "bin_high"))
+    low, high = (F.round(C(c) + 1.2345678e-8, 6) for c in ("bin_low", "bin_high"))
     return aggregates.market_band_summary(
         binned.withColumn("percentile_range", F.format_string("(%.6f, %.6f]", low, high)), "percentile_range"
     )
