@@ -96,12 +96,9 @@ def _(t):
         t["events"].groupBy(F.floor(F.col("event_id") / 500).alias("page"))
         .agg(F.collect_list(record).alias("content"))
     )
-    pages.write.partitionBy().mode("overwrite").json(path)
-    return (
-        t.spark.read.schema("page bigint, content array<struct<id: bigint, kind: string, props: string>>").json(path)
-        .select("page", F.inline("content"))
-        .select("page", "id", "kind", F.from_json("props", "k bigint").k.alias("k"))
-    )
+    files.write_table(pages, path, "json")
+    records = files.read_pages(t.spark, path, "id bigint, kind string, props string", one_page_per_file=False)
+    return records.select("page", "id", "kind", F.from_json("props", "k bigint").k.alias("k"))
 
 
 @query(

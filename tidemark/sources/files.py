@@ -42,12 +42,17 @@ def read_listed(spark: SparkSession, paths: Sequence[str], schema: T.StructType
     return read_csv(spark, present, schema).withColumn("source_file", F.col("_metadata.file_name"))
 
 
-def read_pages(spark: SparkSession, path: str, record: T.StructType | str) -> DataFrame:
-    """JSON pages, each a document with a `content` array, to one row per record."""
+def read_pages(
+    spark: SparkSession, path: str, record: T.StructType | str, one_page_per_file: bool = True
+) -> DataFrame:
+    """JSON pages, each a document with a `content` array, to one row per record.
+
+    Landed pages are one document per file, or one per line, which can also be split inside a file.
+    """
     inner = record if isinstance(record, T.StructType) else T.StructType.fromDDL(record)
     page = T.StructType([T.StructField("page", T.LongType()), T.StructField("content", T.ArrayType(inner))])
     return (
-        spark.read.schema(page).option("multiLine", True).json(path)
+        spark.read.schema(page).option("multiLine", one_page_per_file).json(path)
         .select("page", F.explode("content").alias("record"))
         .select("page", "record.*")
     )
