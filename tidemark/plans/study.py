@@ -5,7 +5,7 @@ The parameters that differ between universes and frequencies are data in `tidema
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +16,7 @@ from tidemark import config
 from tidemark.functions import values
 from tidemark.operators import aggregates, annual, models, order, portfolio, resample, windows
 from tidemark.session import materialise
+from tidemark.sources.files import write_table
 
 C = F.col
 
@@ -106,6 +107,19 @@ def return_summaries(panel: DataFrame, universe: str, freq: str) -> dict[str, Ca
 
 # ---- features, models and backtests -------------------------------------------------------
 
+def features_of(panel: DataFrame, freq: str) -> DataFrame:
+    """Lags, averages, spread and dummies of a daily panel at some frequency."""
+    rows = panel if freq == "daily" else resample.resample(panel, freq)
+    return windows.with_features(rows, config.BY_NAME[freq])
+
+
+def store_features(panels: Mapping[str, DataFrame], path: str, frequencies: Sequence[str] = config.FREQUENCIES) -> None:
+    """One feature table per universe and frequency, in folders that readers can prune by."""
+    for universe, panel in panels.items():
+        for freq in frequencies:
+            write_table(features_of(panel, freq), f"{path}/universe={universe}/freq={freq}")
+
+
 def model_frame(features: DataFrame, freq: str, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
     """Size bins, then features standardised within each ticker; complete rows only.
 
