@@ -48,6 +48,13 @@ def op2_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_groups(table(spark, folder, "documents"))
 
 
+@query("op3_html_extraction")
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.html_template import main_texts
+
+    return main_texts(table(spark, folder, "pages"))
+
+
 @query(
     "op4_warc_round_trip",
     """
@@ -93,3 +100,51 @@ def op7_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.forest import near_vectors
 
     return near_vectors(table(spark, folder, "embeddings"), least=0.98)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op8_substring_dedup",
+    """
+    WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50),
+    x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM s),
+    f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h HAVING min(doc_id) < max(doc_id)),
+    g AS (SELECT DISTINCT x.doc_id, unnest(range(x.i, x.i + 50)) AS p FROM x JOIN f ON x.h = f.h WHERE x.doc_id > f.first),
+    a AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY doc_id),
+    k AS (SELECT d.doc_id, d.w, coalesce(a.gone, []) AS gone FROM d LEFT JOIN a ON d.doc_id = a.doc_id),
+    t AS (SELECT doc_id, w, gone, CASE WHEN len(gone) = 0 THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda q: NOT list_contains(gone, q)), lambda q: w[q]) END AS kept FROM k)
+    SELECT doc_id, len(w)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM t
+    """,
+)
+def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.substring import remove_repeats
+
+    return remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op9_source_mixture")
+def op9_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.mixing import mixture
+
+    return mixture(table(spark, folder, "documents"))
+
+
+@query("op10_retrieval_packing")
+def op10_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.packing import retrieval_packing
+
+    return retrieval_packing(table(spark, folder, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    """The tokenizer's place in the installed vocabulary package, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
