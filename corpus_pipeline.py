@@ -41,9 +41,9 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample that meets the target weights of sources, languages and topics."""
-    chosen = mixture(docs).where("selected").select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(materialise(chosen), F.col("doc_id") == F.col("_chosen"), "left_semi")
+    """A sample that meets the target weights of sources, languages and topics; a document without an id stays."""
+    left = mixture(docs).where("not selected").select(F.col("doc_id").alias("_left")).distinct()
+    return docs.join(materialise(left), F.col("doc_id") == F.col("_left"), "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,7 +67,7 @@ def test_pipeline_of_odd_documents(spark, make_docs, odd_texts, folder):
     docs = make_docs(odd_texts)
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, folder))
-    assert docs.count() > 5
+    assert docs.count() > 2
     docs = make_docs([])
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, folder))

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import packing, substring, warc
 from tidemark.llm.html_template import blocks_of, main_texts
-from tidemark.llm.mixing import mixture
+from tidemark.llm.mixing import TEMPER, mixture
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.sharding import interleaved_shards
 from tidemark.llm.toxicity import FEATURES, TokenFacts, features_of, toxicity
@@ -318,7 +318,7 @@ def test_weights_equal_plain_raking(make_docs):
     def share(weights):
         return {k: v / sum(weights.values()) for k, v in weights.items()}
 
-    want = plain_rake(cells, [share({k: v**0.5 for k, v in facets[0].items()}), share({"en": 2, "de": 1, None: 1}), share({k: v**0.7 for k, v in facets[2].items()})])
+    want = plain_rake(cells, [share({k: v ** TEMPER["source"] for k, v in facets[0].items()}), share({"en": 2, "de": 1, None: 1}), share({k: v ** TEMPER["topic"] for k, v in facets[2].items()})])
     for r in got:
         assert r["weight"] == pytest.approx(want[(r["source"], r["lang"], r["topic"])], rel=1e-3)
         assert r["probability"] == pytest.approx(r["weight"] / max(want.values()), rel=1e-3)

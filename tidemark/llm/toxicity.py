@@ -60,7 +60,7 @@ def _plain(token: str) -> list[str]:
 
 
 def _revealed(token: str) -> str:
-    return "".join(_LETTERS.findall(token.lower().translate(DISGUISE)))
+    return "".join(_LETTERS.findall(token.lower().strip("!?.,;:").translate(DISGUISE)))
 
 
 class TokenFacts(dict):

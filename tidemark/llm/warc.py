@@ -98,15 +98,32 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
        need the logarithm of their stray places. A magic line inside a payload is never reached.
     4. Pieces of a payload that held the magic line are put together again.
 
-    The scan runs once; its result is stored and holds payload text only where asked for or where a record was cut.
+    A scan's result is stored, as offsets hold within one scan only. Without `payloads` it holds no payload text but
+    for files with pieces that are no whole record, which are scanned once more.
     A record that runs past the end of its file is left out; so is what follows bytes that no record
     covers. A folder without records gives no rows.
     """
-    block = ["file", "start"]
+    if payloads:
+        return _records(_pieces(spark, folder, True)).select(*_FIELDS, "payload")
+    plain = _pieces(spark, folder, False)
+    mixed = materialise(plain.where("not whole and bytes > 0").select("file").distinct())
+    if mixed.isEmpty():
+        return _records(plain).select(*_FIELDS)
+    again = _pieces(spark, folder, True, mixed)
+    return _records(plain.join(mixed, "file", "left_anti")).select(*_FIELDS).unionByName(_records(again).select(*_FIELDS))
+
+
+_FIELDS = ("record_type", "page_id", "url", "refers_to", "declared_digest", "payload_bytes", "digest")
+
+
+def _pieces(spark: SparkSession, folder: str, texts: bool, only: DataFrame | None = None) -> DataFrame:
+    """What lies between two magic lines, one row each, with the place in its split and what its header says."""
     scanned = (
         spark.read.option("lineSep", MAGIC).schema("value string").text(folder)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("seq"))
     )
+    if only is not None:
+        scanned = scanned.join(only, "file", "left_semi")
     parsed = (
         scanned.withColumn("head", F.substring_index("value", HEADER_END, 1))
         .withColumn("bytes", F.octet_length("value").cast("long"))
@@ -115,15 +132,19 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         .withColumn("whole", F.coalesce((F.col("needs") == F.col("bytes")) & F.col("value").endswith(RECORD_END), F.lit(False)))
         .withColumn("text", F.when(F.col("whole"), F.expr("left(substring(value, char_length(head) + 5), char_length(value) - char_length(head) - 8)")))
     )
-    stored = materialise(
+    return materialise(
         parsed.select(
             "file", "start", "seq", "bytes", "needs", "whole", F.when(F.col("length").isNotNull(), F.col("head")).alias("head"),
-            F.when(~F.col("whole"), F.col("value")).alias("piece"),
+            (F.when(~F.col("whole"), F.col("value")) if texts else F.lit(None).cast("string")).alias("piece"),
             payload_digest(F.col("text")).alias("digest"),
-            (F.col("text") if payloads else F.lit(None).cast("string")).alias("text"),
+            (F.col("text") if texts else F.lit(None).cast("string")).alias("text"),
             F.octet_length("text").cast("long").alias("payload_bytes"),
         )
     )
+
+
+def _records(stored: DataFrame) -> DataFrame:
+    block = ["file", "start"]
     magic = len(MAGIC)
     narrow = stored.select("file", "start", "seq", "bytes", "needs", "whole")
     # a piece ends with the magic of the next one, except the last of its file
@@ -172,7 +193,6 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         .select("head", payload_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("payload_bytes"), "text")
     )
     records = single.unionByName(joined)
-    kept = ["payload"] if payloads else []
     return records.select(
         F.lower(_field("WARC-Type")).alias("record_type"),
         F.regexp_extract(_field("WARC-Record-ID"), "<urn:page:(-?[0-9]+)>", 1).try_cast("long").alias("page_id"),
@@ -180,12 +200,12 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
         F.regexp_extract(_field("WARC-Refers-To"), "<urn:page:(-?[0-9]+)>", 1).try_cast("long").alias("refers_to"),
         F.regexp_extract(_field("WARC-Payload-Digest"), "sha1:(\\w+)", 1).alias("declared_digest"),
         "payload_bytes", "digest", F.col("text").alias("payload"),
-    ).select("record_type", "page_id", "url", "refers_to", "declared_digest", "payload_bytes", "digest", *kept)
+    )
 
 
 def _reached_runs(candidates: DataFrame) -> DataFrame:
     """(file, run, entry): the runs on the chain from offset 0, and where the chain enters each."""
-    runs = candidates.groupBy("file", "run").agg(F.min("offset").alias("first"), F.max("successor").alias("next"))
+    runs = candidates.groupBy("file", "run").agg(F.min("offset").alias("first"), F.max_by("successor", "offset").alias("next"))
     first = runs.where(F.col("first") == 0).select("file", "run", F.col("first").alias("entry"))
     ends = runs.select("file", "run", F.col("next").alias("offset"))
     jumps = materialise(
