@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most `rows` texts go to a Python worker at once, for this session's later plans.
+
+    An Arrow batch is held by the executor and the worker, twice each while it grows. The setting changes no result; a
+    smaller one that is already there stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def gathered(batches, size: int) -> Iterator[pa.Table]:
+    """Arrow batches put together until they hold `size` bytes or more."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def slices(batches, rows: int = SLICE) -> Iterator:
     """Arrow batches cut into short ones."""
     for batch in batches:

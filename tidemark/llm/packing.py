@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import ranges, runs, slices
+from tidemark.llm.common import gathered, ranges, runs, short_batches, slices
 from tidemark.session import materialise
 
 WINDOW = 4096
@@ -21,62 +24,84 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 #: BM25 parameters.
 K1, B = 1.2, 0.75
-CACHE_WORDS = 300_000
+#: Bytes of text whose words are looked up together.
+BATCH_BYTES = 24_000_000
+#: Words of lower-case letters that the tokenizer's normal forms leave alone, and a place it always splits at.
+LETTERS = "^[a-zß-öø-ÿ]+$"
+LETTER_THEN_SIGN = r"([a-z])([!-&(-/:-@\[-`{-~])"
+
+
+def _byte_signs() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves and the others as U+0100, U+0101, ... in turn."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {byte: 256 + at for at, byte in enumerate(b for b in range(256) if b not in printable)}
+
+
+BYTE_SIGNS = _byte_signs()
 
 
 class WordIds:
     """Token ids of texts, word by word.
 
-    The tokenizer splits at white space and merges inside words only, so ids of a text are the ids of its
-    words in turn. Ids of words are remembered; the rest of the work is array operations.
+    The tokenizer splits at white space, between letters and signs, and merges inside words only, and it lowers
+    letters; so ids of a text are the ids of its words in turn. Each different word of a batch is merged once; the
+    rest is array operations. Words that are lower-case letters throughout need no further treatment
+    and go to the merges directly, all others through the whole tokenizer, and so do texts that
+    may spell a special token.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.place: dict[str, int] = {"": 0}
-        self.count = [0]
-        self.flat: list[int] = []
-        self.tables: tuple[np.ndarray, ...] | None = None
-
-    def learn(self, words: list[str]) -> None:
-        for word, made in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
-            self.place[word] = len(self.count)
-            self.count.append(len(made.ids))
-            self.flat += made.ids
-        self.tables = None
-
-    def of(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.place) > CACHE_WORDS:
-            self.reset()
-        split = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        fresh = list(dict.fromkeys(w for words in split for w in words if w not in self.place))
-        if fresh:
-            self.learn(fresh)
-        if self.tables is None:
-            counts = np.array(self.count, np.int64)
-            self.tables = (counts, np.cumsum(counts) - counts, np.array(self.flat, np.uint32))
-        counts, starts, flat = self.tables
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-            out.append(flat[ranges(starts[at], counts[at])])
-        return out
+        self.merges = self.tokenizer.model
+
+    def _vocabulary(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and number of the ids of each word, and all ids."""
+        simple = pc.match_substring_regex(words, pattern=LETTERS).to_numpy(zero_copy_only=False)
+        found: list[list[int]] = [[]] * len(words)
+        whole = words.to_pylist()
+        merges = self.merges.tokenize
+        for at in np.flatnonzero(simple).tolist():
+            word = whole[at]
+            if not word.isascii():  # the vocabulary writes other bytes as Latin-1 signs, with gaps filled from U+0100 on
+                word = word.encode().decode("latin-1").translate(BYTE_SIGNS)
+            found[at] = [t.id for t in merges(word)]
+        odd = np.flatnonzero(~simple).tolist()
+        for at, made in zip(odd, self.tokenizer.encode_batch_fast([whole[i] for i in odd], add_special_tokens=False)):
+            found[at] = made.ids
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))
+        return np.cumsum(counts) - counts, counts, flat
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        special = pc.match_substring(texts, "<|")
+        plain = pc.if_else(special, "", texts)
+        words = pc.replace_substring_regex(pc.ascii_lower(plain), pattern="[\t\n\r]", replacement=" ")
+        words = pc.replace_substring_regex(words, pattern=LETTER_THEN_SIGN, replacement=r"\1 \2")
+        split = pc.split_pattern(words, " ")
+        coded = pc.list_flatten(split).dictionary_encode()
+        starts, counts, flat = self._vocabulary(coded.dictionary)
+        at = coded.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(counts[at])][np.cumsum(pc.list_value_length(split).to_numpy())]
+        made = np.split(flat[ranges(starts[at], counts[at])], ends[:-1])
+        for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)).tolist():
+            made[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return made
 
 
 def token_table(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n, ids of every row: ids as little-endian unsigned 32-bit integers, the end id last."""
+    """doc_id, n, ids of every row; the end id comes last."""
 
     def mapped(batches) -> Iterator[pa.RecordBatch]:
         words = WordIds(tokenizer)
-        for batch in slices(batches):
-            made = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in words.of(batch.column(1).to_pylist())]
+        for part in gathered(batches, BATCH_BYTES):
+            made = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in words.of(part.column(1).chunk(0))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in made], pa.int64()), pa.array([_packed(x) for x in made], pa.binary())], ["doc_id", "n", "ids"]
+                [part.column(0).chunk(0), pa.array([len(x) for x in made], pa.int64()), pa.array([_packed(x) for x in made], pa.binary())], ["doc_id", "n", "ids"]
             )
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(mapped, "doc_id long, n long, ids binary")
 
