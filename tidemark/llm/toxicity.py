@@ -14,7 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import short_batches, slices
 from tidemark.session import materialise
 
 #: Labelled rows the model is fitted on, at most: the smallest hashes of their ids.
@@ -68,32 +68,36 @@ class TokenFacts(dict):
 
     def __init__(self, lexicon: dict[str, float]) -> None:
         self.lexicon = lexicon
-        self.rows: list[tuple[float, ...]] = []
+        self.table = np.zeros((CACHE_WORDS // 4, 8))
 
     def __missing__(self, token: str) -> int:
-        words = _plain(token)
-        letters = sum(map(len, words))
-        odds = max((self.odds(w) for w in words), default=0.0)
+        capitals = 0 if token.islower() else sum(map(str.isupper, token))
         hidden = 0.0
-        if _MIXED.search(token):
-            hidden = 1.0
+        if token.isalpha():  # most tokens: one word and nothing else
+            words, letters, signs = [token.lower()], len(token), 0
+        else:
+            words = _plain(token)
+            letters, signs = sum(map(len, words)), len(token) - sum(map(str.isalnum, token))
+            hidden = float(_MIXED.search(token) is not None)
+        odds = max(map(self.odds, words), default=0.0)
+        if hidden:
             odds = max(odds, self.odds(_revealed(token)))
-        capitals = sum(c.isupper() for c in token)
-        second = float(any(w in SECOND_PERSON for w in words))
+        second = float(not SECOND_PERSON.isdisjoint(words))
         shouted = float(letters > 1 and capitals == letters)
-        signs = sum(not c.isalnum() for c in token)
-        at = self[token] = len(self.rows)
-        self.rows.append((odds, second, shouted, letters, capitals, signs, token.count("!"), hidden))
+        at = len(self)
+        self[token] = at
+        if at == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at] = (odds, second, shouted, letters, capitals, signs, token.count("!") if signs else 0, hidden)
         return at
 
     def odds(self, word: str) -> float:
-        found = [self.lexicon[t] for t in terms_of(word) if t in self.lexicon] if word else []
-        return max(found, default=0.0)
+        known = self.lexicon.get
+        return max([known(t, 0.0) for t in terms_of(word)]) if word else 0.0
 
     def trim(self) -> None:
         if len(self) > CACHE_WORDS:
             self.clear()
-            self.rows.clear()
 
 
 def features_of(text: str | None, facts: TokenFacts) -> list[float]:
@@ -101,23 +105,23 @@ def features_of(text: str | None, facts: TokenFacts) -> list[float]:
     if not tokens:
         return [0.0] * len(FEATURES)
     at = np.fromiter(map(facts.__getitem__, tokens), np.int64, len(tokens))
-    kinds, where = np.unique(at, return_inverse=True)
-    table = np.array([facts.rows[k] for k in kinds])
-    each = np.bincount(where, minlength=len(kinds))
-    sums = each @ table
+    table = facts.table[at]
+    sums = table.sum(0)
     odds = table[:, 0]
     n, letters = len(tokens), max(1.0, sums[3])
-    strong, middle, hits = odds >= 5, (odds >= 3.5) & (odds < 5), odds > 0
+    spots = np.flatnonzero(odds)
+    found = odds[spots]
+    strong, middle = int((found >= 5).sum()), int(((found >= 3.5) & (found < 5)).sum())
     near = 0
-    if hits.any() and sums[1]:
-        spots, second = np.flatnonzero(hits[where]), np.flatnonzero(table[where, 1] > 0)
+    if len(spots) and sums[1]:
+        second = np.flatnonzero(table[:, 1])
         place = np.searchsorted(second, spots)
         before = spots - second[np.maximum(place - 1, 0)]
         after = second[np.minimum(place, len(second) - 1)] - spots
         near = int(((np.abs(before) <= NEAR_WORDS) | (np.abs(after) <= NEAR_WORDS)).sum())
     return [
-        each[strong].sum() / n, each[middle].sum() / n, each[hits & ~strong & ~middle].sum() / n, np.log1p(each[strong].sum()),
-        np.log1p(each[hits].sum()), np.log1p(hits.sum()), odds.max(), sums[0] / n, near / n, sums[1] / n, sums[2] / n,
+        strong / n, middle / n, (len(spots) - strong - middle) / n, np.log1p(strong), np.log1p(len(spots)),
+        np.log1p(len(set(at[spots].tolist()))), found.max(initial=0.0), sums[0] / n, near / n, sums[1] / n, sums[2] / n,
         sums[4] / letters, sums[5] / (letters + sums[5]), sums[6] / n, sums[7] / n, np.log1p(n), letters / n,
     ]
 
@@ -250,5 +254,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, f
     the share of label 1, 0 without any. Rows without an id are scored and not held out; repeated rows are all
     returned; an empty table gives an empty table. Other columns are not read.
     """
+    short_batches(docs.sparkSession)
     scored = fit_toxicity(docs, labels, fit_rows).score(docs)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
