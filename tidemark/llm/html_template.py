@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import short_batches, slices
 from tidemark.session import materialise
 
 #: Pages of a host that a template needs; share of link text from which a slot counts as a list of links.
@@ -249,6 +249,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     A null html or url is empty text or an unnamed host. Repeated rows are all returned; an empty table gives an
     empty table. Other columns are not read. The lookup of templates is joined; Spark sees its size.
     """
+    short_batches(pages.sparkSession)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
         F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))).alias("host"),

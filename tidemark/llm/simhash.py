@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import local_roots, ranges, runs, slices
+from tidemark.llm.common import local_roots, ranges, runs, short_batches, slices
 from tidemark.llm.graph import components
 from tidemark.session import materialise
 
@@ -59,6 +59,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, id_column: str = "
             prints = np.array([fingerprint_of(t, words) for t in batch.column(1).to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fingerprint"])
 
+    short_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         mapped, "doc_id long, fingerprint long"
     )
