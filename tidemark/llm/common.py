@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 
@@ -29,6 +30,15 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+def drop_unused(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that are no longer referred to.
+
+    It does so when the driver collects its garbage, which may otherwise be long after a large step.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def gathered(batches, size: int) -> Iterator[pa.Table]:
     """Arrow batches put together until they hold `size` bytes or more."""
     held, total = [], 0

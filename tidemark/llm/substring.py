@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import drop_unused, short_batches, slices
 from tidemark.session import materialise
 
 #: Words of a window; words of an anchor.
@@ -25,8 +26,10 @@ ANCHOR_WORDS = 8
 #: Reference passages per automaton, and passages streamed against one copy of it.
 REFERENCE_PASSAGES = 64
 STREAM_ROWS = 1024
+#: Windows of a passage, by their distance to the anchor, that are first compared by their common words.
+GROUP_WINDOWS = 8
 #: Entries of the word-hash cache of a task.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Window starts handled at a time, and the bits that hold a place among them.
@@ -74,7 +77,7 @@ def _powers(count: int, held: list[np.ndarray] = []) -> tuple[np.ndarray, np.nda
 
 
 def anchors_of(hashes: np.ndarray, window: int = WINDOW_WORDS, anchor: int = ANCHOR_WORDS) -> tuple[np.ndarray, ...]:
-    """Anchor hash, first and last window start, and passage hash of each anchor of a text.
+    """Anchor hash, first and last window start, place and passage hash of each anchor of a text.
 
     A window's anchor is the leftmost of its smallest word-run hashes: it depends on the window's words
     alone, so equal windows have equal anchors at the same place. Windows of one anchor lie side by side;
@@ -83,7 +86,7 @@ def anchors_of(hashes: np.ndarray, window: int = WINDOW_WORDS, anchor: int = ANC
     n = len(hashes) - window + 1
     if n <= 0:
         nothing = np.zeros(0, np.int64)
-        return nothing.view(np.uint64), nothing, nothing, nothing.view(np.uint64)
+        return nothing.view(np.uint64), nothing, nothing, nothing, nothing.view(np.uint64)
     grams = _mixed(_rolled(hashes, anchor))
     span = window - anchor + 1
     place = np.empty(n, np.int64)
@@ -105,7 +108,7 @@ def anchors_of(hashes: np.ndarray, window: int = WINDOW_WORDS, anchor: int = ANC
     np.cumsum(_mixed(hashes) * powers, dtype=np.uint64, out=whole[1:])
     # words a..b: a difference of sums of word * M**position, brought to position 0
     passage = (whole[ends + window] - whole[starts]) * back[starts] + (ends - starts).astype(np.uint64)
-    return grams[place[starts]], starts, ends, _mixed(passage)
+    return grams[place[starts]], starts, ends, place[starts], _mixed(passage)
 
 
 class SuffixAutomaton:
@@ -171,43 +174,64 @@ def _key():
     return F.xxhash64("text").alias("text_key")
 
 
+OCCURRENCES = "anchor long, passage long, doc_id long, text_key long, firsts array<int>, span int, place int"
+
+
 def _occurrences(window: int):
+    """One row per text, anchor and passage: where the passage's windows start, how many more follow, where the anchor is."""
+
+    def of_text(words: list[bytes], hashes: WordHashes):
+        anchor, first, last, place, passage = anchors_of(hashes.of(words), window)
+        order = np.lexsort((first, passage, anchor))
+        anchor, first, last, place, passage = (x[order] for x in (anchor, first, last, place, passage))
+        heads = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (passage[1:] != passage[:-1])])
+        return anchor[heads], passage[heads], first, np.diff(np.r_[heads, len(first)]), (last - first)[heads], (place - first)[heads]
+
     def mapped(batches) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in slices(batches):
-            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+            made = []
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for row, text in enumerate(batch.column(2).to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
-                if len(words) < window:
-                    continue
-                anchor, first, last, passage = anchors_of(hashes.of(words), window)
-                count = len(anchor)
-                parts = (anchor.view(np.int64), passage.view(np.int64), np.full(count, ids[row], np.int64), np.full(count, keys[row], np.int64), first, last)
-                for held, part in zip(columns, parts):
-                    held.append(part)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["anchor", "passage", "doc_id", "text_key", "first", "last"])
+                if len(words) >= window:
+                    anchor, passage, *rest = of_text(words, hashes)
+                    made.append((anchor.view(np.int64), passage.view(np.int64), np.full(len(anchor), ids[row], np.int64), np.full(len(anchor), keys[row], np.int64), *rest))
+            if made:
+                anchor, passage, doc, key, first, count, span, place = (np.concatenate(x) for x in zip(*made))
+                firsts = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.array(first, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(passage), pa.array(doc), pa.array(key), firsts, pa.array(span, pa.int32()), pa.array(place, pa.int32())],
+                    ["anchor", "passage", "doc_id", "text_key", "firsts", "span", "place"],
+                )
 
     return mapped
 
 
+PASSAGES = "anchor long, passage long, doc_id long, classes long, place int, words binary"
+
+
 def _passages(window: int):
     def mapped(batches) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         for batch in slices(batches):
             rows = []
             for doc, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 words = text.encode("utf-8", "surrogatepass").split()
                 for w in wanted:
-                    rows.append((w["anchor"], w["passage"], doc, w["classes"], b" ".join(words[w["first"] : w["last"] + window])))
+                    part = b" ".join(words[w["first"] : w["first"] + w["span"] + window])
+                    rows.append((w["anchor"], w["passage"], doc, w["classes"], w["place"], part))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                ["anchor", "passage", "doc_id", "classes", "words"],
+                [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["anchor", "passage", "doc_id", "classes", "place", "words"]
             )
 
     return mapped
 
 
+def _halves(digest: int) -> tuple[int, int]:
+    return (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63
+
+
 def _spans(hit: list[bool]) -> list[tuple[int, int]]:
     out, begin = [], None
     for at, is_hit in enumerate([*hit, False]):
@@ -226,7 +250,7 @@ def _streamed(window: int):
         shard, automaton, waiting, waiting_doc = None, SuffixAutomaton(), [], None
         for batch in slices(batches):
             out: list[tuple] = []
-            for anchor, part, kind, doc, passage, text in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for anchor, part, kind, doc, passage, place, text in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if (anchor, part) != shard:
                     shard, automaton, waiting, waiting_doc = (anchor, part), SuffixAutomaton(), [], None
                 words = text.split(b" ")
@@ -241,11 +265,15 @@ def _streamed(window: int):
                     continue  # told by part 0
                 hit = [length >= window for length in lengths[window - 1 :]]
                 out += [(anchor, passage, a, b, None, None) for a, b in _spans(hit)]
-                if kind:  # not among the reference passages: its other windows are compared by hash
-                    for at, known in enumerate(hit):
-                        if not known:
-                            digest = xxhash.xxh128_intdigest(b" ".join(words[at : at + window]))
-                            out.append((anchor, passage, at, at, (digest >> 64) - 2**63, (digest & (2**64 - 1)) - 2**63))
+                if kind:  # not among the reference passages: its other windows are compared by hash, first in groups
+                    for a, b in _spans([not h for h in hit]):
+                        while a <= b:  # windows whose distance to the anchor is alike share a core of words
+                            group = (place - a) // GROUP_WINDOWS
+                            near, far = group * GROUP_WINDOWS, group * GROUP_WINDOWS + GROUP_WINDOWS - 1
+                            until = min(b, place - near)
+                            core = words[place - near : place - far + window]
+                            out.append((anchor, passage, a, until, *_halves(xxhash.xxh128_intdigest(b"%d " % group + b" ".join(core)))))
+                            a = until + 1
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "passage", "begin", "end", "high", "low"]
@@ -254,6 +282,25 @@ def _streamed(window: int):
     return mapped
 
 
+def _windows(window: int):
+    """Every window in the open ranges of a passage, by hash."""
+
+    def mapped(batches) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        for batch in slices(batches):
+            out = []
+            for anchor, passage, doc, text, ranges in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                words = text.split(b" ")
+                for r in ranges:
+                    for at in range(r["begin"], r["end"] + 1):
+                        out.append((anchor, passage, doc, at, *_halves(xxhash.xxh128_intdigest(b" ".join(words[at : at + window])))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "passage", "doc_id", "begin", "high", "low"]
+            )
+
+    return mapped
+
+
 def _cleaned(window: int):
     def mapped(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -264,8 +311,9 @@ def _cleaned(window: int):
                 if spans:
                     gone = np.zeros(len(words) + 1, np.int64)
                     for s in spans:
-                        gone[s["a"]] += 1
-                        gone[s["b"] + window] -= 1
+                        at = np.array(s["firsts"])
+                        np.add.at(gone, at + s["a"], 1)
+                        np.add.at(gone, at + s["b"] + window, -1)
                     keep = np.cumsum(gone[:-1]) == 0
                     kept = [w for w, k in zip(words, keep) if k]
                 counts.append(len(words))
@@ -282,7 +330,7 @@ def _cleaned(window: int):
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, text_key, spans): for each text the first and last starts (a, b) of stretches of windows to remove.
+    """(doc_id, text_key, spans): for each text the stretches of windows to remove, from firsts + a to firsts + b.
 
     1. Each text is cut into anchors (`anchors_of`), a row for about every 22 words. Anchors of one document only are dropped.
     2. Equal passages of an anchor form a class, held by its smallest doc_id; every other document of the
@@ -290,68 +338,100 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
     3. The classes of an anchor are a shard. In the order of doc_id each is matched against the suffix
        automaton of those before it, and added. Matches of `window` words or more are spans to remove.
     4. A shard of more than REFERENCE_PASSAGES classes takes the first of them as reference; the rest streams
-       against copies of that automaton in many tasks, and windows that no reference holds are settled by the
-       smallest doc_id per window hash. No class is left out.
+       against copies of that automaton in many tasks. Windows that no reference holds are settled by hash: those at a
+       like distance from the anchor share a core of words, most cores occur once and settle their windows, and for the
+       others the smallest doc_id per window hash decides. No class is left out.
     """
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     keyed = known.select("doc_id", _key(), "text")
-    found = materialise(keyed.mapInArrow(_occurrences(window), "anchor long, passage long, doc_id long, text_key long, first long, last long")
-                        .withColumns({"first": F.col("first").cast("int"), "last": F.col("last").cast("int")}))
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor")
-    hits = materialise(found.join(shared, "anchor", "left_semi"))
-    classes = materialise(
-        hits.groupBy("anchor", "passage").agg(F.min(F.struct("doc_id", "text_key", "first", "last")).alias("held")).select("anchor", "passage", "held.*")
-    )
-    many = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    shards = materialise(classes.join(many, "anchor"))
-    wanted = shards.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "passage", "first", "last", "classes")).alias("wanted"))
-    told = _matched(keyed.join(wanted, ["doc_id", "text_key"]), window)
-    whole = hits.alias("h").join(classes.alias("c"), ["anchor", "passage"]).where("h.doc_id > c.doc_id").select(
-        "h.doc_id", "h.text_key", F.col("h.first").alias("a"), F.col("h.last").alias("b")
-    )
-    # the smallest document of a class may repeat windows of other classes, at each of its places
-    part = (
-        hits.alias("h").join(classes.select("anchor", "passage", F.col("doc_id").alias("_holder")), ["anchor", "passage"])
-        .where("doc_id = _holder").join(told, ["anchor", "passage"])
-        .select("doc_id", "text_key", (F.col("first") + F.col("begin")).alias("a"), (F.col("first") + F.col("end")).alias("b"))
-    )
-    return whole.union(part).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    with Held() as held:
+        found = materialise(keyed.mapInArrow(_occurrences(window), OCCURRENCES))
+        shared = held(
+            found.groupBy("anchor").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b").select("anchor")
+        )
+        hits = materialise(found.join(shared.hint("shuffle_hash"), "anchor", "left_semi"))
+        first = F.min(F.struct("doc_id", "text_key", F.col("firsts")[0].alias("first"), "span", "place")).alias("held")
+        classes = held(hits.groupBy("anchor", "passage").agg(first).select("anchor", "passage", "held.*"))
+        many = held(classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1"))
+        wanted = classes.join(many.hint("shuffle_hash"), "anchor").groupBy("doc_id", "text_key").agg(
+            F.collect_list(F.struct("anchor", "passage", "first", "span", "place", "classes")).alias("wanted")
+        )
+        # a hash join on the short side: texts are shuffled, but not sorted
+        told = _matched(keyed.join(wanted.hint("shuffle_hash"), ["doc_id", "text_key"]), window, held)
+        named = _join(hits, classes.select("anchor", "passage", F.col("doc_id").alias("_holder")))
+        whole = named.where("doc_id > _holder").select("doc_id", "text_key", "firsts", F.lit(0).alias("a"), F.col("span").alias("b"))
+        # the smallest document of a class may repeat windows of other classes, at each of its places
+        part = _join(named.where("doc_id = _holder"), told).select(
+            "doc_id", "text_key", "firsts", F.col("begin").alias("a"), F.col("end").alias("b")
+        )
+        spans = whole.union(part).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("firsts", "a", "b")).alias("spans"))
+        return materialise(spans)
+
+
+class Held:
+    """Small tables kept on the executors' disks while one result is made; a lost part is computed again."""
+
+    def __enter__(self) -> Held:
+        self.tables: list[DataFrame] = []
+        return self
 
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.tables[-1]
 
-def _matched(passages: DataFrame, window: int) -> DataFrame:
+    def __exit__(self, *_) -> None:
+        for df in self.tables:
+            df.unpersist()
+
+
+def _join(rows: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on (anchor, passage). The passage hash alone decides where rows meet: a hash join on one number is the cheapest."""
+    right = other.withColumnRenamed("anchor", "_anchor").withColumnRenamed("passage", "_passage").hint("shuffle_hash")
+    same = (F.col("passage") == F.col("_passage")) & (F.col("anchor").bitwiseXOR(F.col("_anchor")) == 0)
+    joined = rows.join(right, same, how)
+    return joined.drop("_anchor", "_passage") if how != "left_semi" else joined
+
+
+def _matched(passages: DataFrame, window: int, held: Held) -> DataFrame:
     """(anchor, passage, begin, end): stretches of windows of a class that a smaller document holds."""
-    texts = materialise(
-        passages.select("doc_id", "text", "wanted").mapInArrow(
-            _passages(window), "anchor long, passage long, doc_id long, classes long, words binary"
-        )
-    )
-    large = F.col("classes") > REFERENCE_PASSAGES
+    texts = materialise(passages.select("doc_id", "text", "wanted").mapInArrow(_passages(window), PASSAGES))
+    large = texts.where(F.col("classes") > REFERENCE_PASSAGES)
     place = Window.partitionBy("anchor").orderBy("doc_id", "passage")
     first = (
-        texts.where(large).select("anchor", "passage", "doc_id").withColumn("_n", F.row_number().over(place))
+        large.select("anchor", "passage", "doc_id").withColumn("_n", F.row_number().over(place))
         .where(F.col("_n") <= REFERENCE_PASSAGES).select("anchor", "passage", F.lit(True).alias("_reference"))
     )
-    parted = texts.where(large).join(materialise(first), ["anchor", "passage"], "left").withColumn(
-        "parts", F.ceil(F.col("classes") / STREAM_ROWS).cast("int")
-    )
-    columns = ["anchor", "part", "kind", "doc_id", "passage", "words"]
-    small = texts.where(~large).select("anchor", F.lit(0).alias("part"), F.lit(0).alias("kind"), "doc_id", "passage", "words")
+    parted = _join(large, held(first), "left").withColumn("parts", F.ceil(F.col("classes") / STREAM_ROWS).cast("int"))
+    row = ["doc_id", "passage", "place", "words"]
+    small = texts.where(F.col("classes") <= REFERENCE_PASSAGES).select("anchor", F.lit(0).alias("part"), F.lit(0).alias("kind"), *row)
     reference = parted.where("_reference").select(
-        "anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "doc_id", "passage", "words"
+        "anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), *row
     )
     stream = parted.where(F.col("_reference").isNull()).select(
-        "anchor", F.pmod(F.xxhash64("passage"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", "passage", "words"
+        "anchor", F.pmod(F.xxhash64("passage"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), *row
     )
-    told = materialise(
-        small.union(reference).union(stream).select(*columns)
+    told = held(
+        small.union(reference).union(stream)
         .repartition("anchor", "part").sortWithinPartitions("anchor", "part", "kind", "doc_id", "passage")
         .mapInArrow(_streamed(window), "anchor long, passage long, begin int, end int, high long, low long")
     )
-    open_windows = told.where(F.col("high").isNotNull()).join(texts.where(large).select("anchor", "passage", "doc_id"), ["anchor", "passage"])
-    holders = open_windows.groupBy("anchor", "high", "low").agg(F.min("doc_id").alias("_holder"))
-    settled = open_windows.join(holders, ["anchor", "high", "low"]).where("doc_id > _holder")
     spans = ["anchor", "passage", "begin", "end"]
-    return told.where(F.col("high").isNull()).select(*spans).union(settled.select(*spans))
+    known = told.where(F.col("high").isNull()).select(*spans)
+    left = told.where(F.col("high").isNotNull())
+    if left.isEmpty():
+        return known
+    open_groups = _join(left, large.select("anchor", "passage", "doc_id"))
+    cores = open_groups.groupBy("anchor", "high", "low").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a < _b")
+    alive = open_groups.join(cores, ["anchor", "high", "low"], "left_semi").groupBy("anchor", "passage").agg(
+        F.collect_list(F.struct("begin", "end")).alias("ranges")
+    )
+    windows = held(
+        _join(large.select("anchor", "passage", "doc_id", "words"), alive).select("anchor", "passage", "doc_id", "words", "ranges")
+        .mapInArrow(_windows(window), "anchor long, passage long, doc_id long, begin int, high long, low long")
+    )
+    holders = windows.groupBy("anchor", "high", "low").agg(F.min("doc_id").alias("_holder"))
+    settled = windows.join(holders, ["anchor", "high", "low"]).where("doc_id > _holder").withColumn("end", F.col("begin"))
+    return known.union(settled.select(*spans))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_column: str = "doc_id", text: str = "text", whole_rows: bool = False) -> DataFrame:
@@ -366,6 +446,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_column: str =
     each other's words. A row without an id neither loses nor removes words. Repeated rows are all
     returned. An empty table gives an empty table.
     """
+    short_batches(docs.sparkSession)
     schema = T.StructType().add("doc_id", "long").add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string")
     extra = []
     if whole_rows:
@@ -375,5 +456,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW_WORDS, id_column: str =
         schema = schema.add("kept_text", "string").add("row", docs.schema["row"].dataType)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *extra)
     spans = repeated_windows(rows.select("doc_id", "text"), window)
-    joined = rows.withColumn("text_key", F.xxhash64("text")).join(spans, ["doc_id", "text_key"], "left")
+    drop_unused(docs.sparkSession)
+    joined = rows.withColumn("text_key", F.xxhash64("text")).join(spans.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
     return joined.select("doc_id", "text", "spans", *extra).mapInArrow(_cleaned(window), schema)
