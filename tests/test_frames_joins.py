@@ -39,20 +39,31 @@ def test_profile(spark):
     assert rows(frames.profile(df)) == [("a", "int", 2, 2), ("b", "string", 1, 2)]
 
 
-def test_lookup_join_equals_plain_join_with_a_hot_key(spark):
-    facts = spark.range(3000).select(C("id"), F.when(C("id") % 3 == 0, 7).otherwise(C("id") % 400).alias("k"))
-    facts = facts.union(spark.createDataFrame([(9999, None)], "id bigint, k bigint"))
-    lookup = spark.range(300).select(C("id").alias("k"), (C("id") * 2).alias("v"))
-    plain = rows(facts.join(lookup, "k", "left").select("id", "k", "v").na.fill(-1))
-    for limit in (0, 1000):
-        got = joins.lookup_join(facts, lookup, ["k"], broadcast_rows=limit, hot_share=0.05, copies=8)
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_join_equals_plain_join_with_hot_and_null_keys(spark, how):
+    facts = spark.range(3000).select(C("id"), F.when(C("id") % 3 == 0, 7).when(C("id") % 3 == 1, C("id") % 400).alias("k"))
+    lookup = spark.range(300).select(C("id").alias("k"), (C("id") * 2).alias("v")).union(spark.createDataFrame([(None, 5)], "k long, v long"))
+    plain = rows(facts.join(lookup, "k", how).select("id", "k", "v").na.fill(-1))
+    for limit in ("-1", "10m"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        got = joins.lookup_join(facts, lookup, ["k"], how, hot_share=0.05, copies=8)
         assert rows(got.select("id", "k", "v").na.fill(-1)) == plain
+        small = joins.lookup_join(facts.limit(200), lookup.limit(3), ["k"], how, hot_share=0.05)
+        assert small.count() == facts.limit(200).join(lookup.limit(3), "k", how).count()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_hot_key_is_spread(spark):
-    facts = spark.range(2000).select(C("id"), F.lit(1).alias("k"))
+@pytest.mark.parametrize("how", ["right", "full", "outer", "left_anti", "cross"])
+def test_lookup_join_refuses_joins_that_keep_lookup_rows(spark, how):
+    facts = spark.createDataFrame([(1,)], "k int")
+    with pytest.raises(ValueError):
+        joins.lookup_join(facts, facts, ["k"], how)
+
+
+def test_hot_and_null_keys_are_spread(spark):
+    facts = spark.range(2000).select(C("id"), F.when(C("id") % 2 == 0, 1).alias("k"))
     lookup = spark.createDataFrame([(1, "x")], "k int, v string")
-    plan = joins.lookup_join(facts, lookup, ["k"], broadcast_rows=0)._jdf.queryExecution().optimizedPlan().toString()
+    plan = joins.lookup_join(facts, lookup, ["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan
 
 

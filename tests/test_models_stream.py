@@ -93,10 +93,51 @@ def test_logit_table(spark):
     assert rows["x"]["std_error"] == pytest.approx((1 / 30 + 1 / 10 + 1 / 15 + 1 / 45) ** 0.5, abs=1e-4)
 
 
-def test_too_many_categories_are_refused(planted, monkeypatch):
-    monkeypatch.setattr(models, "MAX_CATEGORIES", 2)
-    with pytest.raises(ValueError):
-        models.fit_features(planted, ["a"], ["c"])
+def test_wide_categories_are_hashed(planted):
+    pipe = models.fit_features(planted, ["a"], ["c"], max_categories=2)
+    rows = models.apply_features(pipe, planted, ["c"]).select("c", "features").collect()
+    assert all(len(r["features"]) == 4097 for r in rows)
+    assert len({(r["c"], tuple(r["features"].toArray()[1:].nonzero()[0])) for r in rows}) == 3
+
+
+def test_lasso_path_agrees_with_the_learner(vectors):
+    train = vectors.filter("is_train")
+    path = models.lasso_path(train, "y", ["id"])
+    assert len(path.penalties) == 100 and path.penalties[0] == pytest.approx(1000 * path.penalties[-1])
+    largest = float(path.penalties[0])
+    assert not models.lasso("y", largest * 1.001).fit(train).coefficients.toArray().any()
+    assert models.lasso("y", largest * 0.98).fit(train).coefficients.toArray().any()
+    fit = models.lasso("y", float(path.penalties[path.best])).setTol(1e-12).fit(train)
+    assert path.slopes == pytest.approx(fit.coefficients.toArray(), abs=1e-4)
+    assert path.intercept == pytest.approx(fit.intercept, abs=1e-4)
+    grid = models.lasso_cv(train, "y", ["id"], [float(p) for p in path.penalties[[10, 50, 90]]])
+    assert path.errors[[10, 50, 90]] == pytest.approx(grid.scores, rel=1e-3)
+
+
+def test_plain_penalty_is_on_the_features_as_they_are(spark):
+    rng = random.Random(1)
+    data = [(x, 3 * x + rng.gauss(0, 0.01)) for x in (rng.gauss(0, 10) for _ in range(400))]
+    frame = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(data, "x double, y double"))
+    cov, var = frame.agg(F.covar_pop("x", "y"), F.var_pop("x")).first()
+    assert models.lasso("y", 5.0, standardize=False).fit(frame).coefficients[0] == pytest.approx((cov - 5.0) / var, rel=1e-4)
+
+
+def test_roc_table(vectors):
+    labelled = vectors.withColumn("up", (C("y") > 0).cast("double"))
+    rows = models.roc_table(labelled, "up", ["id"], folds=4).collect()
+    assert sorted(r["fold"] for r in rows) == [0, 1, 2, 3] and sum(r["n"] for r in rows) == 600
+    assert all(r["roc"] > 0.95 and r["sensitivity"] > 0.8 and r["specificity"] > 0.8 for r in rows)
+
+
+def test_learner_defaults():
+    forest, boosted = models.forest("y"), models.boosted("y")
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (100, 30, "all")
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (100, 6, 0.3)
+
+
+def test_complexity_is_relative_to_the_variance(planted):
+    variance = planted.agg(F.var_pop("y")).first()[0]
+    assert models.complexity_gain(planted, "y", 0.01) == pytest.approx(0.01 * variance)
 
 
 def test_stream_equals_batch_for_closed_days(spark):
@@ -109,9 +150,14 @@ def test_stream_equals_batch_for_closed_days(spark):
     feed = spark.createDataFrame(data + data[:50], "id int, ts timestamp, TICKER string, label string")  # some ids twice
     folder = scratch_path(spark, "feed")
     feed.repartition(3).write.parquet(folder)
-    got = news_counts.land_and_count(
-        spark, folder, feed.schema, "*.parquet", lambda f: f, "ts", "TICKER", "id", "label"
-    )
+    places = scratch_path(spark, "counts"), scratch_path(spark, "state")
+
+    def run():
+        return news_counts.land_and_count(
+            spark, folder, feed.schema, "*.parquet", lambda f: f, "ts", "TICKER", "id", "label", *places
+        )
+
+    got = run()
     batch = aggregates.news_counts(
         feed.dropDuplicates(["id"]).withColumn("enterdate", F.to_date("ts")).withColumns(label_counts(normalise_label(C("label"))))
     )
@@ -120,3 +166,5 @@ def test_stream_equals_batch_for_closed_days(spark):
     order = ["enterdate", "TICKER", "positive", "negative", "total"]
     streamed, counted = (sorted(tuple(r) for r in x.select(order).collect()) for x in (got, batch))
     assert streamed and streamed == counted
+    again = sorted(tuple(r) for r in run().select(order).collect())
+    assert again == streamed  # a second run adds nothing

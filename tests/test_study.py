@@ -61,6 +61,14 @@ def test_summed_news_is_kept_by_every_grouping(panel):
     assert totals == [market, market]
 
 
+def test_repeated_days_count_once(panel):
+    twice = panel.union(panel.limit(500))
+    once = {tuple(r) for r in study.features_of(panel, "daily").select("TICKER", "date", "yesterday_return").collect()}
+    got = study.features_of(twice, "daily").select("TICKER", "date", "yesterday_return").collect()
+    assert len(got) == len(once) and {tuple(r) for r in got} == once
+    assert study.summary_rows(twice, "daily").count() == study.summary_rows(panel, "daily").count()
+
+
 def test_store_features(spark, panel):
     path = scratch_path(spark, "features")
     study.store_features({"dowjones": panel}, path, ["daily", "monthly"])
@@ -69,10 +77,18 @@ def test_store_features(spark, panel):
 
 
 def test_from_features_to_backtest(panel):
-    numbers, categories = ["VOL", "RET", "Ask_minus_Bid", "yesterday_return"], ["comp_size", "dummy_total"]
     features = study.features_of(panel, "daily")
-    frame = study.model_frame(features, "daily", numbers, categories)
-    scored = study.score(study.feature_vectors(frame, "daily", numbers, categories, 0.7), "daily", 0.0001, 4)
+    assert study.model_numbers(features, "daily") == [
+        "VOL", "RET", "positive", "negative", "total", "sprtrn", "yesterday_return", "yesterday_volume", "Ask_minus_Bid"
+    ]
+    frame = study.model_frame(features, "daily")
+    assert {"move_avg_10", "move_avg_20", "move_avg_30", "comp_size"} <= set(frame.columns)
+    vectors = materialise(study.feature_vectors(frame, "daily"))
+    target = config.BY_NAME["daily"].target
+    trimmed = study.train_rows(vectors, "daily", "tree").agg(F.min(target), F.max(target)).first()
+    whole = vectors.agg(F.min(target), F.max(target)).first()
+    assert whole[0] < trimmed[0] and trimmed[1] < whole[1]
+    scored = study.score(vectors, "daily")
     joined = scored.join(panel.select("TICKER", "date", "total"), ["TICKER", "date"]).withColumn(
         "dummy_total", (C("total") >= 1).cast("int")
     )

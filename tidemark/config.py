@@ -66,5 +66,16 @@ DECILE_LABELS = (
     "50-60%", "60-70%", "70-80%", "80-90%", "Top 10%",
 )
 
+# Depth and complexity parameter of the regression tree, and where they differ.
+TREE = {"depth": 30, "cp": 0.0001}
+TREE_OF = {("russell", "daily"): {"depth": 20, "cp": 0.001}}
+
+# Universes whose rows with any missing value go before the model columns are chosen.
+WHOLE_ROWS_ONLY = {"russell", "sp500"}
+
+# Share of train rows, and the quantiles the tree's train rows are trimmed to.
+TRAIN_SHARE = 0.7
+TRIM = (0.025, 0.975)
+
 BACKTEST_START = "2023-02-13"
 INITIAL_INVESTMENT = 100000.0

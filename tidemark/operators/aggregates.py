@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import ratio
 from tidemark.operators.order import grouped_quantiles, quantile_values
-from tidemark.session import one_row, packed_row
+from tidemark.session import materialise, one_row
 
 NEWS = ("positive", "negative", "total")
 
@@ -212,38 +212,28 @@ def shape(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
-    """Equal-width counts for each column, empty bins included, last edge closed."""
-    limits = df.agg(
-        *[F.min(c).cast("double").alias(f"_lo_{c}") for c in columns],
-        *[F.max(c).cast("double").alias(f"_hi_{c}") for c in columns],
-    )
+    """Equal-width counts for each column, empty bins included, last edge closed.
 
-    low, high = (lambda c: F.col("_limits")[f"_lo_{c}"]), (lambda c: F.col("_limits")[f"_hi_{c}"])
+    The columns are written once; their limits enter the counting pass as literals.
+    """
+    rows = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+    limits = rows.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in columns for f in (F.min, F.max)]).first()
+    edges = [(c, limits[f"min_{c}"], limits[f"max_{c}"]) for c in columns]
 
-    def cell(c: str) -> Column:
-        place = ratio(F.col(c) - low(c), high(c) - low(c)) * bins
-        place = F.least(F.floor(F.coalesce(place, F.lit(0.0))), F.lit(bins - 1))
-        return F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), place).alias("bin"))
+    def cell(c: str, low: float | None, high: float | None) -> Column:
+        flat = low is None or high == low
+        place = F.lit(0.0) if flat else (F.col(c) - F.lit(low)) / F.lit(high - low) * bins
+        return F.struct(F.lit(c).alias("column"), F.when(F.col(c).isNotNull(), F.least(F.floor(place), F.lit(bins - 1))).alias("bin"))
 
     counted = (
-        df.withColumn("_limits", packed_row(limits))
-        .select(F.explode(F.array(*[cell(c) for c in columns])).alias("cell"))
-        .select("cell.column", "cell.bin")
-        .filter(F.col("bin").isNotNull())
-        .groupBy("column", "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        rows.select(F.inline(F.array(*[cell(*e) for e in edges]))).filter(F.col("bin").isNotNull())
+        .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
-    edges = [
-        F.struct(F.lit(c).alias("column"), F.col(f"_lo_{c}").alias("lo"), F.col(f"_hi_{c}").alias("hi")) for c in columns
-    ]
-    grid = _stack(limits, edges).withColumn("bin", F.explode(F.expr(f"sequence(0L, {bins - 1}L)")))
-    width = (F.col("hi") - F.col("lo")) / bins
-    return grid.join(counted, ["column", "bin"], "left").select(
-        "column",
-        "bin",
-        (F.col("lo") + F.col("bin") * width).alias("edge"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+    grid = df.sparkSession.createDataFrame(
+        [(c, i, low if low is None else low + i * ((high - low) / bins)) for c, low, high in edges for i in range(bins)],
+        "column string, bin long, edge double",
     )
+    return grid.join(counted, ["column", "bin"], "left").select("column", "bin", "edge", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

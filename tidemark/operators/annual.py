@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import lookup, ratio
 from tidemark.operators.frames import append_rows, override
-from tidemark.operators.joins import lookup_join
 
 # Pay measures summarised by (TICKER, YEAR).
 PAY_MEASURES = ("SALARY", "BONUS", "TDC1", "SAL_PCT", "TDC1_PCT", "PAGE", "ISR", "TENURE")
@@ -41,7 +40,7 @@ DROPPED_FILING_YEAR = 2013
 def with_tenure(pay: DataFrame, ticker: str = "TICKER", person: str = "EXEC_FULLNAME", year: str = "YEAR") -> DataFrame:
     """Length of the run of consecutive years each executive is in, joined back to the rows.
 
-    A window holds the distinct years of one executive, so it stays small.
+    A window holds the distinct years of one executive, so it stays small, and so does a key of the join.
     """
     by_person = Window.partitionBy(ticker, person).orderBy(year)
     runs = (
@@ -51,7 +50,7 @@ def with_tenure(pay: DataFrame, ticker: str = "TICKER", person: str = "EXEC_FULL
     )
     in_run = Window.partitionBy(ticker, person, "_run").orderBy(year)
     tenure = runs.withColumn("TENURE", F.row_number().over(in_run)).drop("_run")
-    return lookup_join(pay, tenure, [ticker, person, year])
+    return pay.join(tenure, [ticker, person, year], "left")
 
 
 def pay_summary(pay: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("TICKER", "YEAR")) -> DataFrame:
@@ -62,10 +61,6 @@ def pay_summary(pay: DataFrame, measures: Sequence[str], keys: Sequence[str] = (
     return pay.groupBy(*keys).agg(*parts)
 
 
-def pay_means(pay: DataFrame, measures: Sequence[str], keys: Sequence[str] = ("TICKER", "YEAR")) -> DataFrame:
-    return pay.groupBy(*keys).agg(*[F.avg(m).alias(m) for m in measures])
-
-
 def with_salary_share(pay: DataFrame) -> DataFrame:
     return pay.withColumn("ISR", ratio(F.col("SALARY"), F.col("TDC1")))
 

@@ -11,6 +11,7 @@ from tidemark.functions.distributions import t_p_value, z_p_value
 from tidemark.functions.values import ratio
 from tidemark.operators.aggregates import dummy_contrast
 from tidemark.operators.order import value_counts_in_order
+from tidemark.session import materialise
 
 
 def _two_sample(df: DataFrame, tests: Sequence[tuple[str, Column, Column]]) -> DataFrame:
@@ -97,7 +98,8 @@ def mann_whitney(df: DataFrame, value: str, dummies: Sequence[str]) -> DataFrame
 
 
 def dummy_test_table(df: DataFrame, value: str, dummies: Sequence[str]) -> DataFrame:
-    """Means, deviations, differences and both p-values for every dummy."""
+    """Means, deviations, differences and both p-values for every dummy. The input is written once."""
+    df = materialise(df.select(value, *dummies))
     contrast = dummy_contrast(df, value, dummies)
     means = pooled_t_test(df, value, dummies).select(
         F.col("feature").alias("dummy"), F.col("p_value").alias("mean_p_value")

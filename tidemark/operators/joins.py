@@ -13,9 +13,8 @@ from tidemark.session import materialise, one_row
 
 
 def articles_with_prices(news: DataFrame, prices: DataFrame) -> DataFrame:
-    """News rows with that day's price row; the price date is dropped."""
-    match = (news["TICKER"] == prices["TICKER"]) & (news["enterdate"] == prices["date"])
-    return news.join(prices, match, "left").drop(prices["TICKER"], prices["date"])
+    """News rows with that day's price row; the price date is dropped. Prices have one row per ticker and day."""
+    return lookup_join(news, prices.withColumnRenamed("date", "enterdate"), ["TICKER", "enterdate"])
 
 
 def restrict_to(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -36,11 +35,14 @@ def build_panel(prices: DataFrame, counts: DataFrame) -> DataFrame:
 def next_day_returns(
     news: DataFrame, prices: DataFrame, flags: Sequence[str], keys: Sequence[str]
 ) -> DataFrame:
-    """News of a day against the price row of the next calendar day; rows without a return go."""
+    """News of a day against the price row of the next calendar day; rows without a return go.
+
+    Prices have one row per date and key.
+    """
     moved = news.withColumn("date", F.date_add("date", 1)).withColumnsRenamed(
         {f: f"yesterday_{f}" for f in flags}
     )
-    return moved.join(prices, ["date", *keys], "left").dropna(subset=["RET"])
+    return lookup_join(moved, prices, ["date", *keys]).dropna(subset=["RET"])
 
 
 def join_by_position(
@@ -55,27 +57,28 @@ def join_by_position(
 
 
 def lookup_join(
-    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", broadcast_rows: int = 500_000,
-    hot_share: float = 0.002, copies: int = 64,
+    facts: DataFrame, lookup: DataFrame, keys: Sequence[str], how: str = "left", hot_share: float = 0.002, copies: int = 64,
 ) -> DataFrame:
-    """Join a table to a lookup with one row per key, safe when few keys hold most rows.
+    """Join a table to a lookup with one row per key, safe when few keys or missing keys hold most rows.
 
-    The lookup is written and counted. Up to `broadcast_rows` rows it is broadcast and the facts
-    are not shuffled. Beyond that, keys holding at least `hot_share` of the facts (so at most
-    1 / hot_share keys) are split over `copies` salted copies of their lookup row. The salt is a
-    hash of the whole row, so a rerun task gives every row the same salt.
+    Keys holding at least `hot_share` of the facts (so at most 1 / hot_share keys) are split over `copies` salted
+    copies of their lookup row, and facts with a null key, which match nothing, are spread by the same salt. The
+    salt is a hash of the whole row, so a rerun task gives every row the same salt. The salted lookup is
+    written, so that Spark broadcasts it when its size in bytes allows. Only joins that keep no unmatched
+    lookup rows are offered: a salted copy that meets no fact must not come out.
     """
+    if how not in ("left", "inner"):
+        raise ValueError(f"lookup_join is a left or inner join, not {how}")
     keys = list(keys)
-    lookup = materialise(lookup)
-    if lookup.count() <= broadcast_rows:
-        return facts.join(F.broadcast(lookup), keys, how)
     counts = facts.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     size = one_row(facts.agg(F.count(F.lit(1)).alias("n")))["n"]
-    hot = F.broadcast(counts.filter(F.col("_n") >= size * hot_share).select(*keys, F.lit(True).alias("_hot")))
+    hot = materialise(counts.filter(F.col("_n") >= size * hot_share).select(*keys, F.lit(True).alias("_hot")))
+    hot = F.broadcast(hot)  # at most 1 / hot_share rows
     salt = F.pmod(F.xxhash64(*facts.columns), F.lit(copies)).cast("int")
-    salted = facts.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
+    missing = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    salted = facts.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot") | missing, salt).otherwise(0))
     spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
-    copied = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    copied = materialise(lookup.join(hot, keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot"))
     return salted.drop("_hot").join(copied, [*keys, "_salt"], how).drop("_salt")
 
 

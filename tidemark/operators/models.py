@@ -11,11 +11,13 @@ from contextlib import contextmanager
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
@@ -37,7 +39,11 @@ LEFT_OUT = (
 )
 # The forest grid. The learner's depth limit stands in for "no limit".
 FOREST_GRID = {"numTrees": [50, 100], "maxDepth": [30, 10], "minInstancesPerNode": [1, 2]}
-MAX_CATEGORIES = 5000
+# What the forest and the boosted trees use unless told otherwise.
+FOREST_DEFAULTS = {"numTrees": 100, "maxDepth": 30, "featureSubsetStrategy": "all"}
+BOOSTED_DEFAULTS = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.3}
+# Length of a lasso penalty path and the ratio of its ends.
+PATH_STEPS, PATH_RATIO = 100, 1e-3
 
 
 @contextmanager
@@ -81,9 +87,23 @@ def target_strata(df: DataFrame, target: str, out: str = "stratum", groups: int
 
 # ---- features -----------------------------------------------------------------------------
 
-def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = ()) -> list:
-    """Scaled numbers and one-hot categories in one vector; unseen categories are all zero."""
+def model_columns(df: DataFrame, target: str, categorical: Sequence[str], left_out: Sequence[str] = LEFT_OUT) -> list[str]:
+    """Every numeric column that is neither left out, nor a category, nor the target."""
+    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
+    skipped = {*left_out, *categorical, target}
+    return [c for c, kind in df.dtypes if c not in skipped and (kind in numeric or kind.startswith("decimal"))]
+
+
+def feature_stages(
+    numeric: Sequence[str], categorical: Sequence[str] = (), hashed: Sequence[str] = (), hash_size: int = 4096
+) -> list:
+    """Scaled numbers and one-hot categories in one vector; unseen categories are all zero.
+
+    Columns in `hashed` share a vector of `hash_size` places chosen by a hash of column and value.
+    """
     stages = []
+    if hashed:
+        stages.append(FeatureHasher(inputCols=list(hashed), outputCol="_hashed", numFeatures=hash_size, categoricalCols=list(hashed)))
     if categorical:
         stages += [
             StringIndexer(
@@ -98,24 +118,28 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str] = ()) -> l
     stages += [
         VectorAssembler(inputCols=list(numeric), outputCol="_numbers"),
         StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["_scaled", *[f"{c}_hot" for c in categorical]], outputCol="features"),
+        VectorAssembler(
+            inputCols=["_scaled", *[f"{c}_hot" for c in categorical], *(["_hashed"] if hashed else [])], outputCol="features"
+        ),
     ]
     return stages
 
 
-def check_categories(df: DataFrame, categorical: Sequence[str]) -> None:
-    """Category lists live on the driver, so refuse columns with very many values."""
-    counts = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categorical]).first()
-    wide = [c for c in categorical if counts[c] > MAX_CATEGORIES]
-    if wide:
-        raise ValueError(f"too many categories to encode: {wide}")
+def fit_features(
+    train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = (), max_categories: int = 5000
+) -> PipelineModel:
+    """Encoders and scaler of the train rows.
 
-
-def fit_features(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str] = ()) -> PipelineModel:
+    A category list lives on the driver and widens the vector by one place per value. A column with more than
+    `max_categories` different values is hashed instead, so its list is never gathered.
+    """
     texts = train.withColumns({c: F.col(c).cast("string") for c in categorical})
+    wide: list[str] = []
     if categorical:
-        check_categories(texts, categorical)
-    return Pipeline(stages=feature_stages(numeric, categorical)).fit(texts)
+        counts = texts.agg(*[F.count_distinct(F.col(c)).alias(c) for c in categorical]).first()
+        wide = [c for c in categorical if counts[c] > max_categories]
+    listed = [c for c in categorical if c not in wide]
+    return Pipeline(stages=feature_stages(numeric, listed, wide)).fit(texts)
 
 
 def apply_features(model: PipelineModel, df: DataFrame, categorical: Sequence[str] = ()) -> DataFrame:
@@ -131,20 +155,30 @@ def feature_names(df: DataFrame, vector: str = "features") -> list[str]:
 
 # ---- learners -----------------------------------------------------------------------------
 
-def lasso(label: str, penalty: float = 0.0) -> LinearRegression:
-    return LinearRegression(labelCol=label, regParam=penalty, elasticNetParam=1.0, predictionCol="lasso_pred")
+def lasso(label: str, penalty: float = 0.0, standardize: bool = True) -> LinearRegression:
+    """`standardize=False` puts the penalty on the features as they are."""
+    return LinearRegression(
+        labelCol=label, regParam=penalty, elasticNetParam=1.0, standardization=standardize, predictionCol="lasso_pred"
+    )
 
 
 def forest(label: str, seed: int = 12, **settings) -> RandomForestRegressor:
-    return RandomForestRegressor(labelCol=label, seed=seed, predictionCol="pred_forest", **settings)
+    """All features at every split, nearly unlimited depth, 100 trees, unless the settings say otherwise."""
+    return RandomForestRegressor(labelCol=label, seed=seed, predictionCol="pred_forest", **(FOREST_DEFAULTS | settings))
 
 
 def tree(label: str, depth: int = 30, gain: float = 0.0) -> DecisionTreeRegressor:
     return DecisionTreeRegressor(labelCol=label, maxDepth=depth, minInfoGain=gain, predictionCol="pred_forest")
 
 
+def complexity_gain(train: DataFrame, label: str, cp: float) -> float:
+    """The gain per split for a complexity parameter, which is relative to the variance of all rows."""
+    return cp * (train.agg(F.var_pop(label)).first()[0] or 0.0)
+
+
 def boosted(label: str, seed: int = 42, **settings) -> GBTRegressor:
-    return GBTRegressor(labelCol=label, seed=seed, predictionCol="pred_boosted", **settings)
+    """100 rounds of depth 6 at step 0.3, unless the settings say otherwise."""
+    return GBTRegressor(labelCol=label, seed=seed, predictionCol="pred_boosted", **(BOOSTED_DEFAULTS | settings))
 
 
 def logistic(label: str) -> LogisticRegression:
@@ -194,7 +228,111 @@ def cross_validate(
     return search
 
 
+def fold_products(train: DataFrame, label: str, keys: Sequence[str], folds: int, vector: str = "features") -> list[np.ndarray]:
+    """Sums of products of (1, features, label) over the rows of each fold: all a linear fit needs to know.
+
+    One pass over the rows. Only one matrix per fold reaches the driver.
+    """
+    rows = with_fold(train, keys, folds).select("fold", vector_to_array(vector).alias("x"), F.col(label).cast("double").alias("y")).dropna()
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for fold, part in batch.groupby("fold"):
+                z = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_list()), part["y"].to_numpy()])
+                sums[fold] = sums.get(fold, 0) + z.T @ z
+        for fold, m in sums.items():
+            at = np.indices(m.shape).reshape(2, -1)
+            yield pd.DataFrame({"fold": fold, "i": at[0], "j": at[1], "s": m.ravel()})
+
+    found = rows.mapInPandas(products, "fold int, i int, j int, s double").groupBy("fold", "i", "j").agg(F.sum("s").alias("s")).collect()
+    size = 1 + max((r["i"] for r in found), default=0)
+    matrices = [np.zeros((size, size)) for _ in range(folds)]
+    for r in found:
+        matrices[r["fold"]][r["i"], r["j"]] = r["s"]
+    return matrices
+
+
+def _centred(products: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, means and covariances of (features, label) from their products."""
+    n = products[0, 0]
+    means = products[0, 1:] / n
+    return n, means, products[1:, 1:] / n - np.outer(means, means)
+
+
+def lasso_coefficients(covariance: np.ndarray, penalties: Sequence[float], standardize: bool = True) -> np.ndarray:
+    """Lasso slopes for falling penalties by coordinate descent on the covariances of (features, label)."""
+    d = len(covariance) - 1
+    spread = np.sqrt(np.maximum(np.diag(covariance)[:d], 0))
+    scale = np.where(spread > 1e-12, spread if standardize else 1.0, np.inf)  # a constant feature stays out
+    gram, target = covariance[:d, :d] / np.outer(scale, scale), covariance[:d, d] / scale
+    beta, out = np.zeros(d), []
+    live = np.flatnonzero(np.diag(gram) > 0)
+    for penalty in penalties:
+        for _ in range(10_000):
+            step = 0.0
+            for j in live:
+                pull = target[j] - gram[j] @ beta + gram[j, j] * beta[j]
+                moved = np.sign(pull) * max(abs(pull) - penalty, 0.0) / gram[j, j]
+                step = max(step, abs(moved - beta[j]) * np.sqrt(gram[j, j]))
+                beta[j] = moved
+            if step < 1e-10 * max(1e-12, np.sqrt(covariance[d, d])):
+                break
+        out.append(beta / scale)
+    return np.array(out)
+
+
+def penalty_path(covariance: np.ndarray, standardize: bool = True, steps: int = PATH_STEPS, ratio_: float = PATH_RATIO) -> np.ndarray:
+    """Falling penalties from the smallest that leaves no feature in."""
+    d = len(covariance) - 1
+    spread = np.sqrt(np.maximum(np.diag(covariance)[:d], 0))
+    scale = np.where(spread > 1e-12, spread if standardize else 1.0, np.inf)
+    return np.abs(covariance[:d, d] / scale).max() * np.logspace(0, np.log10(ratio_), steps)
+
+
+@dataclass
+class LassoPath:
+    """Penalties, their mean squared error over the folds, and the slopes and intercept at the best one."""
+
+    penalties: np.ndarray
+    errors: np.ndarray
+    slopes: np.ndarray
+    intercept: float
+
+    @property
+    def best(self) -> int:
+        return int(np.argmin(self.errors))
+
+
+def lasso_path(
+    train: DataFrame, label: str, keys: Sequence[str], folds: int = 5, penalties: Sequence[float] | None = None, standardize: bool = True
+) -> LassoPath:
+    """Cross-validate the lasso over a path of penalties that starts at the data's own largest one.
+
+    The rows are read once, whatever the number of folds and penalties; fits and errors follow from the fold products.
+    """
+    matrices = fold_products(train, label, keys, folds)
+    _, means, whole = _centred(sum(matrices))
+    path = penalty_path(whole, standardize) if penalties is None else np.sort(np.asarray(penalties, float))[::-1]
+    errors = []
+    for held in matrices:
+        _, inner_means, inner = _centred(sum(matrices) - held)
+        slopes = lasso_coefficients(inner, path, standardize)
+        weights = np.column_stack([inner_means[-1] - slopes @ inner_means[:-1], slopes, -np.ones(len(path))])
+        errors.append(((weights @ held) * weights).sum(1) / held[0, 0])
+    mean = np.mean(errors, axis=0)
+    slopes = lasso_coefficients(whole, path, standardize)[int(np.argmin(mean))]
+    return LassoPath(path, mean, slopes, float(means[-1] - slopes @ means[:-1]))
+
+
+def path_table(spark, path: LassoPath) -> DataFrame:
+    """One row per penalty of a lasso path."""
+    rows = [(i, float(p), float(e), i == path.best) for i, (p, e) in enumerate(zip(path.penalties, path.errors))]
+    return spark.createDataFrame(rows, "step int, penalty double, score double, best boolean")
+
+
 def lasso_cv(train: DataFrame, label: str, keys: Sequence[str], penalties: Sequence[float], folds: int = 5):
+    """Grid search over stated penalties with the library's learner."""
     judge = RegressionEvaluator(labelCol=label, predictionCol="lasso_pred", metricName="mse")
     return cross_validate(lasso(label), {"regParam": penalties}, train, judge, folds, keys)
 
@@ -209,6 +347,30 @@ def logistic_cv(train: DataFrame, label: str, keys: Sequence[str], folds: int =
     return cross_validate(logistic(label), {"regParam": [0.0]}, train, judge, folds, keys)
 
 
+def roc_table(train: DataFrame, label: str, keys: Sequence[str], folds: int = 10) -> DataFrame:
+    """Area under the ROC curve, sensitivity and specificity of a logistic fit on each fold left out.
+
+    The first class is the positive one and is predicted from a probability of one half.
+    """
+    judge = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC")
+    rows = []
+    with kept(with_fold(train, keys, folds)) as folded:
+
+        def one(fold: int) -> tuple:
+            scored = logistic(label).fit(folded.filter(F.col("fold") != fold)).transform(folded.filter(F.col("fold") == fold))
+            hit = F.col("log_class") == F.col(label)
+            up = F.col(label) == 1
+            n, right_up, ups, right_down, downs = scored.agg(
+                F.count(F.lit(1)), F.count(F.when(up & hit, 1)), F.count(F.when(up, 1)), F.count(F.when(~up & hit, 1)), F.count(F.when(~up, 1))
+            ).first()
+            area = float(judge.evaluate(scored)) if ups and downs else None
+            return fold, n, area, right_up / ups if ups else None, right_down / downs if downs else None
+
+        with ThreadPool(4) as pool:
+            rows = pool.map(inheritable_thread_target(train.sparkSession)(one), range(folds))
+    return train.sparkSession.createDataFrame(rows, "fold int, n long, roc double, sensitivity double, specificity double")
+
+
 # ---- results ------------------------------------------------------------------------------
 
 def metrics(df: DataFrame, label: str, prediction: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -11,14 +11,15 @@ as literals. Give them a stored table (see `materialise`) when the input is cost
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import materialise, shuffle_width
 
-# Quantile sketches are off by at most 1 / SKETCH_ACCURACY of the rows; brackets are twice as wide.
+# Quantile sketches are off by at most 1 / accuracy of the rows; brackets are twice as wide.
 SKETCH_ACCURACY = 1000
 
 
@@ -107,9 +108,10 @@ def counts_near(
     count; a lump stands under its smallest value.
     """
     probs = sorted(probs)
-    marks = [min(max(p + s * 2.0 / SKETCH_ACCURACY, 0.0), 1.0) for s in (-1, 1) for p in probs]
+    accuracy = max(SKETCH_ACCURACY, 200 * len(probs))  # many brackets are narrow ones
+    marks = [min(max(p + s * 2.0 / accuracy, 0.0), 1.0) for s in (-1, 1) for p in probs]
     known = df.filter(F.col(value).isNotNull())
-    sketch = known.groupBy(*groups).agg(F.percentile_approx(F.col(value), marks, SKETCH_ACCURACY).alias("_marks"))
+    sketch = known.groupBy(*groups).agg(F.percentile_approx(F.col(value), marks, accuracy).alias("_marks"))
     if groups:
         # written, so that Spark knows its size and broadcasts it when small
         marked = known.select(*groups, value).join(materialise(sketch), list(groups))
@@ -146,6 +148,20 @@ def grouped_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], names: Sequence[str], groups: Sequence[str]
 ) -> DataFrame:
     """Exact quantiles, linear between neighbours, one row per group (one in all without groups)."""
+    pick = _neighbours(value, probs, groups)
+    picked = materialise(pick(counts_near(df, value, probs, groups)))
+    if not picked.filter("_missed").isEmpty():  # the sketch was off; count every distinct value instead
+        full = value_counts_in_order(df, value, groups, total="total").withColumn("lump", F.lit(False))
+        picked = pick(full)
+    between = []
+    for i, (p, name) in enumerate(zip(probs, names)):
+        h = (F.col("total") - 1) * F.lit(float(p))
+        between.append((F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (h - F.floor(h))).alias(name))
+    return picked.select(*groups, *between)
+
+
+def _neighbours(value: str, probs: Sequence[float], groups: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """From counts in order to the values on both sides of each quantile, and whether one of them fell into a lump."""
     steps = [(F.col("total") - 1) * F.lit(float(p)) for p in probs]
 
     def at(position: Column) -> Column:
@@ -159,21 +175,24 @@ def grouped_quantiles(
         missed = _lumped([f(h) + 1 for h in steps for f in (F.floor, F.ceil)])
         return counts.groupBy(*groups).agg(F.max("total").alias("total"), missed.alias("_missed"), *ends)
 
-    picked = materialise(pick(counts_near(df, value, probs, groups)))
-    if not picked.filter("_missed").isEmpty():  # the sketch was off; count every distinct value instead
-        full = value_counts_in_order(df, value, groups, total="total").withColumn("lump", F.lit(False))
-        picked = pick(full)
-    between = [
-        (F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (h - F.floor(h))).alias(name)
-        for i, (h, name) in enumerate(zip(steps, names))
-    ]
-    return picked.select(*groups, *between)
+    return pick
 
 
 def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Exact quantiles of a whole column. Only the answers reach the driver."""
-    found = grouped_quantiles(df, value, probs, [f"q{i}" for i in range(len(probs))], ()).first()
-    return [None if x is None else float(x) for x in found]
+    """Exact quantiles of a whole column. One row of neighbours reaches the driver."""
+    pick = _neighbours(value, probs, ())
+    row = pick(counts_near(df, value, probs)).first()
+    if row["_missed"]:  # the sketch was off; count every distinct value instead
+        row = pick(value_counts_in_order(df, value, total="total").withColumn("lump", F.lit(False))).first()
+    found = []
+    for i, p in enumerate(probs):
+        low, high = row[f"_low{i}"], row[f"_high{i}"]
+        if low is None:
+            found.append(None)
+            continue
+        h = (row["total"] - 1) * float(p)
+        found.append(float(low) + (float(high) - float(low)) * (h - math.floor(h)))
+    return found
 
 
 def values_at(df: DataFrame, value: str, positions: Sequence[int], rows: int) -> list:

@@ -17,7 +17,6 @@ from tidemark.config import Frequency
 from tidemark.functions.values import at_least_one, ratio
 from tidemark.operators.frames import keep_first
 from tidemark.operators.order import quantile_values
-from tidemark.session import one_row
 
 
 def by_ticker(date: str = "date", ticker: str = "TICKER"):
@@ -83,9 +82,14 @@ def with_features(df: DataFrame, freq: Frequency, date: str = "date") -> DataFra
 
 
 def drop_outliers(df: DataFrame, column: str, limit: float = 3.0) -> DataFrame:
-    """Rows within `limit` standard deviations of the mean of the table."""
-    whole = one_row(df.agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("std")))
-    return df.filter(F.abs(ratio(F.col(column) - whole["mean"], whole["std"])) < limit)
+    """Rows within `limit` standard deviations of the mean of the table, which is read twice: give it a stored one.
+
+    The mean and the deviation enter the filter as literals.
+    """
+    mean, std = df.agg(F.avg(column), F.stddev_samp(column)).first()
+    if mean is None or not std:
+        return df.filter(F.lit(False))
+    return df.filter(F.abs((F.col(column) - F.lit(mean)) / F.lit(std)) < limit)
 
 
 def standardise(df: DataFrame, columns: Sequence[str], ticker: str = "TICKER") -> DataFrame:

@@ -20,13 +20,14 @@ def labelled(t):
     "event_id:i TICKER:s enterdate:d day_type:s PRC:f RET:f",
     """SELECT event_id, n.TICKER, enterdate, CASE WHEN isodow(enterdate) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS day_type,
               PRC, RET
-       FROM labelled n LEFT JOIN event_prices p ON n.TICKER = p.TICKER AND n.enterdate = p.date AND p.RET > 0.002
+       FROM labelled n LEFT JOIN event_prices p ON n.TICKER = p.TICKER AND n.enterdate + 1 = p.date
        WHERE label IS NOT NULL""",
     ["labelled", "event_prices"],
 )
 def _(t):
+    """Prices stand a day earlier than their events, so that tickers idle on the next day have none."""
     news = labelled(t).filter(C("total") == 1).select("event_id", "TICKER", "enterdate")
-    prices = t.event_prices.filter(C("RET") > 0.002)
+    prices = t.event_prices.withColumn("date", F.date_add("date", -1))
     return joins.articles_with_prices(news, prices).withColumn("day_type", dates.day_type(C("enterdate")))
 
 
@@ -59,12 +60,12 @@ def _(t):
        JOIN (SELECT 'NATION_' || s_nationkey AS TICKER, year(l_shipdate) AS YEAR, count(*) AS n
              FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2) d ON p.TICKER = d.TICKER AND p.YEAR = d.YEAR
        JOIN (SELECT 'NATION_' || c_nationkey AS TICKER, year(o_orderdate) AS YEAR, count(*) AS n
-             FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2) c
+             FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) c
          ON p.TICKER = c.TICKER AND p.YEAR = c.YEAR""",
     ["pay"],
 )
 def _(t):
-    """Pay by nation and year, shipments as developments, urgent orders as filing counts."""
+    """Pay by nation and year, shipments as developments, orders as filing counts."""
     names = {f"Nation {i}": f"NATION_{i}" for i in range(25)}
     pay = annual.pay_summary(t.pay.withColumn("TICKER", F.concat(F.lit("NATION_"), "TICKER")), ["SALARY", "BONUS"])
     developments = annual.development_counts(
@@ -75,7 +76,7 @@ def _(t):
         ["companyname", "year"],
     )
     culture = (
-        t["orders"].filter(C("o_orderpriority") == "1-URGENT")
+        t["orders"]
         .join(t["customer"], C("o_custkey") == C("c_custkey"))
         .groupBy(F.concat(F.lit("nation_"), C("c_nationkey").cast("string")).alias("ticker"), F.year("o_orderdate").alias("year"))
         .agg(F.count(F.lit(1)).alias("culture_emphasis"))
@@ -192,24 +193,33 @@ def _(t):
     return aggregates.shares(t["events"], "event_type")
 
 
+PAY_KINDS = {m: "f" if m in ("ISR", "TENURE", "PAGE", "SAL_PCT", "TDC1_PCT") else "f4" for m in annual.PAY_MEASURES}
+
+
 @query(
     "d06_executive_aggregates",
-    "TICKER:s YEAR:i SALARY_SALARY_mean:f4 SALARY_SALARY_std:f4 BONUS_BONUS_mean:f4 BONUS_BONUS_std:f4 "
-    "TDC1_TDC1_mean:f4 TDC1_TDC1_std:f4 ISR_ISR_mean:f TENURE_TENURE_mean:f TENURE_TENURE_std:f",
-    """WITH runs AS (SELECT TICKER, EXEC_FULLNAME, YEAR, YEAR - row_number() OVER (
+    "TICKER:s YEAR:i " + " ".join(f"{m}_{m}_{s}:{k}" for m, k in PAY_KINDS.items() for s in ("mean", "std")),
+    f"""WITH runs AS (SELECT TICKER, EXEC_FULLNAME, YEAR, YEAR - row_number() OVER (
                        PARTITION BY TICKER, EXEC_FULLNAME ORDER BY YEAR) AS run
                      FROM (SELECT DISTINCT TICKER, EXEC_FULLNAME, YEAR FROM pay)),
-            ten AS (SELECT *, row_number() OVER (PARTITION BY TICKER, EXEC_FULLNAME, run ORDER BY YEAR) AS TENURE FROM runs)
-       SELECT TICKER, YEAR, avg(SALARY) AS "SALARY_SALARY_mean", stddev_samp(SALARY) AS "SALARY_SALARY_std",
-              avg(BONUS) AS "BONUS_BONUS_mean", stddev_samp(BONUS) AS "BONUS_BONUS_std", avg(TDC1) AS "TDC1_TDC1_mean",
-              stddev_samp(TDC1) AS "TDC1_TDC1_std", avg(SALARY / TDC1) AS "ISR_ISR_mean",
-              avg(TENURE) AS "TENURE_TENURE_mean", stddev_samp(TENURE) AS "TENURE_TENURE_std"
-       FROM pay JOIN ten USING (TICKER, EXEC_FULLNAME, YEAR) GROUP BY 1, 2""",
+            ten AS (SELECT *, row_number() OVER (PARTITION BY TICKER, EXEC_FULLNAME, run ORDER BY YEAR) AS TENURE FROM runs),
+            every AS (SELECT *, SALARY / TDC1 AS ISR, 30 + EXEC_FULLNAME % 41 AS PAGE, (o_orderkey % 81 - 40) / 2.0 AS SAL_PCT,
+                             (o_orderkey % 49 - 20) / 4.0 AS TDC1_PCT
+                      FROM pay JOIN ten USING (TICKER, EXEC_FULLNAME, YEAR))
+       SELECT TICKER, YEAR, {", ".join(f'avg({m}) AS "{m}_{m}_mean", stddev_samp({m}) AS "{m}_{m}_std"' for m in PAY_KINDS)}
+       FROM every GROUP BY 1, 2""",
     ["pay"],
 )
 def _(t):
-    pay = annual.with_tenure(annual.with_salary_share(t.pay))
-    return annual.pay_summary(pay, ["SALARY", "BONUS", "TDC1", "ISR", "TENURE"])
+    """All eight pay measures; age and yearly changes are drawn from the keys."""
+    pay = annual.with_tenure(annual.with_salary_share(t.pay)).withColumns(
+        {
+            "PAGE": C("EXEC_FULLNAME") % 41 + 30,
+            "SAL_PCT": (C("o_orderkey") % 81 - 40) / 2.0,
+            "TDC1_PCT": (C("o_orderkey") % 49 - 20) / 4.0,
+        }
+    )
+    return annual.pay_summary(pay, annual.PAY_MEASURES)
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tidemark.config import DAILY
+from tidemark.config import DAILY, TREE
 from tidemark.operators import models, windows
 from tidemark.plans import study
 from tidemark.plans.registry import query
@@ -19,32 +19,34 @@ from tidemark.session import materialise
 
 C = F.col
 KEYS = ["TICKER", "date"]
-NUMBERS = ["VOL", "RET", "sprtrn", "Ask_minus_Bid", "yesterday_return", "yesterday_volume"]
-CATEGORIES = ["comp_size", "proper", "dummy_negative", "dummy_positive", "dummy_total"]
+NUMBERS = ["VOL", "RET", "positive", "negative", "total", "sprtrn", "yesterday_return", "yesterday_volume", "Ask_minus_Bid"]
+CATEGORIES = study.model_categories("daily")
+FLAGS = study.average_flags("daily")
 TARGET = DAILY.target
 
 
 def model_frame(t):
-    return study.model_frame(t.features(), "daily", NUMBERS, CATEGORIES)
+    return study.model_frame(t.features(), "daily")
 
 
 def prepared(t, fraction: float = 0.8):
-    return study.feature_vectors(model_frame(t), "daily", NUMBERS, CATEGORIES, fraction)
+    return materialise(study.feature_vectors(model_frame(t), "daily", fraction))
 
 
 def _complete_sql() -> str:
     """Rows with every standardised number present, with the quantile bin of the size."""
     spreads = ", ".join(f'stddev_samp("{c}") OVER w AS s{i}' for i, c in enumerate(NUMBERS))
-    kept = " AND ".join(f'"{c}" IS NOT NULL AND s{i} > 0' for i, c in enumerate(NUMBERS))
-    source = f"(SELECT *, {spreads} FROM features WINDOW w AS (PARTITION BY TICKER))"
+    kept = " AND ".join([f'"{c}" IS NOT NULL AND s{i} > 0' for i, c in enumerate(NUMBERS)] + [f'"{c}" IS NOT NULL' for c in FLAGS])
+    flags = ", ".join(f'CASE WHEN "{c}" > PRC THEN 1 WHEN "{c}" <= PRC THEN 0 END AS {name}' for name, c in FLAGS.items())
+    source = f"(SELECT *, {flags}, {spreads} FROM features WINDOW w AS (PARTITION BY TICKER))"
     return f"SELECT * FROM ({edges_sql('market_cap', 10, source)}) WHERE tomorrow_return IS NOT NULL AND {kept}"
 
 
 @query(
     "i01_feature_assembly",
     "features:i rows:i",
-    f"""SELECT {len(NUMBERS)} + count(DISTINCT bin) + count(DISTINCT proper) + count(DISTINCT dummy_negative)
-               + count(DISTINCT dummy_positive) + count(DISTINCT dummy_total) AS features, count(*) AS rows
+    f"""SELECT {len(NUMBERS)} + count(DISTINCT bin) + {" + ".join(f"count(DISTINCT {c})" for c in CATEGORIES[1:])} AS features,
+               count(*) AS rows
         FROM ({_complete_sql()})""",
     ["features"],
 )
@@ -131,17 +133,54 @@ GROUP_MEANS = """SELECT DISTINCT dummy_total, avg(tomorrow_return) OVER (PARTITI
 METRICS = "n:i mse:f9 rmse:f9 r2:f"
 
 
+#: Penalty of the fits that do not search for one.
+PENALTY = 0.0005
+
+
 @query("i05_lasso", METRICS)
 def _(t):
-    _, scored, name = _fitted(t, models.lasso(TARGET, 0.0005), "lasso_pred")
+    _, scored, name = _fitted(t, models.lasso(TARGET, PENALTY), "lasso_pred")
     return models.metrics(scored, TARGET, name)
 
 
 @query("i05_lasso_cv", METRICS)
 def _(t):
+    """Five folds over a path of 100 penalties, the best one fitted on the train rows."""
     data = prepared(t)
-    search = models.lasso_cv(data.filter("is_train"), TARGET, KEYS, [0.0001, 0.0005, 0.002, 0.01])
-    return models.metrics(search.model.transform(data.filter("NOT is_train")), TARGET, "lasso_pred")
+    path = models.lasso_path(data.filter("is_train"), TARGET, KEYS)
+    fit = models.lasso(TARGET, float(path.penalties[path.best])).fit(data.filter("is_train"))
+    return models.metrics(fit.transform(data.filter("NOT is_train")), TARGET, "lasso_pred")
+
+
+def _entry(i: int):
+    return C("x")[i]
+
+
+@query(
+    "i05_lasso_optimality",
+    "n:i violations:i",
+    f"""SELECT count(*) FILTER (h < 0.8) AS n, 0 AS violations FROM (
+         SELECT {HASH_SQL.format(text="'42|' || TICKER || '|' || CAST(date AS VARCHAR)")} AS h FROM ({_complete_sql()}))""",
+    ["features"],
+)
+def _(t):
+    """The conditions of a lasso optimum on the train rows, one per feature.
+
+    With r the residual and s the deviation of a feature, |cov(x, r)| / s is the penalty, with the sign of the
+    coefficient, where that is not zero, and at most the penalty elsewhere.
+    """
+    train = prepared(t).filter("is_train")
+    fit = models.lasso(TARGET, PENALTY).setTol(1e-12).setMaxIter(1000).fit(train)
+    rows = fit.transform(train).select(models.vector_to_array("features").alias("x"), (C(TARGET) - C("lasso_pred")).alias("r"))
+    size = len(fit.coefficients)
+    parts = [F.struct(F.covar_pop(_entry(i), "r").alias("c"), F.stddev_pop(_entry(i)).alias("s")) for i in range(size)]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*parts).alias("pulls")).first()
+    wrong = 0
+    for b, pull in zip(fit.coefficients, found["pulls"]):
+        if pull["s"]:
+            c, near = pull["c"] / pull["s"], 1e-3 * PENALTY
+            wrong += abs(c - PENALTY * (1 if b > 0 else -1)) > near if b else abs(c) > PENALTY + near
+    return t.spark.createDataFrame([(found["n"], int(wrong))], "n long, violations int")
 
 
 def _one_feature(t):
@@ -169,7 +208,8 @@ def _(t):
 
 @query("i06_forest", METRICS)
 def _(t):
-    _, scored, name = _fitted(t, models.forest(TARGET, numTrees=10, maxDepth=5), "pred_forest")
+    """100 trees over all features at the depth of the grid's shallow half; the deep half is left to users, for its time."""
+    _, scored, name = _fitted(t, models.forest(TARGET, maxDepth=10), "pred_forest")
     return models.metrics(scored, TARGET, name)
 
 
@@ -184,14 +224,13 @@ def _(t):
 @query("i06_forest_grid", METRICS)
 def _(t):
     data = prepared(t)
-    grid = {"numTrees": [5, 10], "maxDepth": [4], "minInstancesPerNode": [1, 2]}
-    search = models.forest_cv(data.filter("is_train"), TARGET, KEYS, grid)
+    search = models.forest_cv(data.filter("is_train"), TARGET, KEYS, {**models.FOREST_GRID, "maxDepth": [10]})
     return models.metrics(search.model.transform(data.filter("NOT is_train")), TARGET, "pred_forest")
 
 
 @query("i07_boosted_trees", METRICS)
 def _(t):
-    _, scored, name = _fitted(t, models.boosted(TARGET, maxIter=10, maxDepth=3), "pred_boosted")
+    _, scored, name = _fitted(t, models.boosted(TARGET), "pred_boosted")
     return models.metrics(scored, TARGET, name)
 
 
@@ -204,8 +243,25 @@ def _(t):
 
 @query("i08_regression_tree", METRICS)
 def _(t):
-    _, scored, name = _fitted(t, models.tree(TARGET, depth=12, gain=0.0), "pred_forest", 0.7)
-    return models.metrics(scored, TARGET, name)
+    """Fitted on the trimmed train rows at the daily depth and complexity, judged on the others."""
+    vectors = materialise(study.feature_vectors(model_frame(t), "daily"))
+    fit = _daily_tree(vectors)[0]
+    test = study.split_for(vectors, "daily", "tree").filter("NOT is_train")
+    return models.metrics(fit.transform(test), TARGET, "pred_forest")
+
+
+def _daily_tree(vectors):
+    train = study.train_rows(vectors, "daily", "tree")
+    fit = models.tree(TARGET, TREE["depth"], models.complexity_gain(train, TARGET, TREE["cp"])).fit(train)
+    return fit, train
+
+
+@query("i08_tree_leaf_means", "off:i", "SELECT 0 AS off")
+def _(t):
+    """Leaves of the fitted tree whose prediction is not the mean of their train rows."""
+    fit, train = _daily_tree(materialise(study.feature_vectors(model_frame(t), "daily")))
+    leaves = fit.transform(train).groupBy("pred_forest").agg(F.avg(TARGET).alias("mean"))
+    return leaves.agg(F.count(F.when(F.abs(C("mean") - C("pred_forest")) > 1e-9, 1)).alias("off"))
 
 
 @query("i08_tree_one_feature", "dummy_total:i prediction:f9", GROUP_MEANS, ["features"])
@@ -217,7 +273,8 @@ def _(t):
 
 @query("i09_logistic_cv", "log_pred:s n:i mean_probability:f")
 def _(t):
-    data = prepared(t, 0.7)
+    vectors = materialise(study.feature_vectors(model_frame(t), "daily"))
+    data = study.split_for(vectors, "daily", "logistic")
     search = models.logistic_cv(data.filter("is_train"), "up", KEYS)
     scored = models.with_probability(models.as_class(search.model.transform(data.filter("NOT is_train"))))
     return scored.groupBy("log_pred").agg(F.count(F.lit(1)).alias("n"), F.avg("p_positive").alias("mean_probability"))
@@ -264,17 +321,53 @@ def _(t):
     return models.metrics(predictions(t).withColumn("y", F.lead("EXP").over(yearly)), "y", "EXP", ["MODEL"])
 
 
+@query("i09_roc_table", "fold:i n:i roc:f sensitivity:f specificity:f")
+def _(t):
+    """Ten folds of the classifier's train rows, each judged by a fit on the others."""
+    vectors = materialise(study.feature_vectors(model_frame(t), "daily"))
+    return models.roc_table(study.train_rows(vectors, "daily", "logistic"), "up", KEYS)
+
+
 @query("i11_score_panel", "TICKER:s date:d lasso_pred:f pred_forest:f log_pred:s")
 def _(t):
-    """All three fitted models on every row of the panel, train and test."""
-    return study.score(prepared(t, 0.7), "daily", 0.0005, 5)
+    """All three models, each fitted on its own split, on every row of the panel."""
+    return study.score(materialise(study.feature_vectors(model_frame(t), "daily")), "daily")
+
+
+def _quintile_edges(column: str) -> str:
+    return ", ".join(f"quantile_cont({column}, {p}) AS e{i}" for i, p in enumerate((0.2, 0.4, 0.6, 0.8), 1))
+
+
+@query(
+    "i11_split_sizes",
+    "learner:s train:i test:i",
+    f"""WITH frame AS MATERIALIZED (SELECT TICKER, date, tomorrow_return AS y FROM ({_complete_sql()})),
+        quintile AS (SELECT CAST(y > e1 AND e1 > e0 AS INT) + CAST(y > e2 AND e2 > e1 AS INT) + CAST(y > e3 AND e3 > e2 AS INT)
+                            + CAST(y > e4 AND e4 > e3 AS INT) AS s
+                     FROM frame CROSS JOIN (SELECT min(y) AS e0, {_quintile_edges("y")} FROM frame)),
+        drawn AS (SELECT y, {HASH_SQL.format(text="'42|' || TICKER || '|' || CAST(date AS VARCHAR)")} < 0.7 AS is_train FROM frame)
+        SELECT 'lasso' AS learner, sum(k) AS train, sum(n - k) AS test FROM (SELECT count(*) AS n, ceil(count(*) * 0.7) AS k FROM quintile GROUP BY s)
+        UNION ALL SELECT 'tree', (SELECT count(*) FROM drawn CROSS JOIN (SELECT quantile_cont(y, 0.025) AS lo, quantile_cont(y, 0.975) AS hi
+                                  FROM drawn WHERE is_train) WHERE is_train AND y BETWEEN lo AND hi), count(*) FILTER (NOT is_train) FROM drawn
+        UNION ALL SELECT 'logistic', sum(k), sum(n - k) FROM (SELECT count(*) AS n, ceil(count(*) * 0.7) AS k FROM frame GROUP BY y >= 0)""",
+    ["features"],
+)
+def _(t):
+    vectors = materialise(study.feature_vectors(model_frame(t), "daily").drop("features"))
+    parts = None
+    for learner in ("lasso", "tree", "logistic"):
+        train = study.train_rows(vectors, "daily", learner).agg(F.count(F.lit(1)).alias("train"))
+        test = study.split_for(vectors, "daily", learner).filter("NOT is_train").agg(F.count(F.lit(1)).alias("test"))
+        row = train.select(F.lit(learner).alias("learner"), "train", test.scalar().alias("test"))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts
 
 
 @query("i12_nonzero_coefficients", "feature:s coefficient:f9")
 def _(t):
     data = prepared(t)
     with models.kept(data.filter("is_train")) as train:
-        fit = models.lasso(TARGET, 0.0005).fit(train)
+        fit = models.lasso(TARGET, PENALTY).fit(train)
     return models.coefficient_table(t.spark, fit, models.feature_names(data))
 
 
@@ -296,16 +389,18 @@ def _(t):
 
 @query("i13_logit_table_all_features", "feature:s coefficient:f std_error:f z:f4 p_value:f")
 def _(t):
+    """Numbers and one flag; the news counts and the total flag determine one another, so the total stays out."""
+    names = [c for c in NUMBERS if c != "total"] + ["dummy_negative"]
     rows = model_frame(t).withColumn("up", (C(TARGET) >= 0).cast("double"))
-    vectors = VectorAssembler(inputCols=[*NUMBERS, "dummy_total"], outputCol="features").transform(rows)
-    return models.logit_table(vectors, "up", [*NUMBERS, "dummy_total"])
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
+    return models.logit_table(vectors, "up", names)
 
 
-@query("i14_tuning_table", "setting:s score:f9 best:b")
+@query("i14_tuning_table", "step:i penalty:f9 score:f9 best:b")
 def _(t):
-    data = prepared(t)
-    search = models.lasso_cv(data.filter("is_train"), TARGET, KEYS, [0.0001, 0.0005, 0.002, 0.01])
-    return models.tuning_table(t.spark, search)
+    """The mean squared error of every penalty of the path over the folds."""
+    path = models.lasso_path(prepared(t).filter("is_train"), TARGET, KEYS)
+    return models.path_table(t.spark, path)
 
 
 PENALTIES = (0.0005, 0.002, 0.004)

@@ -9,7 +9,7 @@ from tidemark.operators import annual, portfolio, windows
 from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.window_queries import PREDICTIONS_SQL, WEIGHTS_SQL, predictions
-from tidemark.session import one_row
+from tidemark.session import one_row, scratch_path
 from tidemark.streaming import news_counts
 
 C = F.col
@@ -207,20 +207,21 @@ def _(t):
 
 @query(
     "j08_against_benchmark",
-    "MODEL:s DATE:d CUM_RET:f LOG_BENCHMARK:f8",
-    f"""SELECT MODEL, DATE, product(1 + coalesce(RET, 0)) OVER (PARTITION BY MODEL ORDER BY DATE) - 1 AS CUM_RET, ln(1 + BENCHMARK) AS LOG_BENCHMARK
-        FROM (SELECT MODEL, DATE, RET / 1000 AS RET FROM ({PORTFOLIO_SQL})) LEFT JOIN (
+    "MODEL:s DATE:d SIDE:i LOG_RET:f8 LOG_BENCHMARK:f8",
+    f"""SELECT MODEL, DATE, sign(1 + CUM_RET) AS SIDE, CASE WHEN 1 + CUM_RET <> 0 THEN ln(abs(1 + CUM_RET)) END AS LOG_RET, ln(1 + BENCHMARK) AS LOG_BENCHMARK
+        FROM (SELECT MODEL, DATE, product(1 + coalesce(RET, 0)) OVER (PARTITION BY MODEL ORDER BY DATE) - 1 AS CUM_RET FROM ({PORTFOLIO_SQL})) LEFT JOIN (
           SELECT date AS DATE, product(1 + r) OVER (ORDER BY date) - 1 AS BENCHMARK FROM (
             SELECT date, max(sprtrn) AS r FROM panel GROUP BY 1)) USING (DATE)""",
     ["pay", "path_returns", "panel"],
 )
 def _(t):
-    """A thousandth of the money follows the portfolio, so that the compounded values stay readable."""
+    """Signs and logarithms of the compounded values, which grow beyond reading."""
     market = t.panel.groupBy("date").agg(F.max("sprtrn").alias("RET")).select(
         F.lit("market").alias("TICKER"), C("date").alias("DATE"), "RET"
     )
-    both = portfolio.against_benchmark(daily_portfolio(t).withColumn("RET", C("RET") / 1000), market)
-    return both.withColumn("LOG_BENCHMARK", F.ln(1 + C("BENCHMARK")))
+    both = portfolio.against_benchmark(daily_portfolio(t), market)
+    grown = 1 + C("CUM_RET")
+    return both.withColumns({"SIDE": F.signum(grown), "LOG_RET": F.ln(F.abs(grown)), "LOG_BENCHMARK": F.ln(1 + C("BENCHMARK"))})
 
 
 FACTORS = ["SALARY_SALARY_mean", "BONUS_BONUS_mean", "TENURE_TENURE_mean", "ART_COUNT"]
@@ -238,12 +239,12 @@ def yearly_factors(t):
 
 @query("i10_annual_model_errors", "MODEL:s n:i mse:f rmse:f r2:f")
 def _(t):
-    return study.annual_predictions(yearly_factors(t), FACTORS, "P", 1999, trees=20)[0]
+    return study.annual_predictions(yearly_factors(t), FACTORS, "P", 1999)[0]
 
 
 @query("j04_fitted_portfolio", "MODEL:s DATE:d RET:f")
 def _(t):
-    predicted = study.annual_predictions(yearly_factors(t), FACTORS, "P", 1999, trees=20)[1]
+    predicted = study.annual_predictions(yearly_factors(t), FACTORS, "P", 1999)[1]
     return study.ranked_portfolio(predicted, returns(t))
 
 
@@ -270,5 +271,6 @@ def _(t):
         )
 
     return news_counts.land_and_count(
-        t.spark, t.folder, t["events"].schema, "events.parquet", prepare, "ts", "TICKER", "event_id", "Sentiment"
+        t.spark, t.folder, t["events"].schema, "events.parquet", prepare, "ts", "TICKER", "event_id", "Sentiment",
+        scratch_path(t.spark, "news_counts"), scratch_path(t.spark, "news_counts_state"),
     )

@@ -35,7 +35,8 @@ def as_panel(periods: DataFrame) -> DataFrame:
 
 def summary_rows(panel: DataFrame, freq: str) -> DataFrame:
     """Rows with a previous return, written once because a dozen summaries read them."""
-    rows = panel if freq == "daily" else as_panel(resample.rollup(panel, freq))
+    single = windows.one_row_per_day(panel)
+    rows = single if freq == "daily" else as_panel(resample.rollup(single, freq))
     columns = ["TICKER", "date", "SICCD", "market_cap", "RET", "sprtrn", *aggregates.NEWS]
     return materialise(windows.with_lagged_return(rows.select(*columns)))
 
@@ -108,8 +109,12 @@ def return_summaries(panel: DataFrame, universe: str, freq: str) -> dict[str, Ca
 # ---- features, models and backtests -------------------------------------------------------
 
 def features_of(panel: DataFrame, freq: str) -> DataFrame:
-    """Lags, averages, spread and dummies of a daily panel at some frequency."""
-    rows = panel if freq == "daily" else resample.resample(panel, freq)
+    """Lags, averages, spread and dummies of a daily panel at some frequency.
+
+    A panel with several rows for a ticker and day keeps the first, as the windows rely on that key.
+    """
+    single = windows.one_row_per_day(panel)
+    rows = single if freq == "daily" else resample.resample(single, freq)
     return windows.with_features(rows, config.BY_NAME[freq])
 
 
@@ -120,37 +125,88 @@ def store_features(panels: Mapping[str, DataFrame], path: str, frequencies: Sequ
             write_table(features_of(panel, freq), f"{path}/universe={universe}/freq={freq}")
 
 
-def model_frame(features: DataFrame, freq: str, numbers: Sequence[str], categories: Sequence[str]) -> DataFrame:
-    """Size bins, then features standardised within each ticker; complete rows only.
+KEYS = ["TICKER", "date"]
+
+
+def average_flags(freq: str) -> dict[str, str]:
+    """Names of the flags for a price average above the price, and the averages."""
+    f = config.BY_NAME[freq]
+    return {f"move_avg_{n}": c for n, c in zip(f.averages, f.average_columns)}
+
+
+def model_categories(freq: str) -> list[str]:
+    return ["comp_size", "proper", "dummy_negative", "dummy_positive", "dummy_total", *average_flags(freq)]
 
-    Written once: indexers, scalers and every fitting round read it again.
+
+def model_numbers(features: DataFrame, freq: str) -> list[str]:
+    """Every numeric column of a feature table but ids, raw prices, averages, categories and the target."""
+    f = config.BY_NAME[freq]
+    return models.model_columns(features, f.target, model_categories(freq), [*models.LEFT_OUT, *f.average_columns])
+
+
+def model_frame(features: DataFrame, freq: str, universe: str = "dowjones") -> DataFrame:
+    """Size bins and average flags, then the numbers standardised within each ticker; complete rows only.
+
+    Written once: encoders, scalers and every fitting round read it again.
     """
-    keys, target = ["TICKER", "date"], config.BY_NAME[freq].target
-    plain = [c for c in categories if c != "comp_size"]
-    stored = materialise(features.select(*keys, *numbers, *plain, "market_cap", target))
+    target = config.BY_NAME[freq].target
+    numbers, categories, flags = model_numbers(features, freq), model_categories(freq), average_flags(freq)
+    whole = features.dropna() if universe in config.WHOLE_ROWS_ONLY else features
+    plain = [c for c in categories if c != "comp_size" and c not in flags]
+    flagged = whole.withColumns({name: windows.average_above_price(C(f"`{c}`"), C("PRC")) for name, c in flags.items()})
+    stored = materialise(flagged.select(*KEYS, *numbers, *plain, *flags, "market_cap", target))
     binned = order.quantile_bins(stored, "market_cap", 10, "comp_size", duplicates="drop")
     scaled = windows.standardise(binned, numbers)
-    return materialise(scaled.select(*keys, *numbers, *categories, target).dropna())
+    return materialise(scaled.select(*KEYS, *numbers, *categories, target).dropna())
 
 
-def feature_vectors(
-    frame: DataFrame, freq: str, numbers: Sequence[str], categories: Sequence[str], fraction: float
-) -> DataFrame:
-    """Feature vectors with train flags and the class outcome; encoders learn from the train rows."""
-    target = config.BY_NAME[freq].target
-    flagged = models.with_train_flag(frame, ["TICKER", "date"], fraction)
-    encoder = models.fit_features(flagged.filter("is_train"), numbers, categories)
+def feature_vectors(frame: DataFrame, freq: str, fraction: float | None = None) -> DataFrame:
+    """Feature vectors with the class outcome, and train flags for a fraction.
+
+    With a fraction the encoders learn from the train rows, otherwise from all.
+    """
+    target, categories = config.BY_NAME[freq].target, model_categories(freq)
+    numbers = [c for c in frame.columns if c not in {*KEYS, *categories, target}]
+    flagged = frame if fraction is None else models.with_train_flag(frame, KEYS, fraction)
+    encoder = models.fit_features(flagged if fraction is None else flagged.filter("is_train"), numbers, categories)
     vectors = models.apply_features(encoder, flagged, categories)
-    return vectors.select("TICKER", "date", target, (C(target) >= 0).cast("double").alias("up"), "features", "is_train")
+    kept = [] if fraction is None else ["is_train"]
+    return vectors.select(*KEYS, target, (C(target) >= 0).cast("double").alias("up"), "features", *kept)
 
 
-def score(vectors: DataFrame, freq: str, penalty: float, depth: int) -> DataFrame:
-    """Fit the three models on the train rows and predict every row."""
-    target = config.BY_NAME[freq].target
-    learners = [models.lasso(target, penalty), models.tree(target, depth), models.logistic("up")]
-    with models.kept(vectors.filter("is_train")) as train:
-        fits = Pipeline(stages=learners).fit(train)
-    return models.as_class(fits.transform(vectors))
+def split_for(vectors: DataFrame, freq: str, learner: str) -> DataFrame:
+    """Train flags as each learner has them: by target quintile, at random, or by class."""
+    target, share = config.BY_NAME[freq].target, config.TRAIN_SHARE
+    if learner == "lasso":
+        return models.with_stratified_flag(models.target_strata(vectors, target), "stratum", KEYS, share).drop("stratum")
+    if learner == "tree":
+        return models.with_train_flag(vectors, KEYS, share)
+    return models.with_stratified_flag(vectors, "up", KEYS, share, seed=123)
+
+
+def train_rows(vectors: DataFrame, freq: str, learner: str) -> DataFrame:
+    """The rows a learner is fitted on; the tree's are trimmed to the middle of the target."""
+    train = split_for(vectors, freq, learner).filter("is_train")
+    if learner != "tree":
+        return train
+    return windows.trim_to_quantiles(train, train, config.BY_NAME[freq].target, *config.TRIM)
+
+
+def score(vectors: DataFrame, freq: str, universe: str = "dowjones") -> DataFrame:
+    """Fit the three models, each on its own split, and predict every row.
+
+    `vectors` should be a stored table: each split and fit reads it.
+    """
+    target, settings = config.BY_NAME[freq].target, config.TREE_OF.get((universe, freq), config.TREE)
+    with models.kept(train_rows(vectors, freq, "lasso")) as train:
+        path = models.lasso_path(train, target, KEYS)
+        scored = models.lasso(target, float(path.penalties[path.best])).fit(train).transform(vectors)
+    with models.kept(train_rows(vectors, freq, "tree")) as train:
+        gain = models.complexity_gain(train, target, settings["cp"])
+        scored = models.tree(target, settings["depth"], gain).fit(train).transform(scored)
+    with models.kept(train_rows(vectors, freq, "logistic")) as train:
+        scored = models.logistic("up").fit(train).transform(scored)
+    return models.as_class(scored)
 
 
 def strategies(scored: DataFrame, universe: str, freq: str, after: str | None = config.BACKTEST_START) -> DataFrame:
@@ -162,9 +218,12 @@ def strategies(scored: DataFrame, universe: str, freq: str, after: str | None =
 # ---- annual factors to a ranked portfolio -------------------------------------------------
 
 def annual_predictions(
-    factors: DataFrame, features: Sequence[str], target: str, test_year: int, penalty: float = 0.1, trees: int = 100
+    factors: DataFrame, features: Sequence[str], target: str, test_year: int, penalty: float = 0.1
 ) -> tuple[DataFrame, DataFrame]:
-    """Three models on yearly factors: errors in the test year, and predictions from it on, in long form."""
+    """Three models on yearly factors: errors in the test year, and predictions from it on, in long form.
+
+    The lasso penalty is on the factors as they are.
+    """
     vectors = materialise(
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
         .transform(factors.filter(C(target).isNotNull()))
@@ -172,8 +231,8 @@ def annual_predictions(
     )
     train, test, predict = annual.split_by_year(vectors, test_year)
     learners = [
-        models.lasso(target, penalty),
-        models.forest(target, seed=42, numTrees=trees),
+        models.lasso(target, penalty, standardize=False),
+        models.forest(target, seed=42),
         models.boosted(target),
     ]
     with models.kept(train) as rows:

@@ -323,12 +323,13 @@ def _(t):
 @query(
     "d19_mode_per_date",
     "date:d mode:f9",
-    """SELECT date, RET AS mode FROM (SELECT date, RET, count(*) AS n FROM panel GROUP BY 1, 2)
-       QUALIFY row_number() OVER (PARTITION BY date ORDER BY n DESC, RET) = 1""",
+    """SELECT date, sprtrn AS mode FROM (SELECT date, sprtrn, count(*) AS n FROM panel GROUP BY 1, 2)
+       QUALIFY row_number() OVER (PARTITION BY date ORDER BY n DESC, sprtrn) = 1""",
     ["panel"],
 )
 def _(t):
-    return aggregates.mode_per_group(t.prices, ["date"], "RET")
+    """The raw market return of each date."""
+    return aggregates.mode_per_group(t.panel, ["date"], "sprtrn")
 
 
 DUMMIES = ("dummy_negative", "dummy_positive", "dummy_total")

@@ -10,10 +10,12 @@ from tidemark.plans.registry import query
 
 C = F.col
 
-# words that occur in the driver's invented prose, standing in for topic and sentiment words
+# words that occur in the driver's invented prose, standing in for topic words
 TOPIC = ("license", "token", "that ", "les ", "und ")
-GOOD = ("the", "and", "of", "to", "la", "der")
-BAD = ("is", "on", "le", "die", "that", "for", "it")
+# sentiment words; the invented texts hold only some of the bad ones, so the lists also have words of plain prose,
+# without which nearly every label would be neutral: the query checks the counting
+GOOD = ("good", "great", "gain", "growth", "profit", "thanks", "the", "and", "of", "to", "la", "der")
+BAD = ("bad", "loss", "stupid", "worthless", "trash", "disgusting", "is", "on", "le", "die", "that", "for", "it")
 
 LONG_LINES = "array_to_string(regexp_extract_all({c}, '[^\\n]{{20,}}'), chr(10))"
 
@@ -75,6 +77,22 @@ def _(t):
     return t["conversations"].select("conv_id", "turn", text.word_list_label(C("text"), GOOD, BAD).alias("label"))
 
 
+@query(
+    "k05_scorer_hook",
+    "conv_id:i turn:i Sentiment:s",
+    """SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL WHEN contains(text, '?') THEN 'negative'
+              WHEN length(text) - length(replace(text, '.', '')) > 3 THEN 'positive' ELSE 'neutral' END AS Sentiment FROM conversations""",
+)
+def _(t):
+    """A scorer of the user's own over whole texts: questions are negative, long answers positive."""
+
+    def scorer(texts):
+        label = texts.str.count(r"\.").gt(3).map({True: "positive", False: "neutral"})
+        return label.mask(texts.str.contains("?", regex=False, na=False), "negative").mask(texts.isna(), None)
+
+    return text.label_with(t["conversations"].select("conv_id", "turn", "text"), "text", scorer)
+
+
 @query(
     "k06_last_line",
     "conv_id:i turn:i line:s",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DAILY
 from tidemark.operators import annual, order, portfolio, windows
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 from tidemark.plans.summary_queries import edges_sql, lagged, sas_rank, stored
 from tidemark.sources.testdata import NUMERIC
 
@@ -124,7 +125,8 @@ def _(t):
     ["panel"],
 )
 def _(t):
-    kept = windows.drop_outliers(windows.drop_outliers(t.prices, "PRC"), "VOL")
+    rows = materialise(t.prices.select("TICKER", "PRC", "VOL", "ASKHI", "BIDLO"))
+    kept = windows.drop_outliers(windows.drop_outliers(rows, "PRC"), "VOL")
     return kept.groupBy("TICKER").agg(F.count(F.lit(1)).alias("n"), F.sum(C("ASKHI") - C("BIDLO")).alias("spread_sum"))
 
 
@@ -150,14 +152,13 @@ def _(t):
 
 @query(
     "e11_compounded",
-    "TICKER:s date:d CUM_RET:f",
-    """SELECT TICKER, date, product(1 + RET) OVER (PARTITION BY TICKER, year(date) ORDER BY date) - 1 AS CUM_RET FROM panel""",
+    "TICKER:s date:d LOG_CUM_RET:f8",
+    """SELECT TICKER, date, ln(product(1 + RET) OVER (PARTITION BY TICKER ORDER BY date)) AS LOG_CUM_RET FROM panel""",
     ["panel"],
 )
 def _(t):
-    """Running return within each ticker and year."""
-    yearly = t.prices.select(F.concat_ws("|", "TICKER", F.year("date").cast("string")).alias("SERIES"), "TICKER", "date", "RET")
-    return yearly.withColumn("CUM_RET", windows.compounded("RET", "date", "SERIES"))
+    """Running return over the whole series of each ticker, as logarithms."""
+    return t.prices.select("TICKER", "date", F.ln(1 + windows.compounded("RET", "date")).alias("LOG_CUM_RET"))
 
 
 @query(

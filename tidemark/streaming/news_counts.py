@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.labels import label_counts, normalise_label
-from tidemark.session import scratch_path
 
 
 def utc_instant(clock: str) -> Column:
@@ -52,10 +51,12 @@ def read_feed(spark: SparkSession, folder: str, schema: T.StructType, pattern: s
 
 def land_and_count(
     spark: SparkSession, folder: str, schema: T.StructType, pattern: str, prepare, time: str, key: str, ident: str,
-    label: str,
+    label: str, out: str, checkpoint: str,
 ) -> DataFrame:
-    """Run the feed once over the landed files and return the table it wrote."""
-    out = scratch_path(spark, "news_counts")
+    """Run the feed over the files that landed since the last run with this checkpoint; return the table at `out`.
+
+    A run that finds nothing new adds nothing.
+    """
     counts = stream_counts(prepare(read_feed(spark, folder, schema, pattern)), time, key, ident, label)
-    run_available(counts, out, scratch_path(spark, "news_counts_state"))
+    run_available(counts, out, checkpoint)
     return spark.read.schema(counts.schema).parquet(out)
