@@ -6,7 +6,7 @@ folder and reads it again for the next. All stages but the last return the colum
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
@@ -19,17 +19,22 @@ from tidemark.llm.toxicity import toxicity
 from tidemark.session import materialise
 
 
+def _without(docs: DataFrame, ids: DataFrame, same: Column) -> DataFrame:
+    """Documents whose id is not listed; where the list is too long to broadcast, it is hashed and the texts are not sorted."""
+    return docs.join(materialise(ids).hint("shuffle_hash"), same, "left_anti")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic."""
     toxic = toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(materialise(toxic), F.col("doc_id") == F.col("_toxic"), "left_anti")
+    return _without(docs, toxic, F.col("doc_id") == F.col("_toxic"))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each SimHash group; a document without an id stays."""
     groups = simhash_groups(docs)
     copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy")).distinct()
-    return docs.join(materialise(copies), F.col("doc_id") == F.col("_copy"), "left_anti")
+    return _without(docs, copies, F.col("doc_id") == F.col("_copy"))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample that meets the target weights of sources, languages and topics; a document without an id stays."""
     left = mixture(docs).where("not selected").select(F.col("doc_id").alias("_left")).distinct()
-    return docs.join(materialise(left), F.col("doc_id") == F.col("_left"), "left_anti")
+    return _without(docs, left, F.col("doc_id") == F.col("_left"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

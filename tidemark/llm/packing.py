@@ -25,7 +25,7 @@ SHARD_TOKENS = 1_000_000
 #: BM25 parameters.
 K1, B = 1.2, 0.75
 #: Bytes of text whose words are looked up together.
-BATCH_BYTES = 24_000_000
+BATCH_BYTES = 12_000_000
 #: Words of lower-case letters that the tokenizer's normal forms leave alone, and a place it always splits at.
 LETTERS = "^[a-zß-öø-ÿ]+$"
 LETTER_THEN_SIGN = r"([a-z])([!-&(-/:-@\[-`{-~])"

@@ -31,7 +31,7 @@ NEAR_WORDS = 5
 ORDER_SHARE = 0.02
 #: Score from which a text is predicted toxic.
 THRESHOLD = 0.7
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 # fixed values: second-person words of the languages at hand
 SECOND_PERSON = frozenset(
