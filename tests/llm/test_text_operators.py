@@ -398,6 +398,39 @@ def test_neighbours_are_lexically_close():
     assert np.mean([len(x) for x in held.values()]) < 1.5
 
 
+def test_related_documents_meet_across_the_corpus(make_docs):
+    """The best neighbour by brute-force BM25 over all documents lies in the same shard, wherever the input has it."""
+    draw = random.Random(12)
+    letters = "bcdfghjklmnpqrstvwz"
+    own = [["".join(draw.choice(letters) for _ in range(6)) for _ in range(30)] for _ in range(60)]
+    rows = []
+    for i in range(240):
+        rows.append((i, " ".join(draw.choice(own[i % 60]) if draw.random() < 0.4 else draw.choice(["common", "words", "stand", "here"]) for _ in range(60))))
+    draw.shuffle(rows)
+    got = packing.retrieval_packing(make_docs(rows), tokenizer_path(), window=256, shard_tokens=3000).collect()
+    shard = {r["doc_id"]: r["sequence_id"] >> 32 for r in got}
+    ids = [np.append(x, 2).astype(np.int64) for x in packing.WordIds(tokenizer_path()).of(pa.array([t for _, t in rows]))]
+    frequency = np.zeros(1 + max(x.max() for x in ids))
+    for x in ids:
+        frequency[np.unique(x)] += 1
+    idf = np.log(1 + (len(ids) - frequency + 0.5) / (frequency + 0.5))
+    index = packing.Bm25(ids, idf, np.mean([len(x) for x in ids]))
+    met = 0
+    for at, (i, _) in enumerate(rows):
+        scores = index.scores(at)
+        scores[at] = -1
+        met += shard[i] == shard[rows[int(scores.argmax())][0]]
+    assert len(set(shard.values())) > 5 and met / len(rows) > 0.9
+
+
+def test_rows_that_share_an_id_are_spread(make_docs):
+    got = packing.retrieval_packing(make_docs([(None, "")] * 500), tokenizer_path(), window=16, shard_tokens=50).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r["sequence_id"] >> 32] += r["length"]
+    assert sum(sizes.values()) == 500 and max(sizes.values()) <= 60
+
+
 def test_packing_of_nothing(make_docs):
     assert packing.retrieval_packing(make_docs([]), tokenizer_path()).collect() == []
     assert [tuple(r)[:5] for r in packing.retrieval_packing(make_docs([(9, None)]), tokenizer_path()).collect()] == [(9, 0, 1, zlib.crc32(b"\2\0\0\0"), 1)]

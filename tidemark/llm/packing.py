@@ -11,11 +11,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import gathered, ranges, runs, short_batches, slices
+from tidemark.llm.common import drop_unused, gathered, ranges, runs, short_batches, slices
+from tidemark.llm.graph import components
 from tidemark.session import materialise
 
 WINDOW = 4096
@@ -24,6 +25,10 @@ END_ID = 2
 SHARD_TOKENS = 1_000_000
 #: BM25 parameters.
 K1, B = 1.2, 0.75
+#: Heaviest terms that stand for a document while neighbours are sought, and the rarest of them, whose postings are searched.
+SKETCH_TERMS, LOOKUPS = 24, 8
+#: Places a posting is compared with, and rounds in which groups of neighbours join.
+NEAR, ROUNDS = 8, 3
 #: Bytes of text whose words are looked up together.
 BATCH_BYTES = 12_000_000
 #: Words of lower-case letters that the tokenizer's normal forms leave alone, and a place it always splits at.
@@ -214,6 +219,119 @@ def _tail_cut(pieces, sequence, used):
     return whole
 
 
+def _postings(idf: np.ndarray, mean: float, frequency: np.ndarray):
+    """The inverted index: a row for each of the LOOKUPS rarest terms of a document's sketch.
+
+    near and next are the two smallest hashes, seeded by the term, of the other terms of the sketch: in their order
+    documents of one term that share more of it lie side by side, so a hot term is searched without comparing all its documents.
+    """
+
+    def mapped(batches) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            sketches: list[bytes] = []
+            for row, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = _unpacked(stored)
+                terms, tf = np.unique(ids, return_counts=True)
+                shared = frequency[terms] > 1
+                terms, tf = terms[shared].astype(np.int64), tf[shared]
+                weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / mean))
+                top = np.argsort(-weight, kind="stable")[:SKETCH_TERMS]
+                terms, weight = terms[top], weight[top]
+                if not len(terms):
+                    continue
+                sketch = np.full(SKETCH_TERMS, -1, "<i4"), np.zeros(SKETCH_TERMS, "<f4")
+                sketch[0][: len(terms)], sketch[1][: len(terms)] = terms, weight
+                rare = terms[np.argsort(frequency[terms], kind="stable")[:LOOKUPS]]
+                mixed = (terms[None, :].astype(np.uint64) + np.uint64(1)) * (rare[:, None].astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
+                mixed = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(1)
+                mixed[terms[None, :] == rare[:, None]] = 2**63 - 1
+                mixed = np.sort(np.c_[mixed, np.full((len(rare), 1), 2**63 - 1, np.uint64)], axis=1).astype(np.int64)
+                for held, made in zip(out, (rare, mixed[:, 0], mixed[:, 1], np.full(len(rare), row, np.int64))):
+                    held.append(made)
+                sketches += [sketch[0].tobytes() + sketch[1].tobytes()] * len(rare)
+            if sketches:
+                columns = [pa.array(np.concatenate(x), pa.int64()) for x in out]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(sketches, pa.binary())], ["term", "near", "next", "row", "sketch"])
+
+    return mapped
+
+
+def _pairs(batches) -> Iterator[pa.RecordBatch]:
+    """Of postings in order, the best two documents before each and the best after it: a, b and the BM25 weight both ways of common terms."""
+    term, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ids, weight = np.zeros((0, SKETCH_TERMS), np.int32), np.zeros((0, SKETCH_TERMS), np.float32)
+    for batch in slices(batches):
+        old = len(term)
+        raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        term, row = np.r_[term, batch.column(0).to_numpy()], np.r_[row, batch.column(3).to_numpy()]
+        ids = np.r_[ids, np.ascontiguousarray(raw[:, : 4 * SKETCH_TERMS]).view("<i4")]
+        weight = np.r_[weight, np.ascontiguousarray(raw[:, 4 * SKETCH_TERMS :]).view("<f4")]
+        score = np.zeros((len(term), NEAR))
+        for back in range(1, min(NEAR, len(term) - 1) + 1):
+            at = np.arange(max(old, back), len(term))
+            at = at[term[at] == term[at - back]]
+            same = (ids[at][:, :, None] == ids[at - back][:, None, :]) & (ids[at] >= 0)[:, :, None]
+            score[at, back - 1] = (same * (weight[at][:, :, None] + weight[at - back][:, None, :])).sum((1, 2))
+        best = np.argsort(-score, axis=1, kind="stable")[:, :2]
+        pairs = {(i, int(b)) for i in range(old, len(term)) for b in best[i] if score[i, b] > 0}
+        for i in range(len(term)):  # the best of those that follow in reach
+            ahead = [(score[i + back, back - 1], -back) for back in range(1, NEAR + 1) if old <= i + back < len(term)]
+            if ahead and max(ahead)[0] > 0:
+                back = -max(ahead)[1]
+                pairs.add((i + back, back - 1))
+        made = sorted(pairs)
+        if made:
+            i, b = np.array(made).T
+            x, y = row[i], row[i - b - 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(score[i, b], pa.float64())], ["a", "b", "score"]
+            )
+        term, row, ids, weight = term[-NEAR:], row[-NEAR:], ids[-NEAR:], weight[-NEAR:]
+
+
+def _groups(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame | None, list[str]]:
+    """(row, g1, g2, ...): in each round every group joins the group of its best neighbour, so g1 are the closest."""
+    labels, names = None, []
+    for at in range(1, rounds + 1):
+        both = edges.union(edges.select("b", "a", "score"))
+        tie = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
+        links = both.groupBy("a").agg(F.max(F.struct("score", tie.alias("tie"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        joined = materialise(components(links, "a", "b"))
+        before = names[-1] if names else "row"
+        names = [*names, f"g{at}"]
+        if labels is None:
+            labels = joined.select(F.col("node").alias("row"), F.col("component").alias("g1"))
+        else:
+            labels = labels.join(joined.withColumnRenamed("node", before), before, "left").withColumn(names[-1], F.coalesce("component", before)).drop("component")
+        labels = materialise(labels)
+        for end in ("a", "b"):
+            edges = edges.join(joined.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("component", end)
+        edges = materialise(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")))
+        if edges.isEmpty():
+            break
+    return labels, names
+
+
+def _shards(tokens: DataFrame, idf: np.ndarray, mean: float, frequency: np.ndarray, shard_tokens: int) -> DataFrame:
+    """(row, shard): documents in the order of their groups, cut every `shard_tokens` tokens."""
+    postings = materialise(tokens.select("row", "ids").mapInArrow(_postings(idf, mean, frequency), "term long, near long, next long, row long, sketch binary"))
+    order = ["term", "near", "next", "row"]
+    found = postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pairs, "a long, b long, score double")
+    edges = materialise(found.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")))
+    labels, names = _groups(edges)
+    order = [*reversed(names), "row"]
+    placed = tokens.select("row", "n").join(labels, "row", "left").select("row", "n", *[F.coalesce(g, "row").alias(g) for g in names])
+    placed = materialise(materialise(placed).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before, total = [], 0
+    for row in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row per range
+        before.append((row["part"], total))
+        total += row["n"]
+    placed = placed.join(F.broadcast(tokens.sparkSession.createDataFrame(before, "part int, before long")), "part")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy(*order)) - F.col("n")
+    return materialise(placed.select("row", F.floor(upto / F.lit(shard_tokens)).cast("long").alias("shard")))
+
+
 def _packed_shards(idf: np.ndarray, mean: float, window: int):
     def pack(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["doc_id", "ids"], kind="stable", na_position="last")
@@ -236,16 +354,18 @@ def retrieval_packing(
     """Pieces of all documents in sequences of `window` tokens that keep lexically close documents together.
 
     Terms are token ids, so document frequencies are one number per id of the vocabulary; they and the mean
-    length are counted over all documents and sent to every task. Documents are dealt by hash into
-    shards of about `shard_tokens` tokens; each shard has its own index and packs its own documents. Every id, the
-    end id of each document included, lies in exactly one piece, and no sequence needs padding: all
-    are full but for one per shard, which is cut into sequences of a power of two.
+    length are counted over all documents and sent to every task. The neighbours of a document are sought in the whole
+    corpus first: postings of its rarest heavy terms are compared in order (`_postings`, `_pairs`), groups of best
+    neighbours join in rounds, and documents in the order of their groups are cut into shards of about `shard_tokens`
+    tokens. Each shard then has its own index and packs its own documents. Every id, the end id of each document
+    included, lies in exactly one piece, and no sequence needs padding: all are full but for one per shard, which
+    is cut into sequences of a power of two.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id (shard * 2**32 + number), offset. A
     null or empty text is the end id alone. Rows without an id are packed like others; repeated rows
     each. An empty table gives an empty table. Other columns are not read.
     """
-    tokens = materialise(token_table(docs, tokenizer, id_column, text))
+    tokens = materialise(token_table(docs, tokenizer, id_column, text).withColumn("row", F.monotonically_increasing_id()))
     count, total = tokens.agg(F.count(F.lit(1)), F.sum("n")).first()
     size = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
     found = tokens.select("ids").mapInArrow(_frequencies, "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents")).collect()
@@ -253,12 +373,13 @@ def retrieval_packing(
     for row in found:
         frequency[row["term"]] = row["documents"]
     idf = np.log(1 + ((count or 0) - frequency + 0.5) / (frequency + 0.5))
-    shards = max(1, -(-(total or 0) // shard_tokens))
-    return (
-        tokens.select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).alias("shard"))
-        .groupBy("shard")
-        .applyInPandas(
-            _packed_shards(idf, (total or 0) / max(1, count or 0), window),
-            "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
-        )
+    mean = (total or 0) / max(1, count or 0)
+    if (total or 0) <= shard_tokens:
+        dealt = tokens.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        dealt = tokens.join(_shards(tokens, idf, mean, frequency, shard_tokens).hint("shuffle_hash"), "row")
+        drop_unused(docs.sparkSession)
+    return dealt.select("doc_id", "ids", "shard").groupBy("shard").applyInPandas(
+        _packed_shards(idf, mean, window),
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )
