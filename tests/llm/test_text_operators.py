@@ -68,6 +68,23 @@ def test_removal_keeps_whole_rows(make_docs):
     assert substring.remove_repeats(make_docs([])).collect() == []
 
 
+@pytest.mark.parametrize("repeats", [(0, 100), (40, 100)])
+def test_a_document_past_the_reference_limit_keeps_its_own_repeats(make_docs, repeats):
+    """A document with more than REFERENCE_PASSAGES passages of an anchor loses only what a smaller one holds."""
+    draw = random.Random(21)
+    paragraph = " ".join(f"p{i}" for i in range(60))
+
+    def text(times):
+        return " ".join(" ".join([*(f"x{draw.randrange(10**6)}" for _ in range(30)), paragraph]) for _ in range(times))
+
+    def other(times):  # shares half of the paragraph's windows with the first
+        return " ".join(" ".join([*(f"y{draw.randrange(10**6)}" for _ in range(30)), "q", *paragraph.split()[:55]]) for _ in range(times))
+
+    rows = [(i, make(n)) for i, (make, n) in enumerate([(other, repeats[0]), (text, repeats[1]), (text, 1), (other, 2)]) if n]
+    got = substring.remove_repeats(make_docs(rows)).collect()
+    assert as_text(tuple(r) for r in got) == as_text(plain_removal(rows, 50))
+
+
 def test_automaton_matches_every_substring():
     draw = random.Random(1)
     known = [[b"%d" % draw.randrange(3) for _ in range(draw.randrange(1, 40))] for _ in range(12)]

@@ -254,8 +254,10 @@ def _streamed(window: int):
                 if (anchor, part) != shard:
                     shard, automaton, waiting, waiting_doc = (anchor, part), SuffixAutomaton(), [], None
                 words = text.split(b" ")
-                if doc != waiting_doc or kind:
-                    for held in waiting:  # passages of one document do not count against each other
+                if doc != waiting_doc:
+                    # passages of one document do not count against each other; stream rows of the last reference
+                    # document come before those of others, so its passages wait for them too
+                    for held in waiting:
                         automaton.add(held)
                     waiting, waiting_doc = [], doc
                 lengths = automaton.matched(words)
