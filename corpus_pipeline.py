@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
-from tidemark.llm.mixing import mixture
+from tidemark.llm.mixing import KEPT_TOKENS, mixture
 from tidemark.llm.packing import retrieval_packing
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.simhash import simhash_groups
@@ -47,7 +47,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample that meets the target weights of sources, languages and topics; a document without an id stays."""
-    left = mixture(docs).where("not selected").select(F.col("doc_id").alias("_left")).distinct()
+    left = mixture(docs, size=KEPT_TOKENS).where("not selected").select(F.col("doc_id").alias("_left")).distinct()
     return _without(docs, left, F.col("doc_id") == F.col("_left"))
 
 

@@ -63,6 +63,17 @@ def test_stages_take_effect(spark, folder):
     assert {r["doc_id"] for r in packed.collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_a_rare_source_does_not_shrink_the_mixture(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rare = docs.limit(1).selectExpr("-5L doc_id", "'twenty words ' || repeat('w ', 18) text", "lang", "'stray' source", "n_chars")
+    docs.union(rare.select(*docs.columns)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = contract.queries()["op9_source_mixture"](spark, str(tmp_path)).collect()
+    total = sum(r["tokens"] for r in got)
+    assert sum(r["tokens"] * r["probability"] for r in got) == pytest.approx(0.75 * total, rel=1e-3)
+    kept = corpus_pipeline.mixed(spark, docs.union(rare.select(*docs.columns)), folder).count()
+    assert kept > 0.6 * len(got)
+
+
 def test_pipeline_of_odd_documents(spark, make_docs, odd_texts, folder):
     docs = make_docs(odd_texts)
     for _, stage in corpus_pipeline.STAGES:

@@ -12,6 +12,8 @@ from tidemark.session import materialise
 FACETS = ("source", "lang", "topic")
 #: Exponent by which the observed share of a value becomes its target, where no target is stated.
 TEMPER = {"source": 0.7, "lang": 0.8, "topic": 1.0}
+#: Share of all tokens that the query and the pipeline keep, whatever the largest weight is.
+KEPT_TOKENS = 0.75
 #: Rounds of fitting at most, and the deviation from a target share that ends it.
 ROUNDS = 60
 CLOSE = 1e-6

@@ -131,9 +131,9 @@ def op8_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_source_mixture")
 def op9_source_mixture(spark: SparkSession, folder: str) -> DataFrame:
-    from tidemark.llm.mixing import mixture
+    from tidemark.llm.mixing import KEPT_TOKENS, mixture
 
-    return mixture(table(spark, folder, "documents"))
+    return mixture(table(spark, folder, "documents"), size=KEPT_TOKENS)
 
 
 @query("op10_retrieval_packing")
