@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing, substring, warc
-from tidemark.llm.html_template import blocks_of, main_texts
+from tidemark.llm.html_template import blocks_of, main_blocks, main_texts
 from tidemark.llm.mixing import TEMPER, mixture
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.sharding import interleaved_shards
@@ -140,6 +140,20 @@ def test_extraction_of_cases(spark):
     assert main_texts(spark.createDataFrame([], PAGES)).collect() == []
 
 
+@pytest.mark.parametrize("body", [
+    '<html class="has-menu"><body class="no-sidebar"><article><p>x y</p></article></body></html>',
+    '<body class="search"><p>x y</p></body>',
+    '<div id="content-with-sidebar"><article class="post tag-search comments-open"><p>x y</p></article></div>',
+    '<main class="related"><p>x y</p></main>', '<body><form id="f"><div class="page"><p>x y</p></div></form></body>',
+    '<div><form><article>x y</article></form></div>', '<div class="social"><main>x y</main></div>', '<div class="with-ad">x y</div>',
+    '<article>x y<div class="comments"><article class="comment">no</article></div></article>',
+    '<main><article>x <i class="no-ad">y</i></article><div id="comments"><article>no</article></div></main>',
+])
+def test_names_of_whole_pages_are_no_furniture(body):
+    kept = [b for b in blocks_of(body) if not b.furniture]
+    assert " ".join(b.text() for b in main_blocks(kept) or kept) == "x y"
+
+
 def test_template_of_a_host_without_articles(spark):
     rows = []
     for i in range(8):

@@ -31,9 +31,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
-FURNITURE = frozenset("head nav footer aside form button select menu dialog fieldset".split())
+FURNITURE = frozenset("head nav footer aside button select menu dialog fieldset".split())
+#: Elements that hold the page as a whole; a form straight below one may, too.
+PAGE = frozenset(("html", "body"))
 MAIN = frozenset(("article", "main"))
-#: Words in a class, id or role that mark page furniture; the last ones are endings of longer names too.
+#: Words of which a class, id or role consists that marks page furniture.
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation navi menu footer sidebar aside ad ads advert adverts advertisement advertising banner cookie cookies consent notice notices "
     "comment comments disqus promo sponsor sponsored share sharing social related recommended breadcrumb breadcrumbs popup modal newsletter subscribe "
@@ -55,10 +57,10 @@ def _number(*parts: str) -> int:
 class Block:
     """A stretch of text between block borders: its element path, its text, how much of it is link text."""
 
-    __slots__ = ("path", "parts", "linked", "main", "furniture")
+    __slots__ = ("path", "parts", "linked", "main", "furniture", "article", "lifted")
 
-    def __init__(self, path: str, main: bool, furniture: bool) -> None:
-        self.path, self.main, self.furniture = path, main, furniture
+    def __init__(self, path: str, main: bool, furniture: bool, article: bool = False, lifted: bool = False) -> None:
+        self.path, self.main, self.furniture, self.article, self.lifted = path, main, furniture, article, lifted
         self.parts: list[str] = []
         self.linked = 0
 
@@ -69,7 +71,8 @@ class Block:
 def blocks_of(source: str | None) -> list[Block]:
     """The text blocks of a page in order. Unclosed elements, comments and scripts are tolerated."""
     source = source or ""
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, within main, within furniture
+    # tag, label, within main, an article, a main or article that furniture by name holds, furniture by element, furniture by name
+    stack: list[tuple[str, str, bool, bool, bool, bool, bool]] = []
     blocks: list[Block] = []
     links = 0
     fresh = True
@@ -81,8 +84,8 @@ def blocks_of(source: str | None) -> list[Block]:
         if fresh:
             if text.isspace():
                 return
-            main, furniture = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-            blocks.append(Block("/".join(s[1] for s in stack), main, furniture))
+            main, article, lifted, hard, named = stack[-1][2:] if stack else (False,) * 5
+            blocks.append(Block("/".join(s[1] for s in stack), main, hard or named, article, lifted))
             fresh = False
         blocks[-1].parts.append(text)
         if links:
@@ -124,10 +127,17 @@ def blocks_of(source: str | None) -> list[Block]:
                     del stack[open_at:]
                 continue
             _close_implied(stack, tag)
-            main, furniture = (stack[-1][2], stack[-1][3]) if stack else (False, False)
+            main, article, lifted, hard, named = stack[-1][2:] if stack else (False,) * 5
             names = _names(rest)
-            furniture = furniture or tag in FURNITURE or (tag == "header" and not main) or bool(names & FURNITURE_WORDS)
-            stack.append((tag, ".".join([tag, *sorted(names)]), main or (tag in MAIN and not furniture), furniture))
+            hard = hard or tag in FURNITURE or (tag == "header" and not main)
+            if tag in MAIN and not hard:  # what holds an article is no furniture, whatever it is called
+                main, lifted, named = True, lifted or named, False
+                article = article or (tag == "article" and not lifted)
+            elif tag == "form":
+                named = named or bool(stack and stack[-1][0] not in PAGE) or _furniture_words(rest)
+            elif tag not in PAGE:
+                named = named or _furniture_words(rest)
+            stack.append((tag, ".".join([tag, *sorted(names)]), main, article, lifted, hard, named))
     return blocks
 
 
@@ -148,7 +158,21 @@ def _names(rest: str) -> set[str]:
 
 
 def _furniture_words(rest: str) -> bool:
-    return bool(_names(rest) & FURNITURE_WORDS)
+    """True if a class, id or role consists of furniture words; one that merely contains such a word is left to the template."""
+    if "=" not in rest:
+        return False
+    for m in _ATTRIBUTE.finditer(rest):
+        for name in (m[2] or m[3] or m[4] or "").lower().split():
+            words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
+            if words and FURNITURE_WORDS.issuperset(words):
+                return True
+    return False
+
+
+def main_blocks(blocks: list[Block]) -> list[Block]:
+    """The blocks of the article or main elements; an article that furniture by name holds (a comment, say) only where no other is."""
+    kept = [b for b in blocks if b.main]
+    return [b for b in kept if not b.lifted] if any(b.article for b in kept) else kept
 
 
 def _close_implied(stack: list, tag: str) -> None:
@@ -226,9 +250,8 @@ def _extract(batches) -> Iterator[pa.RecordBatch]:
         texts = []
         for source, drops in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             blocks = [b for b in blocks_of(source) if not b.furniture]
-            if any(b.main for b in blocks):
-                kept = [b for b in blocks if b.main]
-            else:
+            kept = main_blocks(blocks)
+            if not kept:
                 known = set(drops or ())
                 kept = [b for b in blocks if _number(b.path) not in known]
             texts.append(" ".join(t for t in (b.text() for b in kept) if t))
@@ -241,7 +264,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of `pages` (page_id, url, html).
 
     The article of a page is what stands in its article or main element, outside furniture (menus, headers, footers,
-    sidebars, notices, adverts, forms, scripts, comments by element or name). A page without such an element gives the
+    sidebars, notices, adverts, forms, scripts, comments by element or by a class, id or role of such words alone; never html,
+    body, main, article or what holds the only article, nor a form that holds the page). A page without such an element gives the
     slots of its host's template that are neither fixed text nor lists of links; a host of fewer than TEMPLATE_PAGES
     pages has no template, and only furniture is left out. Character references are decoded, white space
     within a block becomes one space, and blocks are joined by one space.
