@@ -163,6 +163,24 @@ def test_template_of_a_host_without_articles(spark):
     assert got == {i: f"Title {i} Words of page {i}." for i in range(8)}
 
 
+def test_template_texts_among_paragraphs(spark):
+    """A fixed text goes, in an article too, though its path is that of paragraphs; copies and common lines stay."""
+    rows, want = [], {}
+    for i in range(12):
+        line = ["A line of some pages."] if i < 5 else []
+        own = [f"Story {i} begins." if i > 3 else "One story in four copies.", *line, f"It ends {i} times."]
+        inner = "".join(f"<p>{x}</p>" for x in ["Fixed notice.", *own, "Read us again."])
+        for host, tag in (("plain", "div"), ("marked", "article"), ("mained", "main")):
+            at = len(rows)
+            rows.append((at, f"http://{host}.example/{i}", page(f"<div><{tag}>{inner}</{tag}></div>"), "p", "f"))
+            want[at] = " ".join(own)
+        at = len(rows)
+        rows.append((at, f"http://mirror.example/{i}", page("<article><p>Same text.</p></article>"), "p", "f"))
+        want[at] = "Same text."
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == want
+
+
 def test_every_character_of_an_article_is_kept(spark, folder):
     got = main_texts(spark.read.parquet(f"{folder}/pages.parquet")).collect()
     html = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}

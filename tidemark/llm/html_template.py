@@ -1,8 +1,8 @@
 """Main text of web pages by deducing each host's template from equivalence classes of tokens.
 
-Tokens are the element paths of a page and its text blocks. Tokens of a host that occur equally often in each
-of its pages form an equivalence class; the classes that hold together are the template, and what varies
-between their tokens are its slots. Slots that carry the article are extracted.
+Tokens are the elements of a page, by path, and its text blocks. Tokens of a host that occur equally often in each
+of its pages form an equivalence class; a class in which an element holds a text nests, and that text is
+part of the template. What varies between its tokens are slots; those that carry the article are extracted.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from tidemark.session import materialise
 #: Pages of a host that a template needs; share of link text from which a slot counts as a list of links.
 TEMPLATE_PAGES = 4
 LINK_SHARE = 0.5
+#: Kinds of tokens: elements, the paths of texts, texts.
+ELEMENT, PATH, TEXT = 0, 1, 2
 #: Tokens a task gathers before it hands them on.
 TOKENS_AT_ONCE = 400_000
 
@@ -68,8 +70,11 @@ class Block:
         return " ".join(entities.unescape("".join(self.parts)).split())
 
 
-def blocks_of(source: str | None) -> list[Block]:
-    """The text blocks of a page in order. Unclosed elements, comments and scripts are tolerated."""
+def blocks_of(source: str | None, opened: list[str] | None = None) -> list[Block]:
+    """The text blocks of a page in order. Unclosed elements, comments and scripts are tolerated.
+
+    The path of every block element outside furniture is added to `opened`.
+    """
     source = source or ""
     # tag, label, within main, an article, a main or article that furniture by name holds, furniture by element, furniture by name
     stack: list[tuple[str, str, bool, bool, bool, bool, bool]] = []
@@ -138,6 +143,8 @@ def blocks_of(source: str | None) -> list[Block]:
             elif tag not in PAGE:
                 named = named or _furniture_words(rest)
             stack.append((tag, ".".join([tag, *sorted(names)]), main, article, lifted, hard, named))
+            if opened is not None and not (hard or named):
+                opened.append("/".join(s[1] for s in stack))
     return blocks
 
 
@@ -190,6 +197,15 @@ def _close_implied(stack: list, tag: str) -> None:
             break
 
 
+def _above(path: str) -> list[int]:
+    """Numbers of the page and of the elements that hold a text of this path."""
+    labels = path.split("/") if path else []
+    return [_number("/".join(labels[:i])) for i in range(len(labels) + 1)]
+
+
+TOKENS = "host string, kind int, role long, content long, one long, two long, pages long, chars long, linked long, main boolean, above array<long>"
+
+
 def _tokens(batches) -> Iterator[pa.RecordBatch]:
     """Per task, host and token: weighted sums that stand for the occurrence vector, pages, occurrences, text and link sizes."""
     held: dict[tuple, list] = {}
@@ -197,52 +213,75 @@ def _tokens(batches) -> Iterator[pa.RecordBatch]:
     def told():
         keys, rows = list(held), list(held.values())
         held.clear()
-        columns = [[k[i] for k in keys] for i in range(3)] + [[r[i] for r in rows] for i in range(6)]
-        types = [pa.string(), pa.int64(), pa.int64(), *[pa.int64()] * 5, pa.bool_()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "role", "content", "one", "two", "pages", "chars", "linked", "main"])
+        columns = [[k[i] for k in keys] for i in range(4)] + [[r[i] for r in rows] for i in range(7)]
+        types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), *[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int64())]
+        names = ["host", "kind", "role", "content", "one", "two", "pages", "chars", "linked", "main", "above"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
+    above: dict[str, list[int]] = {}
     for batch in slices(batches):
+        if len(above) > TOKENS_AT_ONCE:
+            above.clear()
         for host, url, page, source in zip(*(batch.column(i).to_pylist() for i in range(4))):
             draw = xxhash.xxh64_intdigest(f"{page}\x00{url}".encode("utf-8", "surrogatepass"))
             one, two = draw & 0x7FFFFFFF, draw >> 33
             seen: set[tuple] = set()
-            for block in blocks_of(source):
+
+            def count(key: tuple, main: bool, path: str | None, chars: int, linked: int) -> None:
+                row = held.get(key)
+                if row is None:
+                    if path is not None and path not in above:
+                        above[path] = _above(path)
+                    row = held[key] = [0, 0, 0, 0, 0, main, None if path is None else above[path]]
+                row[0] += one
+                row[1] += two
+                row[2] += key not in seen
+                row[3] += chars
+                row[4] += linked
+                seen.add(key)
+
+            opened = [""]  # the page itself
+            blocks = blocks_of(source, opened)
+            for path in opened:
+                count((host, ELEMENT, _number(path), None), False, None, 0, 0)
+            for block in blocks:
                 if block.furniture:
                     continue
                 text = block.text()
-                role = _number(block.path)
-                for key in ((host, role, None), (host, role, _number(text))):
-                    row = held.setdefault(key, [0, 0, 0, 0, 0, block.main])
-                    row[0] += one
-                    row[1] += two
-                    row[2] += key not in seen
-                    row[3] += len(text)
-                    row[4] += min(block.linked, len(text))
-                    seen.add(key)
+                linked = min(block.linked, len(text))
+                count((host, PATH, _number(block.path), None), block.main, None, len(text), linked)
+                count((host, TEXT, _number(block.path), _number(block.path, text)), block.main, block.path, len(text), linked)
         if len(held) > TOKENS_AT_ONCE:
             yield from told()
     yield from told()
 
 
 def host_templates(pages: DataFrame) -> DataFrame:
-    """(host, drops): the roles of each host that its template shows not to be main text.
+    """(host, drops): the text blocks of each host that its template holds, and the paths that are lists of links.
 
-    A role and a text block whose occurrence vectors over the host's pages are equal are one class: the text is
-    part of the template there, not a slot. The vectors are compared through two sums of page draws, so a host
-    of any size costs one row per token and task. Of the slots, those that are mostly link text are lists
-    of links. Roles within an article or main element keep their text whatever repeats in it.
+    Elements and texts whose occurrence vectors over the host's pages are equal are one class. It nests where an element
+    of the class holds the text: the text then stands once in each of those elements and belongs to the template. The vectors
+    are compared through two sums of page draws, so a host of any size costs one row per token and task. Within an article
+    or main element a text must also be on half of the host's pages, so that copies of one article are not taken
+    for a template. Of the slots outside those, the ones that are mostly link text are lists of links.
     """
     tokens = (
-        pages.mapInArrow(_tokens, "host string, role long, content long, one long, two long, pages long, chars long, linked long, main boolean")
-        .groupBy("host", "role", "content")
-        .agg(*[F.sum(c).alias(c) for c in ("one", "two", "pages", "chars", "linked")], F.max("main").alias("main"))
-        .where((F.col("pages") >= TEMPLATE_PAGES) & ~F.col("main"))
+        pages.mapInArrow(_tokens, TOKENS)
+        .groupBy("host", "kind", "role", "content")
+        .agg(*[F.sum(c).alias(c) for c in ("one", "two", "pages", "chars", "linked")], F.max("main").alias("main"), F.max("above").alias("above"))
+        .where(F.col("pages") >= TEMPLATE_PAGES)
     )
     tokens = materialise(tokens)
-    classes = tokens.where(F.col("content").isNotNull()).groupBy("host", "role", "one", "two").agg(F.lit(True).alias("fixed"))
-    roles = tokens.where(F.col("content").isNull()).join(classes, ["host", "role", "one", "two"], "left")
-    listed = F.col("linked") >= LINK_SHARE * F.col("chars")
-    return roles.where(F.coalesce("fixed", F.lit(False)) | listed).groupBy("host").agg(F.collect_set("role").alias("drops"))
+    elements = tokens.where(F.col("kind") == ELEMENT)
+    whole = elements.where(F.col("role") == _number("")).select("host", F.col("pages").alias("of"))
+    classes = elements.groupBy("host", "one", "two").agg(F.collect_set("role").alias("elements"))
+    texts = (
+        tokens.where(F.col("kind") == TEXT).join(classes, ["host", "one", "two"]).where(F.arrays_overlap("above", "elements"))
+        .join(whole, "host").where(~F.col("main") | (2 * F.col("pages") >= F.col("of")))
+    )
+    listed = (F.col("kind") == PATH) & ~F.col("main") & (F.col("linked") >= LINK_SHARE * F.col("chars"))
+    drops = texts.select("host", F.col("content").alias("drop")).union(tokens.where(listed).select("host", "role"))
+    return drops.groupBy("host").agg(F.collect_set("drop").alias("drops"))
 
 
 def _extract(batches) -> Iterator[pa.RecordBatch]:
@@ -250,10 +289,12 @@ def _extract(batches) -> Iterator[pa.RecordBatch]:
         texts = []
         for source, drops in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             blocks = [b for b in blocks_of(source) if not b.furniture]
-            kept = main_blocks(blocks)
-            if not kept:
-                known = set(drops or ())
-                kept = [b for b in blocks if _number(b.path) not in known]
+            main, known = main_blocks(blocks), set(drops or ())
+            if main:  # a template without a slot in the article is none
+                kept = [b for b in main if _number(b.path, b.text()) not in known] if known else main
+                kept = kept if any(b.text() for b in kept) else main
+            else:
+                kept = [b for b in blocks if _number(b.path) not in known and _number(b.path, b.text()) not in known]
             texts.append(" ".join(t for t in (b.text() for b in kept) if t))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
@@ -265,7 +306,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     The article of a page is what stands in its article or main element, outside furniture (menus, headers, footers,
     sidebars, notices, adverts, forms, scripts, comments by element or by a class, id or role of such words alone; never html,
-    body, main, article or what holds the only article, nor a form that holds the page). A page without such an element gives the
+    body, main, article or what holds the only article, nor a form that holds the page). Texts of the
+    host's template are left out there too, unless nothing else is in it. A page without such an element gives the
     slots of its host's template that are neither fixed text nor lists of links; a host of fewer than TEMPLATE_PAGES
     pages has no template, and only furniture is left out. Character references are decoded, white space
     within a block becomes one space, and blocks are joined by one space.
