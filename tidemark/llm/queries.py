@@ -143,6 +143,32 @@ def op10_retrieval_packing(spark: SparkSession, folder: str) -> DataFrame:
     return retrieval_packing(table(spark, folder, "documents"), tokenizer_path())
 
 
+@query(
+    "op11_prefix_trie",
+    """
+    WITH o AS (SELECT conv_id, list(coalesce(role, '') || chr(1) || coalesce(text, '') ORDER BY turn NULLS FIRST, role, text) AS t
+               FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    h AS (SELECT conv_id, t, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+              lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) % 4 AS h FROM o),
+    r AS (SELECT h.conv_id, list_concat(coalesce(b.t, [])[1:h.h], h.t[h.h + 1:]) AS s FROM h LEFT JOIN o b ON b.conv_id = h.conv_id - h.conv_id % 20),
+    p AS (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM r),
+    n AS (SELECT s[1:d] AS k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                 coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '') AS ends FROM p GROUP BY 1, 2),
+    c AS (SELECT k[1:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+    m AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN n.depth = 0 THEN 0 ELSE (n.n_convs - 1) * len(list_filter(
+              regexp_split_to_array(substr(n.k[n.depth], strpos(n.k[n.depth], chr(1)) + 1), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) END AS own
+          FROM n LEFT JOIN c ON n.k = c.k),
+    u AS (SELECT k[1:d] AS k, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(depth + 1)) AS d FROM m) GROUP BY 1)
+    SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(m.ends) AS ends_sha256
+    FROM m JOIN u ON m.k = u.k LEFT JOIN m q ON q.k = m.k[1:m.depth - 1] AND m.depth > 0
+    """,
+)
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.trie import prefix_trie, spliced
+
+    return prefix_trie(spliced(table(spark, folder, "conversations")))
+
+
 def tokenizer_path() -> str:
     """The tokenizer's place in the installed vocabulary package, the same on every machine."""
     import public_tokenizers
