@@ -169,6 +169,35 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie(spliced(table(spark, folder, "conversations")))
 
 
+@query(
+    "op13_source_divergence",
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3),
+    c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY 1, 2, 3),
+    v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY 1),
+    g AS (SELECT e.lang, e.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = e.lang AND c.source = e.source), 0) + coalesce(v.v, 0) AS whole
+          FROM (SELECT DISTINCT lang, source FROM d) e LEFT JOIN v ON v.lang = e.lang),
+    p AS (SELECT g.lang, g.source, k.term, 1 + (1000000000 * (coalesce(c.n, 0)::HUGEINT + 1)) // g.whole AS p, coalesce(c.n, 0) AS n,
+                 1 + (1000000000 * (k.total::HUGEINT + 1)) // (v.n + v.v) AS q
+          FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+          FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+    r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+          UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM p WHERE n > 0 AND p > q),
+    o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM r)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank FROM o WHERE part = 'pair' OR rank <= 200
+    """,
+)
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    from tidemark.llm.divergence import divergence
+
+    return divergence(table(spark, folder, "documents"))
+
+
 def tokenizer_path() -> str:
     """The tokenizer's place in the installed vocabulary package, the same on every machine."""
     import public_tokenizers
