@@ -114,7 +114,7 @@ def shard_levels(conv: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words
     """The nodes of a shard by depth. Rows are put in order band by band: a lexsort by the node reached and the band's columns.
 
     A change of a column anywhere up to a depth, accumulated by OR, starts a node there. Rows that have ended leave before the next
-    band, so padding never exceeds a band. Each level holds `start` (first row of each node, as a row number),
+    band, so padding never exceeds a band. Each level holds, for its nodes in order,
     `parent` (index in the level above), counts, smallest ids, words of the last turn and the ids that end there.
     """
     offsets = np.r_[0, np.cumsum(lengths)][:-1]
@@ -122,7 +122,7 @@ def shard_levels(conv: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words
     group = np.zeros(len(rows), np.int64)
     ended = rows[lengths[rows] == 0]
     levels = [{
-        "start": rows[:1], "parent": np.zeros(1, np.int64), "n": np.array([len(rows)]), "least": conv[rows[:1]],
+        "parent": np.zeros(1, np.int64), "n": np.array([len(rows)]), "least": conv[rows[:1]],
         "words": np.zeros(1, np.int64), "ends": conv[ended], "end_of": np.zeros(len(ended), np.int64),
     }]
     at, longest = 0, int(lengths.max(initial=0))
@@ -150,7 +150,7 @@ def shard_levels(conv: np.ndarray, lengths: np.ndarray, codes: np.ndarray, words
             first, ids = there[start], conv[rows[there]]
             last = there[lengths[rows[there]] == at + j + 1]
             levels.append({
-                "start": rows[first], "parent": above[first], "n": np.diff(np.r_[start, len(there)]), "least": np.minimum.reduceat(ids, start),
+                "parent": above[first], "n": np.diff(np.r_[start, len(there)]), "least": np.minimum.reduceat(ids, start),
                 "words": words[offsets[rows[first]] + at + j].astype(np.int64), "ends": conv[rows[last]], "end_of": node[last],
             })
             above = node
