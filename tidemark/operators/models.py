@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -31,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.values import ratio
+from tidemark.operators import moments
+from tidemark.operators.lasso import homotopy
 from tidemark.operators.order import quantile_bins, row_index
 
 # Columns left out of the models (ids, raw prices and their averages).
@@ -228,29 +229,22 @@ def cross_validate(
     return search
 
 
+def vector_size(df: DataFrame, vector: str = "features") -> int:
+    """Length of a vector column, from its metadata or else from its first row."""
+    known = df.schema[vector].metadata.get("ml_attr", {}).get("num_attrs")
+    if known is None:
+        first = df.select(vector).filter(F.col(vector).isNotNull()).first()
+        known = first[0].size if first else 0
+    return known
+
+
 def fold_products(train: DataFrame, label: str, keys: Sequence[str], folds: int, vector: str = "features") -> list[np.ndarray]:
     """Sums of products of (1, features, label) over the rows of each fold: all a linear fit needs to know.
 
-    One pass over the rows. Only one matrix per fold reaches the driver.
+    One pass over the rows; the triangle of each fold's matrix reaches the driver as a few arrays.
     """
-    rows = with_fold(train, keys, folds).select("fold", vector_to_array(vector).alias("x"), F.col(label).cast("double").alias("y")).dropna()
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for fold, part in batch.groupby("fold"):
-                z = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_list()), part["y"].to_numpy()])
-                sums[fold] = sums.get(fold, 0) + z.T @ z
-        for fold, m in sums.items():
-            at = np.indices(m.shape).reshape(2, -1)
-            yield pd.DataFrame({"fold": fold, "i": at[0], "j": at[1], "s": m.ravel()})
-
-    found = rows.mapInPandas(products, "fold int, i int, j int, s double").groupBy("fold", "i", "j").agg(F.sum("s").alias("s")).collect()
-    size = 1 + max((r["i"] for r in found), default=0)
-    matrices = [np.zeros((size, size)) for _ in range(folds)]
-    for r in found:
-        matrices[r["fold"]][r["i"], r["j"]] = r["s"]
-    return matrices
+    size = vector_size(train, vector) + 2
+    return moments.trimmed(moments.product_matrices(with_fold(train, keys, folds), F.col("fold"), folds, vector, label), size)
 
 
 def _centred(products: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -260,34 +254,24 @@ def _centred(products: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
     return n, means, products[1:, 1:] / n - np.outer(means, means)
 
 
-def lasso_coefficients(covariance: np.ndarray, penalties: Sequence[float], standardize: bool = True) -> np.ndarray:
-    """Lasso slopes for falling penalties by coordinate descent on the covariances of (features, label)."""
+def _scaled(covariance: np.ndarray, standardize: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gram matrix and target correlations of the features, and what their slopes are to be divided by."""
     d = len(covariance) - 1
     spread = np.sqrt(np.maximum(np.diag(covariance)[:d], 0))
     scale = np.where(spread > 1e-12, spread if standardize else 1.0, np.inf)  # a constant feature stays out
-    gram, target = covariance[:d, :d] / np.outer(scale, scale), covariance[:d, d] / scale
-    beta, out = np.zeros(d), []
-    live = np.flatnonzero(np.diag(gram) > 0)
-    for penalty in penalties:
-        for _ in range(10_000):
-            step = 0.0
-            for j in live:
-                pull = target[j] - gram[j] @ beta + gram[j, j] * beta[j]
-                moved = np.sign(pull) * max(abs(pull) - penalty, 0.0) / gram[j, j]
-                step = max(step, abs(moved - beta[j]) * np.sqrt(gram[j, j]))
-                beta[j] = moved
-            if step < 1e-10 * max(1e-12, np.sqrt(covariance[d, d])):
-                break
-        out.append(beta / scale)
-    return np.array(out)
+    return covariance[:d, :d] / np.outer(scale, scale), covariance[:d, d] / scale, scale
+
+
+def lasso_coefficients(covariance: np.ndarray, penalties: Sequence[float], standardize: bool = True) -> np.ndarray:
+    """Lasso slopes for falling penalties from the covariances of (features, label)."""
+    gram, target, scale = _scaled(covariance, standardize)
+    return homotopy(gram, target, penalties) / scale
 
 
 def penalty_path(covariance: np.ndarray, standardize: bool = True, steps: int = PATH_STEPS, ratio_: float = PATH_RATIO) -> np.ndarray:
     """Falling penalties from the smallest that leaves no feature in."""
-    d = len(covariance) - 1
-    spread = np.sqrt(np.maximum(np.diag(covariance)[:d], 0))
-    scale = np.where(spread > 1e-12, spread if standardize else 1.0, np.inf)
-    return np.abs(covariance[:d, d] / scale).max() * np.logspace(0, np.log10(ratio_), steps)
+    target = _scaled(covariance, standardize)[1]
+    return np.abs(target).max(initial=0.0) * np.logspace(0, np.log10(ratio_), steps)
 
 
 @dataclass
@@ -311,16 +295,18 @@ def lasso_path(
 
     The rows are read once, whatever the number of folds and penalties; fits and errors follow from the fold products.
     """
-    matrices = fold_products(train, label, keys, folds)
+    matrices = [m for m in fold_products(train, label, keys, folds) if m[0, 0] > 0]
+    if not matrices:
+        raise ValueError("no complete rows to fit")
     _, means, whole = _centred(sum(matrices))
     path = penalty_path(whole, standardize) if penalties is None else np.sort(np.asarray(penalties, float))[::-1]
     errors = []
-    for held in matrices:
+    for held in matrices if len(matrices) > 1 else []:
         _, inner_means, inner = _centred(sum(matrices) - held)
         slopes = lasso_coefficients(inner, path, standardize)
         weights = np.column_stack([inner_means[-1] - slopes @ inner_means[:-1], slopes, -np.ones(len(path))])
         errors.append(((weights @ held) * weights).sum(1) / held[0, 0])
-    mean = np.mean(errors, axis=0)
+    mean = np.mean(errors, axis=0) if errors else np.zeros(len(path))  # one fold cannot judge
     slopes = lasso_coefficients(whole, path, standardize)[int(np.argmin(mean))]
     return LassoPath(path, mean, slopes, float(means[-1] - slopes @ means[:-1]))
 

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tidemark.config import DAILY, TREE
-from tidemark.operators import models, windows
+from tidemark.operators import forests, models, windows
 from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.summary_queries import edges_sql
@@ -206,11 +206,35 @@ def _(t):
     return models.coefficient_table(t.spark, models.lasso("RET", 0.001).fit(data), ["sprtrn"])
 
 
+def _judged(scored, test):
+    """Errors of predictions that stand in a table of their own."""
+    return models.metrics(scored.join(test.select(*KEYS, TARGET), KEYS), TARGET, "pred_forest")
+
+
 @query("i06_forest", METRICS)
 def _(t):
-    """100 trees over all features at the depth of the grid's shallow half; the deep half is left to users, for its time."""
-    _, scored, name = _fitted(t, models.forest(TARGET, maxDepth=10), "pred_forest")
-    return models.metrics(scored, TARGET, name)
+    """100 trees over all features, each grown until its leaves are pure."""
+    data = prepared(t)
+    test = data.filter("NOT is_train")
+    forest = forests.grow_forest(data.filter("is_train"), TARGET, KEYS)
+    return _judged(forests.forest_scores(forest, test, KEYS).withColumnRenamed("s0", "pred_forest"), test)
+
+
+EXACT = ["VOL", "RET", "total", "positive", "dummy_negative"]
+
+
+@query(
+    "i06_deep_tree_exact",
+    "TICKER:s date:d prediction:f9",
+    f"""SELECT TICKER, date, avg(tomorrow_return) OVER (PARTITION BY {", ".join(EXACT)}) AS prediction
+        FROM features WHERE tomorrow_return IS NOT NULL""",
+    ["features"],
+)
+def _(t):
+    """One tree without bagging or limits tells all rows apart that differ in any feature, so it predicts the mean of equal rows."""
+    rows = t.features("daily", "prices").filter(C(TARGET).isNotNull()).select(*KEYS, TARGET, *EXACT)
+    data = materialise(VectorAssembler(inputCols=EXACT, outputCol="features").transform(rows).select(*KEYS, TARGET, "features"))
+    return forests.forest_scores(forests.grow_forest(data, TARGET, KEYS, trees=1), data, KEYS).withColumnRenamed("s0", "prediction")
 
 
 @query("i06_forest_one_feature", "dummy_total:i prediction:f9", f"{GROUP_MEANS}", ["features"])
@@ -221,11 +245,24 @@ def _(t):
     return fit.transform(data).groupBy("dummy_total").agg(F.avg("pred_forest").alias("prediction"))
 
 
+def _forest_search(t):
+    data = prepared(t)
+    train = materialise(models.with_fold(data.filter("is_train"), KEYS, 3).select(*KEYS, TARGET, "features", "fold"))
+    return data, forests.search_forest(train, TARGET, KEYS)
+
+
 @query("i06_forest_grid", METRICS)
 def _(t):
-    data = prepared(t)
-    search = models.forest_cv(data.filter("is_train"), TARGET, KEYS, {**models.FOREST_GRID, "maxDepth": [10]})
-    return models.metrics(search.model.transform(data.filter("NOT is_train")), TARGET, "pred_forest")
+    """All 16 settings over three folds; the best one's forest on the test rows."""
+    data, search = _forest_search(t)
+    test = data.filter("NOT is_train")
+    return _judged(search.predict(test, KEYS), test)
+
+
+@query("i14_forest_grid_table", "trees:i depth:i min_split:i min_leaf:i score:f best:b")
+def _(t):
+    """The mean R2 of every setting of the forest search."""
+    return _forest_search(t)[1].table
 
 
 @query("i07_boosted_trees", METRICS)
