@@ -19,22 +19,27 @@ TREES = 4
 FIT_ROWS = 16384
 #: Fitted rows that a leaf needs, rows per leaf that the depth aims at, and rows of a block in a task.
 LEAF_FIT_ROWS = 32
-LEAF_ROWS = 512
+LEAF_ROWS = 16
 BLOCK_ROWS = 1024
 #: Half width of the overlap at a split, as a multiple of the spread that linked vectors show there.
 SPILL = 0.8
 
 
 def fit_forest(sample: np.ndarray, depth: int, trees: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per tree the directions and thresholds of the inner nodes, heap order; splits at random quantiles around the middle."""
+    """Per tree the directions and thresholds of the inner nodes, heap order; splits at random quantiles around the middle.
+
+    A node needs LEAF_FIT_ROWS fitted rows a side for a split of its own. Below that depth the nodes of a level share one more direction,
+    cut in the middle of the whole sample: a large label is split on, as far as it takes, by a tree of bounded size.
+    """
     made = []
+    own = min(depth, int(math.log2(max(1, len(sample) / LEAF_FIT_ROWS))))
     for tree in range(trees):
         draw = np.random.default_rng([seed, tree])
-        inner = (1 << depth) - 1
-        directions = draw.standard_normal((inner, sample.shape[1]))
+        inner = (1 << own) - 1
+        directions = draw.standard_normal((inner + depth - own, sample.shape[1]))
         directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-300)
-        share = draw.uniform(0.4, 0.6, inner)
-        cuts = np.zeros(inner)
+        share = draw.uniform(0.4, 0.6, inner + depth - own)
+        cuts = np.zeros(inner + depth - own)
         held = {0: np.arange(len(sample))}
         for node in range(inner):
             rows = held.pop(node, np.zeros(0, np.int64))
@@ -43,27 +48,34 @@ def fit_forest(sample: np.ndarray, depth: int, trees: int, seed: int) -> list[tu
             along = sample[rows] @ directions[node]
             cuts[node] = np.quantile(along, share[node])
             held[2 * node + 1], held[2 * node + 2] = rows[along <= cuts[node]], rows[along > cuts[node]]
+        for at in range(inner, len(cuts)):
+            cuts[at] = np.quantile(sample @ directions[at], share[at])
         made.append((directions, cuts))
     return made
 
 
-def leaves_of(vectors: np.ndarray, forest: list[tuple[np.ndarray, np.ndarray]], depth: int, spill: float) -> list[list[int]]:
-    """Leaf numbers of each vector, ascending: tree * 2**depth + leaf; more than one per tree near a split."""
+def leaves_of(vectors: np.ndarray, forest: list[tuple[np.ndarray, np.ndarray]], depth: int, spill: float, own: int | None = None) -> list[list[int]]:
+    """Leaf numbers of each vector at some depth, ascending: tree * 2**depth + leaf; more than one per tree near a split.
+
+    `own` is the depth to which nodes have splits of their own; by default the whole.
+    """
+    own = depth if own is None else own
     out: list[list[int]] = [[] for _ in range(len(vectors))]
-    first = (1 << depth) - 1
     for tree, (directions, cuts) in enumerate(forest):
         held = {0: np.arange(len(vectors))}
-        for node in range(first):
-            rows = held.pop(node, None)
-            if rows is None or len(rows) == 0:
-                continue
-            along = vectors[rows] @ directions[node] - cuts[node]
-            for child, chosen in ((2 * node + 1, rows[along <= spill]), (2 * node + 2, rows[along >= -spill])):
-                if len(chosen):
-                    held[child] = chosen
+        for level in range(depth):
+            below: dict[int, np.ndarray] = {}
+            for node in sorted(held):
+                rows = held[node]
+                at = (1 << level) - 1 + node if level < own else (1 << own) - 1 + level - own
+                along = vectors[rows] @ directions[at] - cuts[at]
+                for child, chosen in ((2 * node, rows[along <= spill]), (2 * node + 1, rows[along >= -spill])):
+                    if len(chosen):
+                        below[child] = chosen
+            held = below
         for node in sorted(held):
             for row in held[node]:
-                out[row].append((tree << depth) + node - first)
+                out[row].append((tree << depth) + node)
     return out
 
 
@@ -78,12 +90,10 @@ def _index(forests: dict[int, tuple[int, list]], least: float):
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            sizes = part["embedding"].map(len).to_numpy()
-            for size in np.unique(sizes):
-                rows = part[sizes == size]
+            for (size, depth), rows in part.groupby([part["embedding"].map(len), "depth"]):
                 x = _unit(rows["embedding"].to_list())
-                depth, forest = forests.get(int(size), (0, []))
-                leaves = leaves_of(x, forest, depth, SPILL * spread / math.sqrt(size)) if forest else [[0]] * len(rows)
+                own, forest = forests[int(size)]
+                leaves = leaves_of(x, forest, int(depth), SPILL * spread / math.sqrt(size), own)
                 yield pd.DataFrame({"rep": rows["rep"].to_numpy(), "label": rows["label"].to_numpy(), "copies": rows["copies"].to_numpy(), "size": int(size), "unit": list(x), "leaves": leaves})
 
     return mapped
@@ -98,22 +108,21 @@ def _padded(lists, below: int, fill: int) -> np.ndarray:
 
 
 def _compare(least: float):
-    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+    def cell_links(leaf: int, low: int, high: int, ids, copies, block, unit: list, leaves: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Links between the blocks `low` and `high` of one leaf, reduced to a sum and one edge per row.
 
         A pair that meets in several leaves is counted in the smallest leaf number both have.
         """
-        low, high = int(cell["low"].iloc[0]), int(cell["high"].iloc[0])
-        leaf = int(cell["leaf"].iloc[0])
-        ids, copies, block = cell["rep"].to_numpy(), cell["copies"].to_numpy(), cell["block"].to_numpy()
         left = np.flatnonzero(block == low)
         right = left if low == high else np.flatnonzero(block == high)
-        x = np.stack(cell["unit"].to_list())
+        x = np.stack(unit)
         a, b = np.nonzero(x[left] @ x[right].T >= least)
         a, b = left[a], right[b]
         if low == high:
             a, b = a[a < b], b[a < b]
-        ours, theirs = _padded(cell["leaves"], leaf, -1), _padded(cell["leaves"], leaf, -2)
+        if not len(a):
+            return ids[:0], ids[:0], ids[:0]
+        ours, theirs = _padded(leaves, leaf, -1), _padded(leaves, leaf, -2)
         met = np.zeros(len(a), bool)
         for at in range(0, len(a), 65536):
             s = slice(at, at + 65536)
@@ -124,7 +133,18 @@ def _compare(least: float):
         np.add.at(links, b[~met], copies[a[~met]])
         root = local_roots(len(ids), a, b)
         told = np.flatnonzero((links > 0) | (root != np.arange(len(ids))))
-        return pd.DataFrame({"rep": ids[told], "other": ids[root[told]], "links": links[told]})
+        return ids[told], ids[root[told]], links[told]
+
+    def compare(lot: pd.DataFrame) -> pd.DataFrame:
+        """The cells of a lot, one after the other: most leaves are small, so a task takes many."""
+        ids, copies, block = lot["rep"].to_numpy(), lot["copies"].to_numpy(), lot["block"].to_numpy()
+        unit, leaves = lot["unit"].to_numpy(), lot["leaves"].to_numpy()
+        found = [
+            cell_links(int(leaf), int(low), int(high), ids[at], copies[at], block[at], list(unit[at]), list(leaves[at]))
+            for (_, _, leaf, low, high), at in lot.groupby(["label", "size", "leaf", "low", "high"]).indices.items() if len(at) > 1
+        ]
+        rep, other, links = (np.concatenate(part) for part in zip(*found)) if found else (ids[:0], ids[:0], ids[:0])
+        return pd.DataFrame({"rep": rep, "other": other, "links": links})
 
     return compare
 
@@ -133,7 +153,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, se
     """vec_id, n_links, component_id and kept of every vector; links are cosines of `least` or more within a label.
 
     Equal vectors of a label are one node with a weight. The trees are fitted on at most FIT_ROWS nodes (the
-    smallest hashes of their ids) and index every node; vectors near a split go to both sides. Nodes of a leaf and label
+    smallest hashes of their ids) and index every node, to a depth that the size of its label asks for (`leaf_rows` nodes a leaf); vectors
+    near a split go to both sides. Nodes of a leaf and label
     are compared exactly; a leaf of more than `block_rows` nodes is cut into blocks whose pairs are tasks of their
     own. Compared pairs give one row per node and task: a sum of links and an edge.
 
@@ -157,25 +178,32 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, se
             F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("embedding")
         )
     )
-    forests = _fit(nodes, trees, seed, leaf_rows)
+    # as many levels as the nodes of the label ask for
+    levels = F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / leaf_rows))).cast("int")
+    depths = materialise(nodes.groupBy("label").agg(levels.alias("depth")))
+    forests = _fit(nodes, depths, trees, seed)
     indexed = materialise(
-        nodes.select("rep", "label", "copies", "embedding").mapInPandas(
+        nodes.join(depths, "label").select("rep", "label", "copies", "embedding", "depth").mapInPandas(
             _index(forests, least), "rep long, label long, copies long, size int, unit array<double>, leaves array<long>"
         )
     )
     leaf = ["label", "size", "leaf"]
     filed = indexed.select("*", F.explode("leaves").alias("leaf"))
-    blocks = materialise(filed.groupBy(*leaf).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
+    sized = filed.groupBy(*leaf).agg(F.count(F.lit(1)).alias("rows"))
+    blocks = materialise(sized.withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("int")))
     celled = (
-        filed.join(blocks, leaf)
+        filed.join(blocks.drop("rows"), leaf)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "_other"))
         .withColumn("high", F.greatest("block", "_other"))
     )
+    rows_to_meet = blocks.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0
+    lots = max(1, rows_to_meet // (4 * block_rows))
     found = materialise(
         celled.select("rep", "copies", "unit", "leaves", "block", "low", "high", *leaf)
-        .groupBy(*leaf, "low", "high").applyInPandas(_compare(least), "rep long, other long, links long")
+        .withColumn("lot", F.pmod(F.xxhash64(*leaf, "low", "high"), F.lit(lots)))
+        .groupBy("lot").applyInPandas(_compare(least), "rep long, other long, links long")
     )
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found, "rep", "other").withColumnRenamed("node", "rep")
@@ -191,15 +219,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, trees: int = TREES, se
     )
 
 
-def _fit(nodes: DataFrame, trees: int, seed: int, leaf_rows: int) -> dict[int, tuple[int, list]]:
-    """A forest for each vector length in the fitted sample, deep enough for the label with most nodes."""
-    most = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+def _fit(nodes: DataFrame, depths: DataFrame, trees: int, seed: int) -> dict[int, tuple[int, list]]:
+    """For each vector length the depth of a node's own splits and a forest deep enough for the largest label."""
+    depth = depths.agg(F.max("depth")).first()[0] or 0
     drawn = nodes.orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("embedding").toPandas()
+    known = {int(r[0]) for r in nodes.select(F.size("embedding")).distinct().collect()}
     forests = {}
     sizes = drawn["embedding"].map(len).to_numpy() if len(drawn) else np.zeros(0, int)
-    for size in np.unique(sizes):
-        sample = _unit(drawn["embedding"][sizes == size].to_list())
-        wanted = math.ceil(math.log2(max(1.0, most / leaf_rows)))
-        depth = max(0, min(wanted, int(math.log2(max(1, len(sample) / LEAF_FIT_ROWS)))))
-        forests[int(size)] = (depth, fit_forest(sample, depth, trees, seed)) if depth else (0, [])
+    for size in known:
+        drawn_here = drawn["embedding"][sizes == size].to_list()
+        # a length too rare to be in the sample is split by directions alone
+        sample = _unit(drawn_here) if drawn_here else np.zeros((1, size))
+        forests[size] = (min(depth, int(math.log2(max(1, len(sample) / LEAF_FIT_ROWS)))), fit_forest(sample, depth, trees, seed))
     return forests
