@@ -74,7 +74,21 @@ def op4_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return archive_round_trip(table(spark, folder, "pages"), scratch_path(spark, "archives"))
 
 
-@query("op6_interleaved_shards")
+@query(
+    "op6_interleaved_shards",
+    """
+    WITH z AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))) AS t),
+    b AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS h, coalesce('=' || source, '') AS s FROM documents),
+    c AS (SELECT doc_id, size, s, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2),
+              lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) AS crc FROM b CROSS JOIN z),
+    d AS (SELECT *, md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || crc::VARCHAR) AS draw FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY draw, doc_id NULLS FIRST, crc, size) - 1 AS k, count(*) OVER (PARTITION BY s) AS n, count(*) OVER () AS total FROM d),
+    p AS (SELECT *, row_number() OVER (ORDER BY (k + 0.5::DOUBLE) / n, s, k) - 1 AS place FROM r),
+    f AS (SELECT *, place * 40 // total AS shard FROM p)
+    SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+           (place - (shard * total + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM f
+    """,
+)
 def op6_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.sharding import interleaved_shards
 
