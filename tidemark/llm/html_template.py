@@ -41,14 +41,22 @@ MAIN = frozenset(("article", "main"))
 FURNITURE_WORDS = frozenset(
     "nav navbar navigation navi menu footer sidebar aside ad ads advert adverts advertisement advertising banner cookie cookies consent notice notices "
     "comment comments disqus promo sponsor sponsored share sharing social related recommended breadcrumb breadcrumbs popup modal newsletter subscribe "
-    "login signup search widget toolbar masthead pagination pager skip copyright".split()
+    "login signup search widget toolbar masthead pagination pager skip copyright respond replies commentlist commentform adsbygoogle".split()
 )
+#: Those of them that mark a name of several words by standing first or last in it.
+FURNITURE_ENDS = frozenset(
+    "nav navbar navigation menu footer sidebar ad ads advert adverts advertisement banner cookie cookies consent comment comments disqus promo "
+    "sponsored breadcrumb breadcrumbs popup modal newsletter pagination pager widget".split()
+)
+#: Words of a name that speaks of the whole, or of furniture that is elsewhere or missing: such an element is left to the template.
+WHOLE_WORDS = frozenset("content main post article entry story page site body layout wrapper wrap with without has have no not open closed off".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I | re.S)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)(?!\s*=\s*[\"']?until-found)|(?:^|\s)style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
@@ -79,7 +87,7 @@ def blocks_of(source: str | None, opened: list[str] | None = None) -> list[Block
     # tag, label, within main, an article, a main or article that furniture by name holds, furniture by element, furniture by name
     stack: list[tuple[str, str, bool, bool, bool, bool, bool]] = []
     blocks: list[Block] = []
-    links = 0
+    links = link_depth = 0
     fresh = True
 
     def put(text: str) -> None:
@@ -112,11 +120,11 @@ def blocks_of(source: str | None, opened: list[str] | None = None) -> list[Block
         tag, closing, rest = tag.lower(), bool(found["close"]), found["rest"] or ""
         if tag == "br":
             put(" ")
-        elif tag == "a":
-            links = 0 if closing else 1
         elif tag in INLINE:
-            if not closing and _furniture_words(rest):
+            if not closing and (_furniture_words(rest) or _HIDDEN.search(rest)):
                 at = _past(source, at, tag)
+            elif tag == "a":
+                links, link_depth = (0, 0) if closing else (1, len(stack))
         elif tag in RAW:
             if not closing and not rest.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -130,11 +138,13 @@ def blocks_of(source: str | None, opened: list[str] | None = None) -> list[Block
                 open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if open_at is not None:
                     del stack[open_at:]
+                if len(stack) < link_depth:  # a link that is never closed ends with the element around it
+                    links = link_depth = 0
                 continue
             _close_implied(stack, tag)
             main, article, lifted, hard, named = stack[-1][2:] if stack else (False,) * 5
             names = _names(rest)
-            hard = hard or tag in FURNITURE or (tag == "header" and not main)
+            hard = hard or tag in FURNITURE or (tag == "header" and not main) or (tag not in PAGE and _HIDDEN.search(rest) is not None)
             if tag in MAIN and not hard:  # what holds an article is no furniture, whatever it is called
                 main, lifted, named = True, lifted or named, False
                 article = article or (tag == "article" and not lifted)
@@ -165,7 +175,10 @@ def _names(rest: str) -> set[str]:
 
 
 def _furniture_words(rest: str) -> bool:
-    """True if a class, id or role consists of furniture words; one that merely contains such a word is left to the template."""
+    """True if a class, id or role consists of furniture words, or begins or ends with a sure one.
+
+    One that merely contains such a word, or speaks of the whole, is left to the template.
+    """
     if "=" not in rest:
         return False
     for m in _ATTRIBUTE.finditer(rest):
@@ -173,6 +186,8 @@ def _furniture_words(rest: str) -> bool:
             words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
             if words and FURNITURE_WORDS.issuperset(words):
                 return True
+            if words and WHOLE_WORDS.isdisjoint(words) and not FURNITURE_ENDS.isdisjoint((words[0], words[-1])):
+                return True
     return False
 
 
