@@ -12,6 +12,32 @@ from pyspark.sql import functions as F
 from tidemark.session import materialise
 
 
+#: Doublings after which a chain of pointers must be a longer cycle, which only colliding keys can make.
+DOUBLINGS = 48
+
+
+def best_groups(links: DataFrame) -> DataFrame:
+    """(node, component) where every node a points at one b, the best of its links by a key that both ends see alike.
+
+    Along such pointers the key never falls, so each chain ends in two nodes that point at each other; the smaller names the group.
+    Chains are halved by doubling: one join a round, and as many rounds as the logarithm of the longest chain. The groups
+    are those `components` finds, under other names.
+    """
+    back = links.select(F.col("a").alias("b"), F.col("b").alias("_back"))
+    up = materialise(
+        links.join(back, "b", "left")
+        .select(F.col("a").alias("node"), F.when((F.col("_back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("up"), F.lit(True).alias("moved"))
+    )
+    for _ in range(DOUBLINGS):
+        further = up.select(F.col("node").alias("up"), F.col("up").alias("_further"))
+        up = materialise(
+            up.drop("moved").join(further, "up").select("node", F.col("_further").alias("up"), (F.col("up") != F.col("_further")).alias("moved"))
+        )
+        if up.where("moved").isEmpty():
+            return up.select("node", F.col("up").alias("component"))
+    return components(links, "a", "b")
+
+
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """(node, component) for every node with a link to another; component is the smallest node reachable.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm.common import drop_unused, gathered, ranges, runs, short_batches, slices
-from tidemark.llm.graph import components
+from tidemark.llm.graph import best_groups
 from tidemark.session import materialise
 
 WINDOW = 4096
@@ -29,6 +29,8 @@ K1, B = 1.2, 0.75
 SKETCH_TERMS, LOOKUPS = 24, 8
 #: Places a posting is compared with, and rounds in which groups of neighbours join.
 NEAR, ROUNDS = 8, 3
+#: Postings whose neighbourhoods are compared at a time.
+PAIRED_POSTINGS = 1024
 #: Bytes of text whose words are looked up together.
 BATCH_BYTES = 12_000_000
 #: Words of lower-case letters that the tokenizer's normal forms leave alone, and a place it always splits at.
@@ -240,7 +242,7 @@ def _postings(idf: np.ndarray, mean: float, frequency: np.ndarray):
                 terms, weight = terms[top], weight[top]
                 if not len(terms):
                     continue
-                sketch = np.full(SKETCH_TERMS, -1, "<i4"), np.zeros(SKETCH_TERMS, "<f4")
+                sketch = np.full(SKETCH_TERMS, -1, "<i4"), np.zeros(SKETCH_TERMS, "<f2")
                 sketch[0][: len(terms)], sketch[1][: len(terms)] = terms, weight
                 rare = terms[np.argsort(frequency[terms], kind="stable")[:LOOKUPS]]
                 mixed = (terms[None, :].astype(np.uint64) + np.uint64(1)) * (rare[:, None].astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
@@ -257,32 +259,38 @@ def _postings(idf: np.ndarray, mean: float, frequency: np.ndarray):
     return mapped
 
 
+def _common_weight(ids: np.ndarray, weight: np.ndarray, other_ids: np.ndarray, other_weight: np.ndarray) -> np.ndarray:
+    """The BM25 weight, both ways, of the terms that two rows of sketches have in common."""
+    same = ids[:, :, None] == other_ids[:, None, :]
+    same &= (ids >= 0)[:, :, None]
+    return (same.any(2) * weight).sum(1) + (same.any(1) * other_weight).sum(1)
+
+
 def _pairs(batches) -> Iterator[pa.RecordBatch]:
     """Of postings in order, the best two documents before each and the best after it: a, b and the BM25 weight both ways of common terms."""
     term, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
     ids, weight = np.zeros((0, SKETCH_TERMS), np.int32), np.zeros((0, SKETCH_TERMS), np.float32)
-    for batch in slices(batches):
+    for batch in slices(batches, PAIRED_POSTINGS):
         old = len(term)
         raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         term, row = np.r_[term, batch.column(0).to_numpy()], np.r_[row, batch.column(3).to_numpy()]
         ids = np.r_[ids, np.ascontiguousarray(raw[:, : 4 * SKETCH_TERMS]).view("<i4")]
-        weight = np.r_[weight, np.ascontiguousarray(raw[:, 4 * SKETCH_TERMS :]).view("<f4")]
+        weight = np.r_[weight, np.ascontiguousarray(raw[:, 4 * SKETCH_TERMS :]).view("<f2").astype(np.float32)]
         score = np.zeros((len(term), NEAR))
         for back in range(1, min(NEAR, len(term) - 1) + 1):
             at = np.arange(max(old, back), len(term))
             at = at[term[at] == term[at - back]]
-            same = (ids[at][:, :, None] == ids[at - back][:, None, :]) & (ids[at] >= 0)[:, :, None]
-            score[at, back - 1] = (same * (weight[at][:, :, None] + weight[at - back][:, None, :])).sum((1, 2))
+            score[at, back - 1] = _common_weight(ids[at], weight[at], ids[at - back], weight[at - back])
+        ahead = np.zeros_like(score)  # the same scores, seen from the document before
+        for back in range(1, min(NEAR, len(term) - 1) + 1):
+            ahead[:-back, back - 1] = score[back:, back - 1]
         best = np.argsort(-score, axis=1, kind="stable")[:, :2]
-        pairs = {(i, int(b)) for i in range(old, len(term)) for b in best[i] if score[i, b] > 0}
-        for i in range(len(term)):  # the best of those that follow in reach
-            ahead = [(score[i + back, back - 1], -back) for back in range(1, NEAR + 1) if old <= i + back < len(term)]
-            if ahead and max(ahead)[0] > 0:
-                back = -max(ahead)[1]
-                pairs.add((i + back, back - 1))
-        made = sorted(pairs)
-        if made:
-            i, b = np.array(made).T
+        nearest = ahead.argmax(1)  # the nearest of the best that follow in reach
+        i = np.r_[np.repeat(np.arange(old, len(term)), 2), np.arange(len(term)) + nearest + 1]
+        b = np.r_[best[old:].ravel(), nearest]
+        kept = np.r_[score[np.arange(old, len(term))[:, None], best[old:]].ravel() > 0, ahead.max(1) > 0]
+        i, b = np.divmod(np.unique(i[kept] * NEAR + b[kept]), NEAR)
+        if len(i):
             x, y = row[i], row[i - b - 1]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(score[i, b], pa.float64())], ["a", "b", "score"]
@@ -297,7 +305,7 @@ def _groups(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame | None, l
         both = edges.union(edges.select("b", "a", "score"))
         tie = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
         links = both.groupBy("a").agg(F.max(F.struct("score", tie.alias("tie"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        joined = materialise(components(links, "a", "b"))
+        joined = materialise(best_groups(materialise(links)))
         before = names[-1] if names else "row"
         names = [*names, f"g{at}"]
         if labels is None:
