@@ -21,6 +21,21 @@ from tidemark.session import materialise, shuffle_width
 
 # Quantile sketches are off by at most 1 / accuracy of the rows; brackets are twice as wide.
 SKETCH_ACCURACY = 1000
+# Size of a stored sketch, and the part of the rows by which its ranks may be off (for some sketches it is more: then all values are counted).
+STORED_K, STORED_ERROR = 4000, 0.0025
+
+
+def value_sketches(df: DataFrame, value: str, periods: Sequence[str]) -> DataFrame:
+    """One quantile sketch per period, to be stored: the sketches of any span can be merged without the rows."""
+    known = df.filter(F.col(value).isNotNull())
+    return known.groupBy(*periods).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(STORED_K)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def sketched_quantiles(sketches: DataFrame, ranks: Sequence[float]) -> list[float | None]:
+    """Near values of some quantiles over all the sketches given, and nothing but them read."""
+    merged = sketches.agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    found = merged.select("n", *[F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(float(r)))).alias(f"_{i}") for i, r in enumerate(ranks)]).first()
+    return [found[f"_{i}"] for i in range(len(ranks))]
 
 
 def running_total(
@@ -98,26 +113,33 @@ def value_counts_in_order(
 
 
 def counts_near(
-    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), total: str = "total"
+    df: DataFrame, value: str, probs: Sequence[float], groups: Sequence[str] = (), total: str = "total", sketches: DataFrame | None = None
 ) -> DataFrame:
     """Exact counts of the values around some quantiles; everything between is one lump each.
 
     A coarse sketch brackets every quantile. A second pass counts the values inside the brackets
     and adds up the rows between them, so a few percent of the distinct values are shuffled, not
     all of them. The result holds the groups, `value`, `n`, `before`, `lump` and the group's row
-    count; a lump stands under its smallest value.
+    count; a lump stands under its smallest value. With stored `sketches` of the same rows (without groups) the first pass is
+    not needed: the rows are read once.
     """
     probs = sorted(probs)
-    accuracy = max(SKETCH_ACCURACY, 200 * len(probs))  # many brackets are narrow ones
+    accuracy = max(SKETCH_ACCURACY, 200 * len(probs)) if sketches is None else 1 / STORED_ERROR  # many brackets are narrow ones
     marks = [min(max(p + s * 2.0 / accuracy, 0.0), 1.0) for s in (-1, 1) for p in probs]
     known = df.filter(F.col(value).isNotNull())
-    sketch = known.groupBy(*groups).agg(F.percentile_approx(F.col(value), marks, accuracy).alias("_marks"))
-    if groups:
+    if sketches is not None:
+        if groups:
+            raise ValueError("stored sketches are for a whole column")
+        marked = known.select(value)
+        at = [F.lit(m) for m in sketched_quantiles(sketches, marks)]
+    elif groups:
+        sketch = known.groupBy(*groups).agg(F.percentile_approx(F.col(value), marks, accuracy).alias("_marks"))
         # written, so that Spark knows its size and broadcasts it when small
         marked = known.select(*groups, value).join(materialise(sketch), list(groups))
         at = [F.col("_marks")[i] for i in range(len(marks))]
     else:
         marked = known.select(value)
+        sketch = known.agg(F.percentile_approx(F.col(value), marks, accuracy).alias("_marks"))
         at = [F.lit(m) for m in sketch.first()["_marks"] or [None] * len(marks)]
     v = F.col(value)
     near, passed = F.lit(False), F.lit(0)
@@ -178,10 +200,10 @@ def _neighbours(value: str, probs: Sequence[float], groups: Sequence[str]) -> Ca
     return pick
 
 
-def quantile_values(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+def quantile_values(df: DataFrame, value: str, probs: Sequence[float], sketches: DataFrame | None = None) -> list[float | None]:
     """Exact quantiles of a whole column. One row of neighbours reaches the driver."""
     pick = _neighbours(value, probs, ())
-    row = pick(counts_near(df, value, probs)).first()
+    row = pick(counts_near(df, value, probs, sketches=sketches)).first()
     if row["_missed"]:  # the sketch was off; count every distinct value instead
         row = pick(value_counts_in_order(df, value, total="total").withColumn("lump", F.lit(False))).first()
     found = []
@@ -209,13 +231,13 @@ def values_at(df: DataFrame, value: str, positions: Sequence[int], rows: int) ->
 
 
 def quantile_bins(
-    df: DataFrame, value: str, bins: int, out: str, duplicates: str = "raise", keep_edges: bool = False
+    df: DataFrame, value: str, bins: int, out: str, duplicates: str = "raise", keep_edges: bool = False, sketches: DataFrame | None = None
 ) -> DataFrame:
     """Bin by quantile edges: right closed, lowest value included, zero-based, null stays null.
 
     Equal edges are an error unless `duplicates="drop"`. The few edges enter the plan as literals.
     """
-    edges = quantile_values(df, value, [i / bins for i in range(bins + 1)])
+    edges = quantile_values(df, value, [i / bins for i in range(bins + 1)], sketches)
     if edges[0] is None:
         return df.withColumn(out, F.lit(None).cast("int"))
     # an edge equal to the one before it bounds an empty bin

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from tidemark.config import DAILY, TREE
-from tidemark.operators import forests, models, windows
+from tidemark.operators import compiled, forests, models, windows
 from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.summary_queries import edges_sql
@@ -371,6 +371,35 @@ def _(t):
     return study.score(materialise(study.feature_vectors(model_frame(t), "daily")), "daily")
 
 
+@query(
+    "i11_compiled_scores",
+    "model:s n:i off:i",
+    " UNION ALL ".join(f"SELECT '{m}' AS model, (SELECT count(*) FROM frame) AS n, 0 AS off" for m in ("lasso", "tree", "logistic", "boosted")).join(
+        [f"WITH frame AS MATERIALIZED (SELECT 1 FROM ({_complete_sql()})) ", ""]
+    ),
+    ["features"],
+)
+def _(t):
+    """Rows on which a model's expression over the plain columns differs from the fitted model: none."""
+    frame = model_frame(t)
+    numbers = [c for c in frame.columns if c not in {*KEYS, *CATEGORIES, TARGET}]
+    pipe = models.fit_features(frame, numbers, CATEGORIES)
+    vectors = materialise(models.apply_features(pipe, frame, CATEGORIES).withColumn("up", (C(TARGET) >= 0).cast("double")).select(*KEYS, *numbers, *CATEGORIES, TARGET, "up", "features"))
+    learners = {
+        "lasso": (models.lasso(TARGET, PENALTY), "lasso_pred"), "tree": (models.tree(TARGET, depth=7), "pred_forest"),
+        "logistic": (models.logistic("up"), "p_positive"), "boosted": (models.boosted(TARGET, maxIter=3, maxDepth=4), "pred_boosted"),
+    }
+    parts = None
+    for name, (learner, column) in learners.items():
+        fit = learner.fit(vectors)
+        scored = fit.transform(vectors)
+        scored = models.with_probability(scored) if name == "logistic" else scored
+        off = F.abs(C(column) - compiled.model_column(fit, pipe)) > 1e-9
+        row = scored.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(off, 1)).alias("off")).withColumn("model", F.lit(name))
+        parts = row if parts is None else parts.unionByName(row)
+    return parts
+
+
 def _quintile_edges(column: str) -> str:
     return ", ".join(f"quantile_cont({column}, {p}) AS e{i}" for i, p in enumerate((0.2, 0.4, 0.6, 0.8), 1))
 

@@ -10,7 +10,7 @@ from tidemark.plans import study
 from tidemark.plans.registry import query
 from tidemark.plans.window_queries import PREDICTIONS_SQL, WEIGHTS_SQL, predictions
 from tidemark.session import one_row, scratch_path
-from tidemark.streaming import news_counts
+from tidemark.streaming import day_upserts, news_counts
 
 C = F.col
 
@@ -248,6 +248,20 @@ def _(t):
     return study.ranked_portfolio(predicted, returns(t))
 
 
+def _feed(feed):
+    """Events as headlines with an instant, as the streams take them."""
+    words = (
+        F.when(C("event_type") == "purchase", "Positive.")
+        .when(C("event_type") == "error", "This is NEGATIVE")
+        .when(C("event_type") == "view", F.lit(None).cast("string"))
+        .otherwise("mixed")
+    )
+    return feed.select(
+        "event_id", news_counts.utc_instant("ts").alias("ts"), C("user_id").cast("string").alias("TICKER"),
+        words.alias("Sentiment"),
+    )
+
+
 @query(
     "l01_news_stream",
     "enterdate:d TICKER:s positive:i negative:i total:i",
@@ -257,20 +271,21 @@ def _(t):
 )
 def _(t):
     """Days that are closed by the watermark: those ending a day or more before the last event."""
-
-    def prepare(feed):
-        words = (
-            F.when(C("event_type") == "purchase", "Positive.")
-            .when(C("event_type") == "error", "This is NEGATIVE")
-            .when(C("event_type") == "view", F.lit(None).cast("string"))
-            .otherwise("mixed")
-        )
-        return feed.select(
-            "event_id", news_counts.utc_instant("ts").alias("ts"), C("user_id").cast("string").alias("TICKER"),
-            words.alias("Sentiment"),
-        )
-
     return news_counts.land_and_count(
-        t.spark, t.folder, t["events"].schema, "events.parquet", prepare, "ts", "TICKER", "event_id", "Sentiment",
+        t.spark, t.folder, t["events"].schema, "events.parquet", _feed, "ts", "TICKER", "event_id", "Sentiment",
         scratch_path(t.spark, "news_counts"), scratch_path(t.spark, "news_counts_state"),
     )
+
+
+@query(
+    "l01_news_upserts",
+    "enterdate:d TICKER:s positive:i negative:i total:i",
+    "SELECT enterdate, TICKER, sum(positive) AS positive, sum(negative) AS negative, sum(total) AS total FROM labelled GROUP BY 1, 2",
+    ["labelled"],
+)
+def _(t):
+    """Every day, those that a watermark would still hold back included."""
+    feed = _feed(news_counts.read_feed(t.spark, t.folder, t["events"].schema, "events.parquet"))
+    out = scratch_path(t.spark, "news_days")
+    day_upserts.run_upserts(day_upserts.day_versions(feed, "ts", "TICKER", "event_id", "Sentiment"), out, scratch_path(t.spark, "news_days_state"))
+    return day_upserts.latest_days(t.spark, out)

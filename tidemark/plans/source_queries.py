@@ -89,6 +89,14 @@ def _(t):
               CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
 )
 def _(t):
+    records = files.read_pages(t.spark, _landed_pages(t), RECORD, one_page_per_file=False)
+    return records.select("page", "id", "kind", F.from_json("props", "k bigint").k.alias("k"))
+
+
+RECORD = "id bigint, kind string, props string"
+
+
+def _landed_pages(t) -> str:
     """Pages of at most 500 records each, as the feed delivers them."""
     path = scratch_path(t.spark, "pages_json")
     record = F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "props")
@@ -97,8 +105,20 @@ def _(t):
         .agg(F.collect_list(record).alias("content"))
     )
     files.write_table(pages, path, "json")
-    records = files.read_pages(t.spark, path, "id bigint, kind string, props string", one_page_per_file=False)
-    return records.select("page", "id", "kind", F.from_json("props", "k bigint").k.alias("k"))
+    return path
+
+
+@query(
+    "a06_paged_stream",
+    "page:i id:i kind:s k:i",
+    """SELECT event_id // 500 AS page, event_id AS id, event_type AS kind,
+              CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""",
+)
+def _(t):
+    """The same pages, read as a stream that notes what it has read."""
+    records = files.stream_pages(t.spark, _landed_pages(t), RECORD, files_at_once=4)
+    landed = files.land_pages(records, scratch_path(t.spark, "pages"), scratch_path(t.spark, "pages_state"))
+    return landed.select("page", "id", "kind", F.from_json("props", "k bigint").k.alias("k"))
 
 
 @query(

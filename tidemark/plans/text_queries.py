@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import annual, order
+from tidemark.operators import annual, order, text_model
 from tidemark.plans.registry import query
+from tidemark.session import materialise
 
 C = F.col
 
@@ -93,6 +94,51 @@ def _(t):
     return text.label_with(t["conversations"].select("conv_id", "turn", "text"), "text", scorer)
 
 
+HELD_SQL = "CAST(('0x' || substr(md5('42|' || doc_id), 1, 8)) AS BIGINT) / 4294967296.0 < 0.3"
+#: The stand-in labels: toxic texts are negative, good ones positive, the others neutral.
+OPINION_SQL = "CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END"
+
+
+def _opinions(t):
+    """Documents with a label, marked as teaching or judging, and the labels of a model that the teaching ones taught."""
+    opinion = F.when(C("toxic") == 1, "negative").when(C("quality") == 1, "positive").otherwise("neutral")
+    rows = t["labels"].select("doc_id", opinion.alias("label")).join(t["documents"].select("doc_id", "text"), "doc_id")
+    rows = materialise(text_model.with_part(rows, ["doc_id"]))
+    return rows, text_model.fit_text_model(rows.where("NOT is_held_out"), "text", "label")
+
+
+@query("k05_text_model", "scorer:s n:i accuracy:f commonest:f")
+def _(t):
+    """How often the model, and the word lists beside it, name the label of documents that taught nothing."""
+    rows, model = _opinions(t)
+    held = rows.where("is_held_out")
+    labels = {"model": text_model.label_texts(model, held), "word lists": held.withColumn("Sentiment", text.word_list_label(C("text"), GOOD, BAD))}
+    tables = [text_model.agreement(df, "label", "Sentiment").withColumn("scorer", F.lit(name)) for name, df in labels.items()]
+    return tables[0].unionByName(tables[1])
+
+
+@query(
+    "k05_text_model_beats_guessing",
+    "n:i beats_commonest:b beats_word_lists:b",
+    f"""SELECT count(*) AS n, 1 AS beats_commonest, 1 AS beats_word_lists
+        FROM labels JOIN documents USING (doc_id) WHERE {HELD_SQL}""",
+)
+def _(t):
+    rows, model = _opinions(t)
+    both = text_model.label_texts(model, rows.where("is_held_out"), "learned").withColumn("listed", text.word_list_label(C("text"), GOOD, BAD))
+    learned = text_model.agreement(both, "label", "learned").select("n", C("accuracy").alias("learned"), "commonest")
+    listed = text_model.agreement(both, "label", "listed").select(C("accuracy").alias("listed"))
+    return learned.withColumn("listed", listed.scalar()).select(
+        "n", (C("learned") > C("commonest")).alias("beats_commonest"), (C("learned") > C("listed")).alias("beats_word_lists")
+    )
+
+
+@query("k05_headlines_by_model", "conv_id:i turn:i Sentiment:s")
+def _(t):
+    """The model's label of every headline."""
+    return text_model.label_texts(_opinions(t)[1], t["conversations"].select("conv_id", "turn", "text"))
+
+
 @query(
     "k06_last_line",
     "conv_id:i turn:i line:s",

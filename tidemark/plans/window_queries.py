@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from tidemark.config import DAILY
 from tidemark.operators import annual, order, portfolio, windows
 from tidemark.plans.registry import query
-from tidemark.session import materialise
 from tidemark.plans.summary_queries import edges_sql, lagged, sas_rank, stored
+from tidemark.session import materialise, scratch_path, shuffle_width
+from tidemark.sources.files import store_bucketed
 from tidemark.sources.testdata import NUMERIC
 
 C = F.col
@@ -65,6 +66,22 @@ def _(t):
     return t.features("monthly")
 
 
+def _stored_by_ticker(t, df):
+    """A table dealt and sorted by ticker, as a feature store would keep it."""
+    return store_bucketed(df, scratch_path(t.spark, "by_ticker"), "TICKER", ["date"], shuffle_width(t.spark))
+
+
+@query(
+    "e03_rolling_means_stored",
+    "TICKER:s date:d 10_day_ma:f4 20_day_ma:f4 30_day_ma:f4",
+    'SELECT TICKER, date, "10_day_ma", "20_day_ma", "30_day_ma" FROM features',
+    ["features"],
+)
+def _(t):
+    """The same averages on a table stored by ticker: no row is shuffled."""
+    return windows.with_averages(_stored_by_ticker(t, t.prices.select("TICKER", "date", "PRC")), DAILY)
+
+
 @query("e04_average_order", "TICKER:s date:d proper:b", "SELECT TICKER, date, proper FROM features", ["features"])
 def _(t):
     return windows.with_averages(t.prices, DAILY)
@@ -93,6 +110,19 @@ def _(t):
     return order.quantile_bins(stored(t.prices, "market_cap"), "market_cap", DAILY.size_bins, "comp_size")
 
 
+@query(
+    "e06_quantile_bins_from_sketches",
+    "TICKER:s date:d comp_size:i",
+    f"SELECT TICKER, date, bin AS comp_size FROM ({edges_sql('market_cap', 10, 'panel')})",
+    ["panel"],
+)
+def _(t):
+    """The same bins where a sketch per month is stored beside the rows: the edges cost one scan."""
+    rows = materialise(t.prices.select("TICKER", "date", "market_cap"))
+    sketches = materialise(order.value_sketches(rows.withColumn("month", F.trunc("date", "MM")), "market_cap", ["month"]))
+    return order.quantile_bins(rows, "market_cap", DAILY.size_bins, "comp_size", sketches=sketches)
+
+
 @query(
     "e06_quantile_bins_monthly",
     "TICKER:s date:d comp_size:i",
@@ -145,6 +175,18 @@ def _(t):
     return windows.standardise(t.features(), STANDARD)
 
 
+@query(
+    "e09_standardise_stored",
+    "TICKER:s date:d PRC:f RET:f VOL:f",
+    "SELECT TICKER, date, " + ", ".join(
+        f"({c} - avg({c}) OVER w) / nullif(stddev_samp({c}) OVER w, 0) AS {c}" for c in ("PRC", "RET", "VOL")
+    ) + " FROM panel WINDOW w AS (PARTITION BY TICKER)",
+    ["panel"],
+)
+def _(t):
+    return windows.standardise(_stored_by_ticker(t, t.prices.select("TICKER", "date", "PRC", "RET", "VOL")), ["PRC", "RET", "VOL"])
+
+
 @query("e10_percent_change", "TICKER:s DATE:d RET:f9", "SELECT TICKER, DATE, RET FROM path_returns", ["path_returns"])
 def _(t):
     return t.price_path.withColumn("RET", windows.percent_change("CLOSE"))
@@ -161,6 +203,17 @@ def _(t):
     return t.prices.select("TICKER", "date", F.ln(1 + windows.compounded("RET", "date")).alias("LOG_CUM_RET"))
 
 
+@query(
+    "e11_compounded_stored",
+    "TICKER:s date:d LOG_CUM_RET:f8",
+    """SELECT TICKER, date, ln(product(1 + RET) OVER (PARTITION BY TICKER ORDER BY date)) AS LOG_CUM_RET FROM panel""",
+    ["panel"],
+)
+def _(t):
+    rows = _stored_by_ticker(t, t.prices.select("TICKER", "date", "RET"))
+    return rows.select("TICKER", "date", F.ln(1 + windows.compounded("RET", "date")).alias("LOG_CUM_RET"))
+
+
 @query(
     "e12_tenure",
     "TICKER:s EXEC_FULLNAME:i YEAR:i o_orderkey:i TENURE:i",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,38 @@ def read_pages(
     )
 
 
+def stream_pages(spark: SparkSession, folder: str, record: T.StructType | str, files_at_once: int = 100) -> DataFrame:
+    """The records of `read_pages` as a stream over a folder in which pages (one document per line) keep landing.
+
+    The source notes in the query's checkpoint which files it has read, so a restart goes on after them; a page that lands
+    is read once. Files are opened by Spark, so they may lie in any store it can read.
+    """
+    inner = record if isinstance(record, T.StructType) else T.StructType.fromDDL(record)
+    page = T.StructType([T.StructField("page", T.LongType()), T.StructField("content", T.ArrayType(inner))])
+    return (
+        spark.readStream.schema(page).option("maxFilesPerTrigger", files_at_once).json(folder)
+        .select("page", F.explode("content").alias("record"))
+        .select("page", "record.*")
+    )
+
+
+def land_pages(records: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Append what has landed since the last run with this checkpoint to the table at `out`, and return the table."""
+    writer = records.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return records.sparkSession.read.schema(records.schema).parquet(out)
+
+
+def store_bucketed(df: DataFrame, path: str, key: str, order: Sequence[str], buckets: int) -> DataFrame:
+    """Write a table dealt into buckets by `key` and sorted within them, and return it: windows and joins by the key need no shuffle.
+
+    One file per bucket. The table's name is known to this session; its files lie at `path`.
+    """
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key, *order).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
     """Replace the table at `path`; no index column is written."""
     writer = df.write.mode("overwrite").partitionBy(*partition_by)
