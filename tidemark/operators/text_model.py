@@ -15,8 +15,8 @@ from tidemark.operators.models import hash_fraction, kept
 
 #: The three labels, in the order of their class numbers.
 LABELS = ("negative", "neutral", "positive")
-#: Places terms are hashed to, rows a term needs, and the penalty on the weights.
-PLACES, LEAST_ROWS, PENALTY = 1 << 15, 3, 0.01
+#: Places terms are hashed to, rows a term needs, and the lasso penalty on the weights, which leaves most terms out.
+PLACES, LEAST_ROWS, PENALTY = 1 << 17, 4, 0.005
 HELD_OUT = 0.3
 
 
@@ -34,7 +34,7 @@ def with_part(df: DataFrame, keys: Sequence[str], held_out: float = HELD_OUT, se
 
 
 def text_pipeline(text: str, label: str = "_class") -> Pipeline:
-    """Letters of each word and pair of neighbouring words, hashed, weighed by rarity; a linear model of the classes.
+    """Which words and pairs of neighbouring words a text holds, hashed, weighed by rarity; a sparse linear model of the classes.
 
     Vectors are sparse and of a fixed size, so nothing grows with the vocabulary. A null text counts as empty.
     """
@@ -43,9 +43,9 @@ def text_pipeline(text: str, label: str = "_class") -> Pipeline:
         RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"[^\p{L}']+", toLowercase=True),
         NGram(n=2, inputCol="_words", outputCol="_pairs"),
         SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-        HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=PLACES),
+        HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=PLACES, binary=True),
         IDF(inputCol="_counts", outputCol="_weights", minDocFreq=LEAST_ROWS),
-        LogisticRegression(featuresCol="_weights", labelCol=label, regParam=PENALTY, predictionCol="_predicted", probabilityCol="_probability", rawPredictionCol="_margin"),
+        LogisticRegression(featuresCol="_weights", labelCol=label, regParam=PENALTY, elasticNetParam=1.0, predictionCol="_predicted", probabilityCol="_probability", rawPredictionCol="_margin"),
     ])
 
 
