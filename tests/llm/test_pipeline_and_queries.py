@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, folder, name):
 
 def test_every_operator_has_one_query():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in contract.queries() if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert "pipeline" in contract.queries()
 
 
