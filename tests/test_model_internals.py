@@ -190,6 +190,40 @@ def test_one_tree_without_limits_remembers_its_rows(planted):
         assert [r["s0"] for r in rows] == pytest.approx([r["y"] for r in rows])
 
 
+def test_nodes_that_are_put_off_grow_the_same_trees(monkeypatch):
+    """Few rows at a time or all at once, as a matrix or as columns of bytes and numbers."""
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(size=900), rng.integers(0, 9, 900), rng.integers(0, 2, 900), np.ones(900)])
+    y, w = rng.normal(size=900), forests.bag_weights(rng.integers(0, 2**62, 900), 1, 1)
+    asked = rng.normal(size=(500, 4)) * 2
+    want = [forests.walk(forests.grow(x, y, w, *limits), asked, STOPS) for limits in ((1, 2, 10_000), (3, 5, 6))]
+    monkeypatch.setattr(forests, "CHUNK_ROWS", 40)
+    for columns in (x, [x[:, 0], *(x[:, c].astype(np.uint8) for c in (1, 2, 3))]):
+        got = [forests.walk(forests.grow(columns, y, w, *limits), asked, STOPS) for limits in ((1, 2, 10_000), (3, 5, 6))]
+        assert np.array(got) == pytest.approx(np.array(want))
+
+
+def test_scoring_stores_no_trees_where_the_rows_fit(planted, monkeypatch):
+    """Trees on many rows take more room than the rows; stored trees give the same scores, and more rows than fit meet those."""
+    train, test = planted.filter("fold < 2").drop("fold"), planted.filter("fold = 2").drop("fold")
+    forest = forests.grow_forest(train, "y", ["id"], trees=12)
+    want = {r["id"]: r["s0"] for r in forests.forest_scores(forest, test, ["id"]).collect()}
+    assert len(want) == test.count() and not forest._grown
+    assert forest.nodes.count() == 12
+    assert {r["id"]: r["s0"] for r in forests.forest_scores(forest, test, ["id"]).collect()} == pytest.approx(want)
+    monkeypatch.setattr(forests, "SCORED_ROWS", 50)
+    small = forests.grow_forest(train, "y", ["id"], trees=12, node_rows=700)
+    assert forests.forest_scores(small, planted, ["id"]).count() == 900 and small._grown
+
+
+def test_many_trees_of_mostly_flags_need_no_top_levels(spark):
+    """A copy of the rows per tree is dealt where there are top levels, one per lot where there are none."""
+    rows = spark.range(30).selectExpr("id", "cast(id as double) a", "cast(id % 2 as double) b", "cast(id as double) y")
+    vectors = models.apply_features(models.fit_features(rows, ["a"], ["b"]), rows, ["b"])
+    assert forests._row_values(vectors, 3) == 1 + 2 / 8
+    assert forests._row_values(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows), 2) == 2
+
+
 def test_search_reads_all_settings_off_the_freest_trees(planted):
     grid = {"trees": (2, 3), "depth": (None, 2), "min_split": (2, 40), "min_leaf": (1, 5)}
     search = forests.search_forest(planted, "y", ["id"], 3, grid)
