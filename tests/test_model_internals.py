@@ -5,6 +5,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -283,6 +284,20 @@ def test_models_score_the_same_as_text_in_both_engines(mixed, tmp_path):
         assert there == pytest.approx(want, rel=1e-12), name
 
 
+def test_vectors_are_those_of_the_stages(mixed):
+    """One pass for the categories and plain expressions give what the learners' own stages give, names included."""
+    pipe = models.fit_features(mixed, ["a b", "b"], ["kind", "flag"])
+    texts = mixed.withColumns({c: C(c).cast("string") for c in ("kind", "flag")})
+    plain = Pipeline(stages=models.feature_stages(["a b", "b"], ["kind", "flag"])).fit(texts).transform(texts)
+    got = models.apply_features(pipe, mixed, ["kind", "flag"])
+    assert got.columns == [*mixed.columns, "features"] and models.feature_names(got) == models.feature_names(plain)
+    assert got.schema["features"].metadata == plain.schema["features"].metadata
+    want = {r["id"]: r["features"] for r in plain.select("id", "features").collect()}
+    assert {r["id"]: r["features"] for r in got.select("id", "features").collect()} == want
+    # no function per category column is left in the plan
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("UDF(") <= 2
+
+
 def test_unseen_and_missing_categories_score_as_none_of_the_known(spark, mixed):
     pipe = models.fit_features(mixed, ["a b"], ["kind"])
     fit = models.lasso("y", 0.001).fit(models.apply_features(pipe, mixed, ["kind"]))

@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.values import ratio
 from tidemark.operators import moments
+from tidemark.operators.compiled import feature_texts
 from tidemark.operators.lasso import homotopy
 from tidemark.operators.order import quantile_bins, row_index
+from tidemark.session import materialise
 
 # Columns left out of the models (ids, raw prices and their averages).
 LEFT_OUT = (
@@ -132,19 +134,36 @@ def fit_features(
     """Encoders and scaler of the train rows.
 
     A category list lives on the driver and widens the vector by one place per value. A column with more than
-    `max_categories` different values is hashed instead, so its list is never gathered.
+    `max_categories` different values is hashed instead, so its list is never gathered. The categories are counted and listed from
+    the different combinations, so of the rows they take one pass; the scaler takes another.
     """
-    texts = train.withColumns({c: F.col(c).cast("string") for c in categorical})
     wide: list[str] = []
     if categorical:
-        counts = texts.agg(*[F.count_distinct(F.col(c)).alias(c) for c in categorical]).first()
+        combinations = materialise(train.select(*[F.col(c).cast("string").alias(c) for c in categorical]).distinct())
+        counts = combinations.agg(*[F.count_distinct(F.col(c)).alias(c) for c in categorical]).first()
         wide = [c for c in categorical if counts[c] > max_categories]
     listed = [c for c in categorical if c not in wide]
-    return Pipeline(stages=feature_stages(numeric, listed, wide)).fit(texts)
+    fitted, texts = [], train
+    for stage in feature_stages(numeric, listed, wide):
+        if isinstance(stage, StringIndexer):
+            stage = stage.fit(combinations)
+        elif isinstance(stage, OneHotEncoder):
+            stage = stage.fit(fitted[-1].transform(combinations))
+        elif isinstance(stage, StandardScaler):
+            stage = stage.fit(fitted[-1].transform(texts))
+        fitted.append(stage)
+    return PipelineModel(fitted)
 
 
 def apply_features(model: PipelineModel, df: DataFrame, categorical: Sequence[str] = ()) -> DataFrame:
-    return model.transform(df.withColumns({c: F.col(c).cast("string") for c in categorical}))
+    """The rows, categories as text, with their vector. Where all categories are listed, its entries are plain expressions and put together once."""
+    texts = df.withColumns({c: F.col(c).cast("string") for c in categorical})
+    if any(isinstance(stage, FeatureHasher) for stage in model.stages):
+        return model.transform(texts)
+    described = model.transform(texts.limit(0)).schema["features"].metadata
+    entries = {f"_entry{i}": F.expr(text) for i, text in enumerate(feature_texts(model))}
+    vectors = VectorAssembler(inputCols=list(entries), outputCol="features").transform(texts.withColumns(entries))
+    return vectors.select(*[F.col(f"`{c}`") for c in df.columns], F.col("features").alias("features", metadata=described))
 
 
 def feature_names(df: DataFrame, vector: str = "features") -> list[str]:

@@ -145,19 +145,21 @@ def model_numbers(features: DataFrame, freq: str) -> list[str]:
 
 
 def model_frame(features: DataFrame, freq: str, universe: str = "dowjones") -> DataFrame:
-    """Size bins and average flags, then the numbers standardised within each ticker; complete rows only.
+    """Size bins and average flags, and the numbers standardised within each ticker; complete rows only.
 
-    Written once: encoders, scalers and every fitting round read it again.
+    Written once, before the bins, which are a few comparisons: encoders, scalers and every fitting round read it again. The numbers are
+    standardised on the shuffle by ticker that the features came from.
     """
     target = config.BY_NAME[freq].target
     numbers, categories, flags = model_numbers(features, freq), model_categories(freq), average_flags(freq)
     whole = features.dropna() if universe in config.WHOLE_ROWS_ONLY else features
     plain = [c for c in categories if c != "comp_size" and c not in flags]
     flagged = whole.withColumns({name: windows.average_above_price(C(f"`{c}`"), C("PRC")) for name, c in flags.items()})
-    stored = materialise(flagged.select(*KEYS, *numbers, *plain, *flags, "market_cap", target))
+    scaled = windows.standardise(flagged.select(*KEYS, *numbers, *plain, *flags, "market_cap", target), numbers)
+    stored = materialise(scaled)
+    # edges are of all rows; the rest reads complete rows
     binned = order.quantile_bins(stored, "market_cap", 10, "comp_size", duplicates="drop")
-    scaled = windows.standardise(binned, numbers)
-    return materialise(scaled.select(*KEYS, *numbers, *categories, target).dropna())
+    return binned.select(*KEYS, *numbers, *categories, target).dropna()
 
 
 def feature_vectors(frame: DataFrame, freq: str, fraction: float | None = None) -> DataFrame:
