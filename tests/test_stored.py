@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidemark.config import DAILY
@@ -95,6 +96,70 @@ def test_late_headlines_correct_their_day(spark, tmp_path):
     assert spark.conf.get(day_upserts.STORE) == before
 
 
+class _Store:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.value, self.entries, self.calls = None, {}, 0
+
+    def getValueState(self, *_):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.entries
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.entries[key] = value
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):
+        return self.now
+
+
+def _batch(processor, now, rows):
+    given = [Row("enterdate", "bucket", "TICKER", "ident", *day_upserts.COUNTS)("d", 0, *r) for r in rows]
+    return {r["TICKER"]: r["total"] for r in processor.handleInputRows(("d", 0), iter(given), _Clock(now))}
+
+
+def test_days_of_a_bucket_take_two_calls_of_the_store():
+    store, processor = _Store(), day_upserts.DayCounts(open_for_ms=100)
+    processor.init(store)
+    assert _batch(processor, 0, [(f"T{i % 50}", i, 1, 0, 1) for i in range(500)]) == {f"T{i}": 10 for i in range(50)}
+    assert store.calls == 2
+    # repeated ids change nothing, and only days that change are handed on
+    assert _batch(processor, 60, [("T1", 1, 1, 0, 1), ("T2", 2, 1, 0, 1), ("T2", 900, 1, 0, 1)]) == {"T2": 11}
+    # a day that nothing came for is forgotten, its neighbours in the bucket are not
+    assert _batch(processor, 130, [("T1", 1, 1, 0, 1), ("T2", 900, 1, 0, 1), ("T2", None, 1, 0, 1)]) == {"T1": 1, "T2": 12}
+    assert store.calls == 6
+
+
+def test_ids_beyond_the_value_are_kept_one_by_one(spark, tmp_path):
+    feed, out, state = tmp_path / "feed", str(tmp_path / "out"), str(tmp_path / "state")
+    schema, moment = "event_id long, ts timestamp, TICKER string, Sentiment string", datetime(2024, 1, 1)
+    for ids in ([1, 2, 3, 4], [4, 5, 1, 3], [6, 6, 2]):
+        data = [(i, moment, name, "Positive") for i in ids for name in ("T", None)]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(feed))
+        stream = spark.readStream.schema(schema).parquet(str(feed))
+        day_upserts.run_upserts(day_upserts.day_versions(stream, "ts", "TICKER", "event_id", "Sentiment", inline_ids=2), out, state)
+    assert {r["TICKER"]: r["total"] for r in day_upserts.latest_days(spark, out).collect()} == {"T": 6, None: 6}
+
+
 def test_text_model_learns_words_and_keeps_nulls(spark):
     rng = random.Random(5)
     words = {"positive": ["fine", "good"], "negative": ["awful", "bad"], "neutral": ["table", "chair"]}
