@@ -139,6 +139,24 @@ def test_correlations_on_complete_rows(spark):
     assert got["x", "y"] == pytest.approx(want[0, 1]) and got["y", "z"] == pytest.approx(want[1, 2])
 
 
+def test_correlations_read_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rng = np.random.default_rng(1)
+    data = [(float(a), float(b), 0.1) for a, b in rng.normal(size=(300, 2)) * [1, 1e-3] + [1e6, 5]]
+
+    def part(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(data, "x double, y double, flat double").repartition(5).mapInArrow(part, "x double, y double, flat double")
+    got = {(r["a"], r["b"]): r["correlation"] for r in aggregates.correlations(rows, ["x", "y", "flat"]).collect()}
+    assert got["x", "y"] == pytest.approx(np.corrcoef(np.array(data)[:, :2].T)[0, 1], abs=1e-9)
+    assert got["x", "flat"] is None and got["y", "flat"] is None and seen.value == 300
+    empty = aggregates.correlations(spark.createDataFrame([], "x double, y double"), ["x", "y"]).collect()
+    assert [tuple(r) for r in empty] == [("x", "y", None)]
+
+
 def test_describe_and_box(spark):
     xs = [1.0, 2.0, 3.0, 10.0]
     df = spark.createDataFrame([("g", x) for x in xs], "g string, x double")
