@@ -7,14 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import config
 from tidemark.functions import values
-from tidemark.operators import aggregates, annual, models, order, portfolio, resample, windows
+from tidemark.operators import aggregates, annual, cells, models, order, portfolio, resample, windows
 from tidemark.session import materialise
 from tidemark.sources.files import write_table
 
@@ -229,24 +228,22 @@ def annual_predictions(
     vectors = materialise(
         VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
         .transform(factors.filter(C(target).isNotNull()))
-        .select("TICKER", "YEAR", target, "features")
+        .select("TICKER", "YEAR", target, "features", F.xxhash64(F.rand(42)).alias("_draw"))
     )
     train, test, predict = annual.split_by_year(vectors, test_year)
-    learners = [
-        models.lasso(target, penalty, standardize=False),
-        models.forest(target, seed=42),
-        models.boosted(target),
-    ]
     with models.kept(train) as rows:
-        fits = Pipeline(stages=learners).fit(rows)
+        linear = models.lasso(target, penalty, standardize=False).fit(rows)
+    places = cells.feature_places(train, "_draw")
+    # the trees learn from the years before and are asked about the others
+    celled = materialise(
+        vectors.withColumns({"cell": cells.cell_of(places), "asked": C("YEAR") >= test_year, "_learnt": F.when(C("YEAR") < test_year, C(target))})
+    )
+    wooded = cells.forest_cells(celled, "_learnt", "_draw", models.FOREST_DEFAULTS["numTrees"], models.FOREST_DEFAULTS["maxDepth"], seed=42)
+    boosted = cells.boosted_cells(celled, "_learnt", models.boosted(target))
     named = {"lasso_pred": "LR", "pred_forest": "RF", "pred_boosted": "XGB"}
-
-    def predicted(rows: DataFrame) -> DataFrame:
-        wide = fits.transform(rows).withColumnsRenamed(named)
-        return wide.unpivot(["TICKER", "YEAR", target], list(named.values()), "MODEL", "EXP")
-
-    errors = models.metrics(predicted(test), target, "EXP", ["MODEL"])
-    return errors, predicted(predict).drop(target)
+    scored = linear.transform(celled.filter("asked")).join(materialise(wooded), "cell").join(boosted, "cell").withColumnsRenamed(named)
+    long = materialise(scored.unpivot(["TICKER", "YEAR", target], list(named.values()), "MODEL", "EXP"))
+    return models.metrics(long.filter(C("YEAR") == test_year), target, "EXP", ["MODEL"]), long.drop(target)
 
 
 def ranked_portfolio(predictions: DataFrame, returns: DataFrame) -> DataFrame:
