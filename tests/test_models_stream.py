@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, models
 from tidemark.functions.labels import label_counts, normalise_label
-from tidemark.session import scratch_path
+from tidemark.session import materialise, scratch_path
 from tidemark.streaming import news_counts
 
 C = F.col
@@ -168,3 +168,14 @@ def test_stream_equals_batch_for_closed_days(spark):
     assert streamed and streamed == counted
     again = sorted(tuple(r) for r in run().select(order).collect())
     assert again == streamed  # a second run adds nothing
+
+
+def test_rows_to_fit_are_spread_where_they_are_many(vectors, monkeypatch):
+    stored = materialise(vectors.coalesce(1))
+    assert models.spread(stored).rdd.getNumPartitions() == stored.rdd.getNumPartitions()
+    rows, width = stored.count(), models.vector_size(stored)
+    monkeypatch.setattr(models, "FIT_VALUES", rows * width // 7)
+    dealt = models.spread(stored)
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 7 and max(r["count"] for r in sizes) <= rows // 7 + 7
+    assert dealt.exceptAll(stored).count() == 0 and dealt.count() == rows
