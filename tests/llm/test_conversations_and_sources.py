@@ -264,3 +264,14 @@ def test_divergence_of_nothing(make_docs):
 def test_shares_are_exact_beyond_longs(spark):
     row = spark.range(1).selectExpr("90000000000000L n", "90000000000123L w").select(divergence.share(trie.F.col("n"), trie.F.col("w")).alias("p")).first()
     assert row["p"] == 1 + 10**9 * (90000000000000 + 1) // 90000000000123
+
+
+def test_term_sums_are_dealt_once(make_docs):
+    """One shuffle by language and term, and no hash table of a task's sums before it."""
+    by_term = divergence.Window.partitionBy("lang", "term")
+    counts = divergence.term_counts(make_docs([(1, "b a a", "en", "x"), (2, "a", "en", "y")]))
+    made = counts.withColumn("of_lang", divergence.F.sum("n").over(by_term))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "HashAggregate" not in plan.split("Exchange hashpartitioning")[1]
+    assert sorted(map(tuple, made.collect())) == [("en", "x", "a", 2, 1, 3), ("en", "x", "b", 1, 1, 1), ("en", "y", "a", 1, 1, 3)]

@@ -71,10 +71,14 @@ def _count_terms(held: int):
 
 
 def term_counts(docs: DataFrame, held: int = HELD_TERMS) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (rows that hold it). Tasks hand on sums, never single occurrences."""
+    """lang, source, term, n (occurrences) and docs (rows that hold it). Tasks hand on sums, never single occurrences.
+
+    The sums are dealt by language and term as they come, so that no second hash table beside a task's own holds them, and a window
+    over language and term needs no other shuffle.
+    """
     rows = docs.select(_filled("lang").alias("lang"), _filled("source").alias("source"), _filled("text").alias("text"))
     found = rows.mapInArrow(_count_terms(held), "lang string, source string, term string, n long, docs long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    return found.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, whole: Column) -> Column:
@@ -203,7 +207,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP_TER
     terms has pairs of value 0. Repeated rows are documents of their own. Ties go to the smaller item in UTF-8. An
     empty table gives an empty table. Other columns are not read.
     """
-    counts = materialise(term_counts(docs, held))
+    counts = term_counts(docs, held)
     by_term = Window.partitionBy("lang", "term")  # a row per source
     kept = materialise(
         counts.withColumn("_docs", F.sum("docs").over(by_term)).withColumn("total", F.sum("n").over(by_term))
