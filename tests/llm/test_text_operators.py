@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -483,3 +484,37 @@ def test_rows_that_share_an_id_are_spread(make_docs):
 def test_packing_of_nothing(make_docs):
     assert packing.retrieval_packing(make_docs([]), tokenizer_path()).collect() == []
     assert [tuple(r)[:5] for r in packing.retrieval_packing(make_docs([(9, None)]), tokenizer_path()).collect()] == [(9, 0, 1, zlib.crc32(b"\2\0\0\0"), 1)]
+
+
+def test_tables_of_the_search_are_deleted(make_docs):
+    """Postings and edges have left the shared folder when shards are known; sketches take two bytes a term and two a weight."""
+    docs = make_docs([(i, f"w{i % 7} w{i % 11} w{i % 13} all") for i in range(60)])
+    spark = docs.sparkSession
+    tokens = packing.materialise(packing.token_table(docs, tokenizer_path()).withColumn("row", packing.F.monotonically_increasing_id()))
+    frequency = np.full(49_153, 2.0)
+    idf = np.log(1 + (60 - frequency + 0.5) / (frequency + 0.5))
+    width = tokens.select("row", "ids").mapInArrow(packing._postings(idf, 9.0, frequency), "term long, near long, next long, row long, sketch binary")
+    assert {len(r[0]) for r in width.select("sketch").collect()} == {4 * packing.SKETCH_TERMS}
+    made = []
+    real = packing.materialise
+    try:
+        packing.materialise = lambda df: made.append(real(df)) or made[-1]
+        shards = packing._shards(tokens, idf, 9.0, frequency, 50)
+    finally:
+        packing.materialise = real
+    files = [t.inputFiles() for t in made[:2]]  # the listing is of the time of writing
+    assert ["sketch" in t.columns for t in made[:2]] == [True, False] and all(files)
+    assert not any(os.path.exists(f.removeprefix("file:")) for names in files for f in names)
+    assert shards.count() == 60 and spark.read.parquet(tokens.inputFiles()[0]).count() > 0
+
+
+def test_large_vocabularies_keep_their_term_of_two_bytes():
+    """A term 65535 of a large vocabulary is not taken for a place without a term."""
+    for size, other in ((50_000, 49_999), (70_000, 65_535)):
+        kind = packing._id_kind(np.zeros(size))
+        none = np.iinfo(np.dtype(kind)).max
+        ids = np.full((packing.SKETCH_TERMS, 2), none, kind)
+        ids[:2] = [[7, 7], [other, 8]]
+        weight = np.zeros((2, packing.SKETCH_TERMS), np.float32)
+        weight[:, :2] = [[1, 2], [4, 8]]
+        assert packing._common_weight(ids[:, :1], weight[:1], ids[:, 1:], weight[1:]).tolist() == [5.0]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialise
+from tidemark.session import discard, materialise
 
 
 #: Doublings after which a chain of pointers must be a longer cycle, which only colliding keys can make.
@@ -30,9 +30,10 @@ def best_groups(links: DataFrame) -> DataFrame:
     )
     for _ in range(DOUBLINGS):
         further = up.select(F.col("node").alias("up"), F.col("up").alias("_further"))
-        up = materialise(
+        before, up = up, materialise(
             up.drop("moved").join(further, "up").select("node", F.col("_further").alias("up"), (F.col("up") != F.col("_further")).alias("moved"))
         )
+        discard(before)
         if up.where("moved").isEmpty():
             return up.select("node", F.col("up").alias("component"))
     return components(links, "a", "b")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.common import drop_unused, gathered, ranges, runs, short_batches, slices
 from tidemark.llm.graph import best_groups
-from tidemark.session import materialise
+from tidemark.session import discard, materialise
 
 WINDOW = 4096
 END_ID = 2
@@ -228,6 +229,8 @@ def _postings(idf: np.ndarray, mean: float, frequency: np.ndarray):
     documents of one term that share more of it lie side by side, so a hot term is searched without comparing all its documents.
     """
 
+    kind = _id_kind(idf)
+
     def mapped(batches) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
@@ -242,7 +245,7 @@ def _postings(idf: np.ndarray, mean: float, frequency: np.ndarray):
                 terms, weight = terms[top], weight[top]
                 if not len(terms):
                     continue
-                sketch = np.full(SKETCH_TERMS, -1, "<i4"), np.zeros(SKETCH_TERMS, "<f2")
+                sketch = np.full(SKETCH_TERMS, np.iinfo(np.dtype(kind)).max, kind), np.zeros(SKETCH_TERMS, "<f2")
                 sketch[0][: len(terms)], sketch[1][: len(terms)] = terms, weight
                 rare = terms[np.argsort(frequency[terms], kind="stable")[:LOOKUPS]]
                 mixed = (terms[None, :].astype(np.uint64) + np.uint64(1)) * (rare[:, None].astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15))
@@ -259,28 +262,37 @@ def _postings(idf: np.ndarray, mean: float, frequency: np.ndarray):
     return mapped
 
 
+def _id_kind(idf: np.ndarray) -> str:
+    """Two bytes a term of a sketch where the vocabulary leaves their last value free, four otherwise; that value stands for none."""
+    return "<u2" if len(idf) <= np.iinfo(np.uint16).max else "<u4"
+
+
 def _common_weight(ids: np.ndarray, weight: np.ndarray, other_ids: np.ndarray, other_weight: np.ndarray) -> np.ndarray:
-    """The BM25 weight, both ways, of the terms that two rows of sketches have in common."""
-    same = ids[:, :, None] == other_ids[:, None, :]
-    same &= (ids >= 0)[:, :, None]
-    return (same.any(2) * weight).sum(1) + (same.any(1) * other_weight).sum(1)
+    """The BM25 weight, both ways, of the terms that sketches have in common: ids by column, weights by row and zero where there is no term."""
+    mine, theirs = np.zeros(ids.shape, bool), np.empty(ids.shape, bool)
+    for at, other in enumerate(other_ids):
+        same = ids == other
+        mine |= same
+        same.any(0, out=theirs[at])
+    return (np.ascontiguousarray(mine.T) * weight).sum(1) + (np.ascontiguousarray(theirs.T) * other_weight).sum(1)
 
 
-def _pairs(batches) -> Iterator[pa.RecordBatch]:
+def _pairs(kind: str, batches) -> Iterator[pa.RecordBatch]:
     """Of postings in order, the best two documents before each and the best after it: a, b and the BM25 weight both ways of common terms."""
     term, row = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ids, weight = np.zeros((0, SKETCH_TERMS), np.int32), np.zeros((0, SKETCH_TERMS), np.float32)
+    ids, weight = np.zeros((SKETCH_TERMS, 0), kind), np.zeros((0, SKETCH_TERMS), np.float32)
+    width = np.dtype(kind).itemsize * SKETCH_TERMS
     for batch in slices(batches, PAIRED_POSTINGS):
         old = len(term)
         raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
         term, row = np.r_[term, batch.column(0).to_numpy()], np.r_[row, batch.column(3).to_numpy()]
-        ids = np.r_[ids, np.ascontiguousarray(raw[:, : 4 * SKETCH_TERMS]).view("<i4")]
-        weight = np.r_[weight, np.ascontiguousarray(raw[:, 4 * SKETCH_TERMS :]).view("<f2").astype(np.float32)]
+        ids = np.c_[ids, np.ascontiguousarray(raw[:, :width]).view(kind).T]
+        weight = np.r_[weight, np.ascontiguousarray(raw[:, width:]).view("<f2").astype(np.float32)]
         score = np.zeros((len(term), NEAR))
         for back in range(1, min(NEAR, len(term) - 1) + 1):
             at = np.arange(max(old, back), len(term))
             at = at[term[at] == term[at - back]]
-            score[at, back - 1] = _common_weight(ids[at], weight[at], ids[at - back], weight[at - back])
+            score[at, back - 1] = _common_weight(ids.take(at, 1), weight[at], ids.take(at - back, 1), weight[at - back])
         ahead = np.zeros_like(score)  # the same scores, seen from the document before
         for back in range(1, min(NEAR, len(term) - 1) + 1):
             ahead[:-back, back - 1] = score[back:, back - 1]
@@ -295,49 +307,75 @@ def _pairs(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(score[i, b], pa.float64())], ["a", "b", "score"]
             )
-        term, row, ids, weight = term[-NEAR:], row[-NEAR:], ids[-NEAR:], weight[-NEAR:]
+        term, row, ids, weight = term[-NEAR:], row[-NEAR:], ids[:, -NEAR:], weight[-NEAR:]
 
 
 def _groups(edges: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame | None, list[str]]:
-    """(row, g1, g2, ...): in each round every group joins the group of its best neighbour, so g1 are the closest."""
+    """(row, g1, g2, ...): in each round every group joins the group of its best neighbour, so g1 are the closest.
+
+    Stored tables are deleted as soon as the next ones stand, `edges` too.
+    """
     labels, names = None, []
     for at in range(1, rounds + 1):
         both = edges.union(edges.select("b", "a", "score"))
         tie = F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))
         links = both.groupBy("a").agg(F.max(F.struct("score", tie.alias("tie"), "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        joined = materialise(best_groups(materialise(links)))
+        links = materialise(links)
+        joined = materialise(best_groups(links))
+        discard(links)
         before = names[-1] if names else "row"
         names = [*names, f"g{at}"]
         if labels is None:
             labels = joined.select(F.col("node").alias("row"), F.col("component").alias("g1"))
         else:
-            labels = labels.join(joined.withColumnRenamed("node", before), before, "left").withColumn(names[-1], F.coalesce("component", before)).drop("component")
+            old, labels = labels, labels.join(joined.withColumnRenamed("node", before), before, "left").withColumn(names[-1], F.coalesce("component", before)).drop("component")
         labels = materialise(labels)
+        if at > 1:
+            discard(old)
+        moved = edges
         for end in ("a", "b"):
-            edges = edges.join(joined.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("component", end)
-        edges = materialise(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")))
+            moved = moved.join(joined.withColumnRenamed("node", end), end).drop(end).withColumnRenamed("component", end)
+        moved = materialise(moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score")))
+        discard(edges)
+        discard(joined)
+        edges = moved
         if edges.isEmpty():
             break
+    discard(edges)
     return labels, names
 
 
-def _shards(tokens: DataFrame, idf: np.ndarray, mean: float, frequency: np.ndarray, shard_tokens: int) -> DataFrame:
-    """(row, shard): documents in the order of their groups, cut every `shard_tokens` tokens."""
+def _edges(tokens: DataFrame, idf: np.ndarray, mean: float, frequency: np.ndarray) -> DataFrame:
+    """(a, b, score): documents and their best neighbours. The postings are deleted once they have met."""
     postings = materialise(tokens.select("row", "ids").mapInArrow(_postings(idf, mean, frequency), "term long, near long, next long, row long, sketch binary"))
     order = ["term", "near", "next", "row"]
-    found = postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_pairs, "a long, b long, score double")
+    met = partial(_pairs, _id_kind(idf))
+    found = postings.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(met, "a long, b long, score double")
     edges = materialise(found.where("a <> b").groupBy("a", "b").agg(F.max("score").alias("score")))
+    discard(postings)
+    return edges
+
+
+def _shards(tokens: DataFrame, idf: np.ndarray, mean: float, frequency: np.ndarray, shard_tokens: int) -> DataFrame:
+    """(row, shard): documents in the order of their groups, cut every `shard_tokens` tokens."""
+    edges = _edges(tokens, idf, mean, frequency)
+    drop_unused(tokens.sparkSession)  # the shuffle of the postings
     labels, names = _groups(edges)
     order = [*reversed(names), "row"]
     placed = tokens.select("row", "n").join(labels, "row", "left").select("row", "n", *[F.coalesce(g, "row").alias(g) for g in names])
-    placed = materialise(materialise(placed).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    unordered = materialise(placed)
+    discard(labels)
+    placed = materialise(unordered.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    discard(unordered)
     before, total = [], 0
     for row in placed.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():  # one row per range
         before.append((row["part"], total))
         total += row["n"]
-    placed = placed.join(F.broadcast(tokens.sparkSession.createDataFrame(before, "part int, before long")), "part")
+    ordered, placed = placed, placed.join(F.broadcast(tokens.sparkSession.createDataFrame(before, "part int, before long")), "part")
     upto = F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy(*order)) - F.col("n")
-    return materialise(placed.select("row", F.floor(upto / F.lit(shard_tokens)).cast("long").alias("shard")))
+    shards = materialise(placed.select("row", F.floor(upto / F.lit(shard_tokens)).cast("long").alias("shard")))
+    discard(ordered)
+    return shards
 
 
 def _packed_shards(idf: np.ndarray, mean: float, window: int):

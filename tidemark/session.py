@@ -69,6 +69,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that `materialise` wrote and nothing will read again; one from elsewhere is left alone."""
+    jvm = table.sparkSession._jvm
+    root = f"{jvm.org.apache.hadoop.fs.Path(_scratch_root(table.sparkSession)).toUri().getPath()}/"
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(root):
+            path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed_row(stats: DataFrame) -> Column:
     """A one-row table as one struct scalar, to be added once to another table."""
     return stats.select(F.struct(*stats.columns).alias("row")).scalar()
