@@ -179,3 +179,25 @@ def test_rows_to_fit_are_spread_where_they_are_many(vectors, monkeypatch):
     sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) >= 7 and max(r["count"] for r in sizes) <= rows // 7 + 7
     assert dealt.exceptAll(stored).count() == 0 and dealt.count() == rows
+
+
+def test_stratified_rows_are_not_shuffled(spark):
+    """Sizes are exact and rows stay in place; rows without a stratum leave, and equal rows at the border are told apart."""
+    rows = [(i if i % 50 else None, None if i % 11 == 0 else f"s{i % 3}", "wide") for i in range(400)]
+    frame = materialise(spark.createDataFrame(rows, "id long, c string, vector string"))
+    split = models.with_stratified_flag(frame, "c", ["id"], 0.7)
+    assert set(frame.inputFiles()) <= set(split.inputFiles())  # not a sorted copy of them
+    assert split.columns == ["id", "c", "vector", "is_train"]
+
+    def sizes(table):
+        found = table.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_train").cast("int")).alias("k")).collect()
+        assert found and all(r["c"] is not None and r["k"] == -(-r["n"] * 7 // 10) for r in found)
+        return sum(r["n"] for r in found)
+
+    assert sizes(split) == frame.filter("c IS NOT NULL").count()
+    hashed = split.withColumn("h", models.hash_fraction(["id"], 17)).collect()
+    for c in ("s0", "s1", "s2"):
+        mine = sorted(((r["h"], r["id"] is not None, r["id"] or 0, not r["is_train"]) for r in hashed if r["c"] == c))
+        assert [r[3] for r in mine] == sorted(r[3] for r in mine)
+    assert sizes(models.with_stratified_flag(materialise(frame.withColumn("id", F.lit(5))), "c", ["id"], 0.7)) == frame.filter("c IS NOT NULL").count()
+    assert models.with_stratified_flag(frame, "c", ["id"], 1.0).filter("NOT is_train").isEmpty()
