@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, substring, warc
+from tidemark.llm import mixing, packing, substring, warc
 from tidemark.llm.html_template import blocks_of, main_blocks, main_texts
 from tidemark.llm.mixing import TEMPER, mixture
 from tidemark.llm.queries import tokenizer_path
@@ -390,6 +390,25 @@ def test_mixture_of_little(make_docs):
     assert [(r["tokens"], r["selected"]) for r in mixture(make_docs([(1, None), (2, " ")])).collect()] == [(0, False)] * 2
 
 
+def test_few_cells_are_raked_without_shuffles_and_many_alike(make_docs, monkeypatch):
+    real, plans = mixing.materialise, []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    def weights():
+        plans.clear()
+        return {r["doc_id"]: r["weight"] for r in mixture(make_docs(mixing_rows())).collect()}
+
+    monkeypatch.setattr(mixing, "materialise", noted)
+    together = weights()
+    rounds = [plan for plan in plans if "_gap" in plan]
+    assert len(rounds) > 1 and not any("Exchange" in plan for plan in rounds)
+    monkeypatch.setattr(mixing, "CELLS_TOGETHER", 5)
+    assert weights() == pytest.approx(together) and any("Exchange" in plan for plan in plans if "_gap" in plan)
+
+
 # packing
 
 

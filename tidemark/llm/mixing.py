@@ -17,6 +17,8 @@ KEPT_TOKENS = 0.75
 #: Rounds of fitting at most, and the deviation from a target share that ends it.
 ROUNDS = 60
 CLOSE = 1e-6
+#: Cells that one task rakes without a shuffle.
+CELLS_TOGETHER = 1 << 16
 
 
 def lexical_topic(text: Column) -> Column:
@@ -36,6 +38,11 @@ def _coded(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
+def _parts(cells: DataFrame) -> int:
+    """In how many parts a stored table of cells is raked: few cells lie in one, where sums and joins by facet move nothing."""
+    return -(-cells.count() // CELLS_TOGETHER) or 1
+
+
 def _targets(cells: DataFrame, facet: str, stated: Mapping[str | None, float] | None, temper: float) -> DataFrame:
     """(facet value, target share) of the values that occur; stated weights are scaled to those."""
     seen = cells.groupBy(facet).agg(F.sum("tokens").alias("_tokens")).where(F.col("_tokens") > 0)
@@ -52,24 +59,32 @@ def raked(cells: DataFrame, targets: Mapping[str, DataFrame], rounds: int = ROUN
     """Scale the `weight` of cells in turn to the target shares of each facet until all fit.
 
     `cells` has one row per combination that occurs, so its size follows the facets and not the corpus; one
-    number a round reaches the driver. Targets that the occurring combinations cannot meet leave
+    number a round reaches the driver. Up to CELLS_TOGETHER of them are raked in one task, without shuffles and
+    broadcasts, of which some dozens of rounds would burden the driver. Targets that the occurring combinations cannot meet leave
     the weights of the last round.
     """
+    for facet, target in targets.items():
+        cells = cells.join(target.select(facet, F.col("target").alias(f"_target_{facet}")), facet)
+    cells = materialise(cells)
+    parts = _parts(cells)
+    cells = cells.coalesce(parts)
     for _ in range(rounds):
-        worst = F.lit(0.0)
-        for facet, target in targets.items():
-            sums = cells.groupBy(facet).agg(F.sum("weight").alias("_sum")).join(target, facet)
-            factor = F.coalesce(F.try_divide("target", "_sum"), F.lit(0.0))
+        for facet in targets:
+            wanted = F.first(f"_target_{facet}")
+            sums = cells.groupBy(facet).agg(F.sum("weight").alias("_sum"), wanted.alias("_wanted"))
+            factor = F.coalesce(F.try_divide("_wanted", "_sum"), F.lit(0.0))
+            factors = sums.select(facet, factor.alias("_factor"), F.abs(F.col("_wanted") - F.col("_sum")).alias("_gap"))
             cells = (
-                cells.join(sums.select(facet, factor.alias("_factor"), F.abs(F.col("target") - F.col("_sum")).alias("_gap")), facet)
+                cells.join(factors.hint("shuffle_hash") if parts == 1 else factors, facet)
                 .withColumn("weight", F.col("weight") * F.col("_factor")).withColumn("gap", F.greatest("gap", "_gap")).drop("_factor", "_gap")
+                .coalesce(parts)  # stated again, or Spark shuffles the one part before the next join
             )
-        cells = materialise(cells)
+        cells = materialise(cells).coalesce(parts)
         worst = cells.agg(F.max("gap")).first()[0]
         if worst is None or worst < close:
             break
         cells = cells.withColumn("gap", F.lit(0.0))
-    return cells
+    return cells.drop(*[f"_target_{facet}" for facet in targets])
 
 
 def mixture(
@@ -99,6 +114,7 @@ def mixture(
     seen = rows.groupBy(*FACETS).agg(F.sum("tokens").alias("tokens"))
     whole = seen.agg(F.sum("tokens").alias("t")).scalar()
     cells = materialise(seen.withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), whole), F.lit(0.0))).withColumn("gap", F.lit(0.0)))
+    cells = cells.coalesce(_parts(cells))
     wanted = {f: _targets(cells, f, (targets or {}).get(f), temper.get(f, 1.0)) for f in FACETS}
     share = cells.select(*FACETS, F.col("weight").alias("_share"))
     fitted = materialise(
