@@ -3,11 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from tidemark.operators import aggregates, models
+from tidemark.operators import aggregates, fold_logits, models
 from tidemark.functions.labels import label_counts, normalise_label
 from tidemark.session import materialise, scratch_path
 from tidemark.streaming import news_counts
@@ -129,6 +130,37 @@ def test_roc_table(vectors):
     assert all(r["roc"] > 0.95 and r["sensitivity"] > 0.8 and r["specificity"] > 0.8 for r in rows)
 
 
+def test_folds_are_fitted_together_and_the_library_fits_once(vectors, monkeypatch):
+    labelled = vectors.withColumn("up", (C("y") + C("a") * C("a") >= 1).cast("double")).select("id", "up", "features")
+    real, fits = models.LogisticRegression.fit, []
+
+    def counted(self, *args):
+        fits.append(1)
+        return real(self, *args)
+
+    monkeypatch.setattr(models.LogisticRegression, "fit", counted)
+    search = models.logistic_cv(labelled, "up", ["id"], folds=4)
+    assert len(fits) == 1 and 0.8 < search.scores[0] < 1
+    scored = {r["fold"]: r["m"] for r in models.fold_scores(labelled, "up", ["id"], 4).groupBy("fold").agg(F.sort_array(F.collect_list("margin")).alias("m")).collect()}
+    folded = models.with_fold(labelled, ["id"], 4)
+    for fold in range(4):
+        tight = models.logistic("up").setTol(1e-14).setMaxIter(500).fit(folded.filter(C("fold") != fold))
+        own = tight.transform(folded.filter(C("fold") == fold)).select(models.vector_to_array("rawPrediction")[1]).collect()
+        assert scored[fold] == pytest.approx(sorted(r[0] for r in own), rel=1e-3, abs=1e-3)
+    monkeypatch.setattr(fold_logits, "WIDEST", 1)
+    fits.clear()
+    wide = models.logistic_cv(labelled, "up", ["id"], folds=4)
+    assert len(fits) == 5 and wide.scores[0] == pytest.approx(search.scores[0], abs=0.01)
+
+
+def test_a_fold_with_one_class_left_is_certain(spark):
+    rows = [(f, float(f == 0 and i % 2), [float(i), float(i % 3)]) for f in range(3) for i in range(20)]
+    table = materialise(spark.createDataFrame(rows, "fold int, label double, x array<double>"))
+    fits = fold_logits.fold_coefficients(table, 3, 2)
+    assert fits[0][0] == -np.inf and not fits[0][1:].any() and np.isfinite(fits[1]).all()
+    assert {r["margin"] for r in fold_logits.fold_margins(table, fits).filter("fold = 0").collect()} == {-np.inf}
+
+
 def test_learner_defaults():
     forest, boosted = models.forest("y"), models.boosted("y")
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy()) == (100, 30, "all")
