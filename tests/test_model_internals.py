@@ -217,6 +217,36 @@ def test_scoring_stores_no_trees_where_the_rows_fit(planted, monkeypatch):
     assert forests.forest_scores(small, planted, ["id"]).count() == 900 and small._grown
 
 
+def test_trees_do_not_depend_on_how_many_rows_fit_a_task(planted, monkeypatch):
+    """The same predictions with and without top levels, for folds held out and stricter trees too."""
+    monkeypatch.setattr(forests, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(forests, "PIECE_ROWS", 90)
+    runs, own = [forests.Run(fold, leaf) for leaf in (1, 4) for fold in range(3)], F.array(C("fold"), C("fold") + 3)
+    found = []
+    for node_rows in (None, 250, 40):
+        forest = forests.grow_forest(planted, "y", ["id"], 5, runs, node_rows=node_rows)
+        assert (forest.top is None) == (node_rows is None)
+        rows = forests.forest_scores(forest, planted, ["id"], [(10_000, 2), (3, 2), (10_000, 30)], (2, 5), own).collect()
+        found.append(np.array(sorted(tuple(r) for r in rows)))
+    assert found[0].shape == (1800, 8) and found[0] == pytest.approx(found[1], rel=1e-9) and found[0] == pytest.approx(found[2], rel=1e-9)
+
+
+def test_lots_read_the_stored_rows_without_a_shuffle(planted, monkeypatch):
+    """Rows are written once for all trees; a lot's task reads them itself, so disk does not grow with the trees."""
+    plans, real = [], forests.materialise
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(forests, "materialise", seen)
+    train, test = planted.filter("fold < 2").drop("fold"), planted.filter("fold = 2").drop("fold")
+    scores = forests.forest_scores(forests.grow_forest(train, "y", ["id"], trees=30), test, ["id"])
+    grown = [p for p in plans if "Union" in p and "MapInArrow" in p and "Cogroup" not in p]
+    assert scores.count() == test.count() and len(grown) == 1
+    assert "Exchange" not in grown[0] and grown[0].count("Coalesce 1") == 10
+
+
 def test_many_trees_of_mostly_flags_need_no_top_levels(spark):
     """A copy of the rows per tree is dealt where there are top levels, one per lot where there are none."""
     rows = spark.range(30).selectExpr("id", "cast(id as double) a", "cast(id % 2 as double) b", "cast(id as double) y")
