@@ -247,6 +247,26 @@ def test_lots_read_the_stored_rows_without_a_shuffle(planted, monkeypatch):
     assert "Exchange" not in grown[0] and grown[0].count("Coalesce 1") == 10
 
 
+def test_flags_that_part_the_rows_alike_are_counted_once(monkeypatch):
+    """A flag and its opposite, as one-hot pairs have it, would only tie; counts are of the rarer side."""
+    rng = np.random.default_rng(8)
+    flag, rare = rng.integers(0, 2, 400).astype(float), (rng.random(400) < 0.9).astype(float)
+    x = np.column_stack([rng.normal(size=400), flag, 1 - flag, flag * 3, rare, 1 - rare])
+    y, counted, real = rng.normal(size=400) + flag + 2 * rare, [], np.bincount
+
+    def bincount(cells, *args, **more):
+        counted.append(len(cells))
+        return real(cells, *args, **more)
+
+    monkeypatch.setattr(np, "bincount", bincount)
+    got = forests.walk(forests.grow(x, y, np.ones(400), depth=1), x, STOPS)
+    assert max(counted) == min(flag.sum(), 400 - flag.sum()) + (1 - rare).sum()
+    monkeypatch.undo()
+    for values, (depth, fewest) in zip(got, STOPS):
+        tree = plain_tree(x, y, np.ones(400), 1, fewest, min(depth, 1))
+        assert values == pytest.approx([plain_value(tree, r) for r in x])
+
+
 def test_many_trees_of_mostly_flags_need_no_top_levels(spark):
     """A copy of the rows per tree is dealt where there are top levels, one per lot where there are none."""
     rows = spark.range(30).selectExpr("id", "cast(id as double) a", "cast(id % 2 as double) b", "cast(id as double) y")
