@@ -153,6 +153,20 @@ def test_folds_are_fitted_together_and_the_library_fits_once(vectors, monkeypatc
     assert len(fits) == 5 and wide.scores[0] == pytest.approx(search.scores[0], abs=0.01)
 
 
+def test_roc_folds_share_their_passes_and_stop_where_the_library_does(vectors, monkeypatch):
+    labelled = vectors.withColumn("up", (C("y") + C("a") * C("a") >= 1).cast("double")).select("id", "up", "features")
+    folded = models.with_fold(labelled, ["id"], 4)
+    rows = materialise(folded.select("fold", C("up").alias("label"), models.vector_to_array("features").alias("x")))
+    fits = fold_logits.library_coefficients(rows, 4, models.vector_size(labelled))
+    for fold in range(4):
+        own = models.logistic("up").fit(folded.filter(C("fold") != fold))
+        assert fits[fold] == pytest.approx([own.intercept, *own.coefficients], rel=1e-6, abs=1e-7)
+    monkeypatch.setattr(models, "logistic", None)  # no fit of the library's, which would hold its rows
+    monkeypatch.setattr(models, "kept", None)
+    table = models.roc_table(labelled, "up", ["id"], folds=4).collect()
+    assert sum(r["n"] for r in table) == labelled.count() and all(0.5 < r["roc"] <= 1 for r in table)
+
+
 def test_a_fold_with_one_class_left_is_certain(spark):
     rows = [(f, float(f == 0 and i % 2), [float(i), float(i % 3)]) for f in range(3) for i in range(20)]
     table = materialise(spark.createDataFrame(rows, "fold int, label double, x array<double>"))
