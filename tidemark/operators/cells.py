@@ -100,7 +100,7 @@ def _grown(depth: int):
         for w, wy in zip(wide[1].T, wide[2].T):
             w, wy = (np.bincount(at.ravel(), v, len(cells)) for v in (w, wy))
             with np.errstate(invalid="ignore"):
-                tree = forests.grow(x, wy / w, w, depth=depth)
+                tree = forests.grow(x, wy / w, w, depth=depth, restart=False)
             found += forests.walk(tree, x[asked], [(depth, 0)])[0]
         yield pa.RecordBatch.from_arrays([pa.array(list(cells[asked].astype(np.int32)), pa.list_(pa.int32())), pa.array(found)], names=["cell", "total"])
 
